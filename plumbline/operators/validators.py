@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from plumbline.functions import cells, dates
 from plumbline.functions.cells import is_numeric, is_string
 from plumbline.functions.patterns import PatternError, match_start
-from plumbline.plans.checks import Broken, Check, Reason, RepeatCheck, RowCheck, ShareCheck, Skipped
+from plumbline.plans.checks import Broken, Check, Reason, RepeatCheck, RowCheck, ShareCheck, Skipped, data_columns
 from plumbline.plans.rules import Rule
 
 # ---- fixed values ----------------------------------------------------------------------------
@@ -139,7 +139,7 @@ def _unique(t: Target) -> Check:
 
 @_type("duplicate_row")
 def _duplicate_row(t: Target) -> Check:
-    keys = tuple(t.param("columns") or t.schema.names)
+    keys = tuple(t.param("columns") or data_columns(t.schema.names))
     for k in keys:
         if not t.has(k):
             return Broken(f"Column '{k}' not in dataset")

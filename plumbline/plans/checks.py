@@ -7,6 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
+# Columns that `with_row_key` adds. They identify a row but are not part of its data.
+GENERATED_KEY = ("row_file", "row_index")
+
+
+def data_columns(names: list[str]) -> list[str]:
+    return [n for n in names if n not in GENERATED_KEY]
+
+
 # A message is built from the text that names the row.
 Reason = Callable[[Column], Column]
 

@@ -8,7 +8,12 @@ from pyspark.sql import types as T
 
 # Any character that is not white space (Unicode white space plus the four ASCII separators).
 _NON_BLANK = r"[^\x1c-\x1f\p{IsWhite_Space}]"
-_SPACE = r"[\x1c-\x1f\p{IsWhite_Space}]+"
+
+# Fixed value: the characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Shape of a number in text. Spark's own cast also takes '10d' and '10f', so the shape comes first.
 _NUMBER = (
@@ -99,6 +104,4 @@ def _float_text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Text without white space at either end (all Unicode white space, not only U+0020)."""
-    edge = r"\A" + _SPACE + "|" + _SPACE + r"\z"
-    inner = (c >= F.lit("!")) & (c < F.lit("\x7f")) & (F.right(c, F.lit(1)).between("!", "~"))
-    return F.when(inner, c).otherwise(F.regexp_replace(c, edge, ""))
+    return F.btrim(c, F.lit(WHITE_SPACE))

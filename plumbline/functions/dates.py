@@ -77,8 +77,11 @@ def parse(c: Column, dtype: T.DataType, fmt: str = DEFAULT_FORMAT) -> Column:
     if is_date(dtype):
         return c.cast("timestamp_ntz") if has_time(fmt) else c.cast("date")
     value = strip(c if is_string(dtype) else c.cast("string"))
-    if groups == ["Y", "m", "d"] and fmt == DEFAULT_FORMAT:
-        return F.when(value.rlike(shape), value.try_cast("date"))
+    if sorted(groups) == ["Y", "d", "m"]:
+        # The common case: put into ISO order by one replacement, unless it already is.
+        iso = "-".join(f"${groups.index(d) + 1}" for d in "Ymd")
+        ordered = value if fmt == DEFAULT_FORMAT else F.regexp_replace(value, shape, iso)
+        return F.when(value.rlike(shape), ordered.try_cast("date"))
 
     def part(d: str, default: str) -> Column:
         if d not in groups:
@@ -137,4 +140,10 @@ def parse_lenient(c: Column, dtype: T.DataType, formats: tuple[str, ...] = LENIE
     """The cell as DATE by the first format that fits."""
     if is_date(dtype):
         return c.cast("date")
-    return F.coalesce(*[parse(c, dtype, f).cast("date") for f in formats])
+    first, *rest = [lambda v, f=f: parse(v, dtype, f).cast("date") for f in formats]
+    if not rest:
+        return first(c)
+    # The other formats stand in a lambda. It is not compiled, so a dozen of them do not push a whole
+    # stage over the size limit of generated code; values in the first format never get there.
+    others = F.transform(F.array(c), lambda v: F.coalesce(*[p(v) for p in rest]))
+    return F.coalesce(first(c), F.get(others, F.lit(0)))

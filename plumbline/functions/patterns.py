@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 class PatternError(ValueError):
@@ -19,11 +23,12 @@ def to_spark(pattern: str) -> str:
         raise PatternError(f"Invalid regex: {e}") from None
     if re.search(r"\(\?\(", pattern):
         raise PatternError("Invalid regex: conditional groups are not supported")
-    out, in_class, i = [], False, 0
+    out, in_class, class_empty, i = [], False, False, 0
     while i < len(pattern):
         pair = pattern[i : i + 2]
         if pair[0] == "\\":
             out.append(r"\z" if pair == r"\Z" and not in_class else pair)
+            class_empty = False
             i += 2
             continue
         if in_class:
@@ -50,6 +55,16 @@ def to_spark(pattern: str) -> str:
             out.append(rf"\k<{pattern[i + 4 : end]}>")
             i = end + 1
             continue
+        if pair[0] == "{":
+            # A brace that opens no repetition is a plain character; an absent minimum is 0.
+            counted = re.match(r"\{(\d*)(,?)(\d*)\}", pattern[i:])
+            if counted and (counted[1] or counted[3]):
+                out.append(f"{{{counted[1] or 0}{counted[2]}{counted[3]}}}")
+                i += counted.end()
+                continue
+            out.append(r"\{")
+            i += 1
+            continue
         out.append(pair[0])
         i += 1
     return re.sub(r"\A\(\?([a-zA-Z]+)\)", _inline_flags, "".join(out))
@@ -61,6 +76,18 @@ def _inline_flags(m: re.Match) -> str:
     return f"(?{kept}{'-U' if ascii_only else ''})" if kept or ascii_only else ""
 
 
+@lru_cache(maxsize=1000)
+def _anchored(pattern: str) -> str:
+    """The pattern in Spark's dialect, anchored at the start, after a try on one empty text."""
+    anchored = rf"(?dU)\A(?:{to_spark(pattern)})"
+    try:
+        # A projection of a literal row is folded away: no job runs.
+        SparkSession.active().sql("SELECT ''").select(F.lit("").rlike(anchored)).collect()
+    except (PySparkException, Py4JError) as e:
+        raise PatternError(f"Invalid regex: {str(e).splitlines()[0]}") from None
+    return anchored
+
+
 def match_start(c: Column, pattern: str) -> Column:
     """True where the pattern matches from the first character on (not necessarily to the last)."""
-    return c.rlike(rf"(?dU)\A(?:{to_spark(pattern)})")
+    return c.rlike(_anchored(pattern))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.cells import clean, is_date, is_numeric, is_string, missing
+from plumbline.functions.cells import clean, is_date, is_numeric, is_string, missing, text
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.repeats import key_columns, repeat_counts
 
@@ -218,7 +218,7 @@ def column_summary(df: DataFrame, row_key: Sequence[str], approximate: bool = Fa
         DataFrame.unionByName,
         [
             df.filter(~missing(_col(f.name), f.dataType))
-            .select(*order, _col(f.name).cast("string").alias("value"))
+            .select(*order, text(_col(f.name), f.dataType).alias("value"))
             .orderBy(*[f"k{i}" for i in range(len(row_key))])
             .limit(samples)
             .agg(F.array_sort(F.collect_list(F.struct(F.struct(*[f"k{i}" for i in range(len(row_key))]), "value"))).alias("s"))

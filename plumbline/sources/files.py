@@ -33,21 +33,33 @@ _TRUE, _FALSE = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 class CsvFormat:
     separator: str
     encoding: str
+    multiline: bool
 
 
-def detect_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None) -> CsvFormat:
-    """Find the separator from the header line and the encoding from the bytes of the whole input.
+def detect_csv(
+    spark: SparkSession,
+    path: str,
+    separator: str | None = None,
+    encoding: str | None = None,
+    multiline: bool | None = None,
+) -> CsvFormat:
+    """Find the separator from the header line, and the rest from all lines in one distributed scan.
 
-    The encoding check is a distributed scan; give `encoding` to save it. Text that is not UTF-8 is Latin-1,
-    in which every byte means something.
+    Text that is not UTF-8 is Latin-1, in which every byte means something. Values hold line breaks only if
+    some line has an odd number of quotes; without such lines large files can be split over many tasks. Give
+    `encoding` and `multiline` to save the scan.
     """
     lines = spark.read.text(path)
     first = lines.filter(F.length("value") > 0).select("value").first()
     if first is None:
         raise ValueError("The CSV file is empty.")
-    if encoding is None:
-        bad = lines.filter(~F.expr("is_valid_utf8(value)")).isEmpty()
-        encoding = "UTF-8" if bad else "ISO-8859-1"
+    if encoding is None or multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        seen = lines.agg(
+            F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("multiline")
+        ).first()
+        encoding = encoding or ("UTF-8" if seen["utf8"] else "ISO-8859-1")
+        multiline = seen["multiline"] if multiline is None else multiline
     if separator is None:
         for candidate in SEPARATORS:
             if len(next(csv.reader(io.StringIO(first["value"]), delimiter=candidate))) > 1:
@@ -55,7 +67,7 @@ def detect_csv(spark: SparkSession, path: str, separator: str | None = None, enc
                 break
         else:
             raise ValueError("No separator gives more than one column; pass `separator` for one-column files.")
-    return CsvFormat(separator, encoding)
+    return CsvFormat(separator, encoding, multiline)
 
 
 def null_tokens_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
@@ -123,20 +135,17 @@ def read_csv(
     encoding: str | None = None,
     schema: T.StructType | None = None,
     null_tokens: Sequence[str] = NULL_TOKENS,
-    multiline: bool = True,
+    multiline: bool | None = None,
 ) -> DataFrame:
-    """Read CSV with a header; what is not given is detected.
-
-    With `multiline=False` (no line breaks inside quotes) large files are split over many tasks.
-    """
-    found = detect_csv(spark, path, separator, encoding)
+    """Read CSV with a header; what is not given is detected. Give a schema to save the type scan too."""
+    found = detect_csv(spark, path, separator, encoding, multiline)
     raw = (
         spark.read.option("header", True)
         .option("sep", found.separator)
         .option("encoding", found.encoding)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multiline)
+        .option("multiLine", found.multiline)
         .csv(path)
     )
     known = null_tokens_to_null(raw, null_tokens)
@@ -156,7 +165,14 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV parts with a header line, UTF-8."""
-    df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    (
+        df.write.option("header", True)
+        .option("escape", '"')
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -346,6 +346,15 @@ def run_details(tables: Mapping[str, DataFrame], run_id: str, records: int = DET
     return details.select("run_id", "run", *[F.coalesce(n, F.array()).alias(n) for n in CHILDREN])
 
 
+def run_overview(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Every run with the number of its rows in each child table."""
+    runs = tables["validation_runs"]
+    for name in CHILDREN:
+        counted = tables[name].groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+        runs = runs.join(counted, "run_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return runs
+
+
 def _sortable(rows: DataFrame) -> list[str]:
     return [f.name for f in rows.schema if not isinstance(f.dataType, T.MapType)]
 

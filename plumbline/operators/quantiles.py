@@ -1,7 +1,8 @@
 """Exact quantiles by narrowing an interval, so that no task ever holds a column.
 
 Spark's exact `percentile` keeps every distinct value of a column in one buffer. That is fine for a column
-with few distinct values and used there. Other columns are narrowed: each pass counts the rows around an
+with a bounded number of distinct values and used there, after the values were counted by a distributed
+`groupBy` so that each one reaches the last task once. Other columns are narrowed: each pass counts the rows around an
 interval exactly and sketches the rows inside it, and the sketch says where to look next. The interval
 loses a factor of some hundred per pass, so a trillion rows take four or five passes over one column, and
 only what is left inside (at most `SMALL` rows) is sorted.
@@ -12,12 +13,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A column with at most this many distinct values (estimated) goes to the built-in aggregate.
-FEW_DISTINCT = 100_000
+FEW_DISTINCT = 1_000_000
 # An interval with at most this many rows is sorted in one task.
 SMALL = 100_000
 # Points of the sketch that are read per pass, and the sketch's accuracy.
@@ -145,9 +147,17 @@ def exact_quantiles(
     result: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
     direct = [i for i in range(len(names)) if row[f"n{i}"] and row[f"d{i}"] <= FEW_DISTINCT]
     if direct:
-        exact = values.agg(*[F.percentile(cells[i], list(probs)).alias(f"p{i}") for i in direct]).first()
-        for i in direct:
-            result[names[i]] = list(exact[f"p{i}"])
+        counted = [
+            values.select(F.col(f"q{i}").alias("v"))
+            .filter(F.col("v").isNotNull())
+            .groupBy("v")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.percentile("v", list(probs), F.col("n")).alias("p"))
+            .select(F.lit(i).alias("i"), "p")
+            for i in direct
+        ]
+        for found in reduce(DataFrame.unionByName, counted).collect():  # one row per column
+            result[names[found["i"]]] = list(found["p"])
     searches = {}
     for i in range(len(names)):
         if row[f"n{i}"] and i not in direct:

@@ -8,6 +8,7 @@ Nothing is collected but one bounded row of quartiles; results and violations st
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -30,45 +31,37 @@ RESULT_SCHEMA = (
     "passed_count BIGINT, failed_count BIGINT, error STRING"
 )
 
+_KNOWN = (
+    "run_id STRING, position INT, rule_id STRING, rule_type STRING, column_name STRING, severity STRING, "
+    "description STRING, has_params BOOLEAN, status STRING, error STRING"
+)
+
 # Rules per aggregate. More than this and the generated code gets too large to be compiled well.
 RULES_PER_PASS = 100
 
 
-def result_struct(run_id: str, position: int, rule: Rule, check: Check, total: Column, failed: Column) -> Column:
-    """The result of one rule as a struct column with the fields of `RESULT_SCHEMA`."""
-    status, error = "ok", None
-    if isinstance(check, Broken):
-        status, error, failed = "error", check.message, total
-    elif isinstance(check, Skipped):
-        status, error, failed = "skipped", check.message, F.lit(0)
-    elif isinstance(check, RowCheck) and check.warning:
-        error = check.warning
-    failed = failed.cast("bigint")
-    return F.struct(
-        F.lit(run_id).alias("run_id"),
-        F.lit(position).alias("position"),
-        F.lit(rule.id).alias("rule_id"),
-        F.lit(rule.type).alias("rule_type"),
-        F.lit(rule.column).alias("column_name"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.description).alias("description"),
-        F.lit(bool(rule.params)).alias("has_params"),
-        F.lit(status).alias("status"),
-        # An error never passes, not even on an empty table.
-        (F.lit(False) if status == "error" else failed == 0).alias("passed"),
-        total.alias("total_rows"),
-        (total - failed).alias("passed_count"),
-        failed.alias("failed_count"),
-        F.lit(error).cast("string").alias("error"),
-    )
-
-
 @dataclass
 class _Bound:
     position: int
     rule: Rule
     check: Check
 
+    def known(self, run_id: str) -> dict:
+        """The part of the result that does not depend on the data."""
+        status, error = "ok", None
+        if isinstance(self.check, Broken):
+            status, error = "error", self.check.message
+        elif isinstance(self.check, Skipped):
+            status, error = "skipped", self.check.message
+        elif isinstance(self.check, RowCheck):
+            error = self.check.warning
+        rule = self.rule
+        return {
+            "run_id": run_id, "position": self.position, "rule_id": rule.id, "rule_type": rule.type,
+            "column_name": rule.column, "severity": rule.severity, "description": rule.description,
+            "has_params": bool(rule.params), "status": status, "error": error,
+        }
+
 
 class ValidationRun:
     """The outcome of `validate`: lazy tables over one input."""
@@ -100,24 +93,41 @@ class ValidationRun:
         return reduce(DataFrame.unionByName, parts)
 
     def _one_pass(self, bound: list[_Bound]) -> DataFrame:
-        total = F.col("total")
-        measures, structs = [F.count(F.lit(1)).alias("total")], []
+        total, measures, failed = F.col("total"), [F.count(F.lit(1)).alias("total")], []
         for b in bound:
-            failed = F.col(f"f{b.position}")
+            count = F.col(f"f{b.position}")
             if isinstance(b.check, (RowCheck, ShareCheck)):
                 measures.append(F.count_if(b.check.fails).alias(f"f{b.position}"))
             if isinstance(b.check, ShareCheck):
-                failed = F.when(_pct(failed, total) > b.check.limit_pct, failed).otherwise(0)
-            structs.append(result_struct(self.run_id, b.position, b.rule, b.check, total, failed))
-        return self._df.agg(*measures).select(F.inline(F.array(*structs)))
+                count = F.when(_pct(count, total) > b.check.limit_pct, count).otherwise(0)
+            elif isinstance(b.check, Broken):
+                count = total
+            elif isinstance(b.check, Skipped):
+                count = F.lit(0)
+            failed.append(count)
+        return self._shaped(self._df.agg(*measures).select("total", F.array(*failed).alias("failed")), bound)
 
     def _repeat_pass(self, bound: list[_Bound]) -> DataFrame:
         counted = repeat_counts(self._df, bound[0].check.keys)
-        structs = [
-            result_struct(self.run_id, b.position, b.rule, b.check, F.col("total_rows"), F.col("repeats"))
-            for b in bound
-        ]
-        return counted.select(F.inline(F.array(*structs)))
+        failed = F.array_repeat("repeats", len(bound)).alias("failed")
+        return self._shaped(counted.select(F.col("total_rows").alias("total"), failed), bound)
+
+    def _shaped(self, counted: DataFrame, bound: list[_Bound]) -> DataFrame:
+        """Results from one row: the number of rows, and the failures of each rule in an array."""
+        # What is known about the rules beforehand is one literal, unfolded next to the counts.
+        known = F.from_json(F.lit(json.dumps([b.known(self.run_id) for b in bound])), f"ARRAY<STRUCT<{_KNOWN}>>")
+        rows = counted.select("total", F.inline(F.arrays_zip(known.alias("known"), "failed")))
+        count = F.col("failed").cast("bigint")
+        return rows.select("known.*", F.col("total").alias("total_rows"), count.alias("failed_count")).select(
+            "run_id", "position", "rule_id", "rule_type", "column_name", "severity", "description", "has_params",
+            "status",
+            # An error never passes, not even on an empty table.
+            ((F.col("status") != "error") & (F.col("failed_count") == 0)).alias("passed"),
+            "total_rows",
+            (F.col("total_rows") - F.col("failed_count")).alias("passed_count"),
+            "failed_count",
+            "error",
+        )
 
     @cached_property
     def violations(self) -> DataFrame:
@@ -161,13 +171,13 @@ class ValidationRun:
                 reason = F.format_string(
                     f"Column '{b.check.column}' has %.1f%% nulls (threshold: {b.check.limit_pct}%%)", pct
                 )
-            narrow.append(F.when(fails, entry(b, b.check.value, reason)))
+            narrow.append(F.when(fails, entry(b, b.check.value(), reason)))
         if narrow:
             parts.append(rows.select(F.inline(F.array_compact(F.array(*narrow)))))
         for b in self._of(RepeatCheck):
             failing = repeats(self._df, b.check.keys, self.key)
             parts.append(
-                failing.select(entry(b, b.check.value, b.check.reason(label)).alias("v")).select("v.*")
+                failing.select(entry(b, b.check.value(), b.check.reason(label)).alias("v")).select("v.*")
             )
         if not parts:
             return self._df.limit(0).select(

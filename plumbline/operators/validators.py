@@ -70,15 +70,17 @@ class Target:
     def date(self, name: str | None = None, fmt: str | None = None) -> Column:
         return dates.parse(self.col(name), self.dtype(name), fmt or self.param("format", dates.DEFAULT_FORMAT))
 
-    def reason(self, ending: str, value: Column | None = None) -> Reason:
+    def reason(self, ending: str) -> Reason:
         """Row i: 'column' value 'v' <ending>."""
-        shown = F.coalesce(value if value is not None else self.text(), F.lit("null"))
-        return lambda row: F.concat(
-            F.lit("Row "), row, F.lit(f": '{self.rule.column}' value '"), shown, F.lit(f"' {ending}")
-        )
+
+        def build(row: Column) -> Column:
+            shown = F.coalesce(self.text(), F.lit("null"))
+            return F.concat(F.lit("Row "), row, F.lit(f": '{self.rule.column}' value '"), shown, F.lit(f"' {ending}"))
+
+        return build
 
     def row_check(self, fails: Column, ending: str, **extra) -> RowCheck:
-        return RowCheck(F.coalesce(fails, F.lit(False)), self.text(), self.reason(ending), **extra)
+        return RowCheck(F.coalesce(fails, F.lit(False)), self.text, self.reason(ending), **extra)
 
 
 VALIDATORS: dict[str, Callable[[Target], Check]] = {}
@@ -112,13 +114,17 @@ def bind(target: Target) -> Check:
         return Broken(f"Validator error: {e}")
 
 
+def _no_value() -> Column:
+    return F.lit(None).cast("string")
+
+
 # ---- missing and repeated values -------------------------------------------------------------
 
 
 @_type("not_null")
 def _not_null(t: Target) -> Check:
     return RowCheck(
-        ~t.present(), t.text(),
+        ~t.present(), t.text,
         lambda row: F.concat(F.lit("Row "), row, F.lit(f": '{t.rule.column}' is null or empty")),
     )
 
@@ -126,7 +132,7 @@ def _not_null(t: Target) -> Check:
 @_type("missing_threshold")
 def _missing_threshold(t: Target) -> Check:
     return ShareCheck(
-        cells.missing(t.col(), t.dtype()), t.text(), float(t.param("max_null_pct", 20.0)), t.rule.column
+        cells.missing(t.col(), t.dtype()), t.text, float(t.param("max_null_pct", 20.0)), t.rule.column
     )
 
 
@@ -134,7 +140,7 @@ def _missing_threshold(t: Target) -> Check:
 def _unique(t: Target) -> Check:
     if isinstance(t.dtype(), T.MapType):
         return Broken(f"Column '{t.rule.column}' is a map and cannot be compared")
-    return RepeatCheck((t.rule.column,), t.text(), t.reason("is duplicated"))
+    return RepeatCheck((t.rule.column,), t.text, t.reason("is duplicated"))
 
 
 @_type("duplicate_row")
@@ -146,7 +152,7 @@ def _duplicate_row(t: Target) -> Check:
         if isinstance(t.dtype(k), T.MapType):
             return Broken(f"Column '{k}' is a map and cannot be compared")
     return RepeatCheck(
-        keys, F.lit(None).cast("string"),
+        keys, _no_value,
         lambda row: F.concat(F.lit("Row "), row, F.lit(": Entire row is a duplicate")),
     )
 
@@ -245,7 +251,7 @@ def _cross_field(t: Target) -> Check:
     return RowCheck(
         # A missing operand makes the comparison null, and null does not fail.
         F.coalesce(~_OPERATORS[op](a, b), F.lit(False)),
-        t.text(left),
+        lambda: t.text(left),
         lambda row: F.concat(
             F.lit("Row "), row, F.lit(f": {left} ("), a.cast("string"), F.lit(f") not {op} {right} ("),
             b.cast("string"), F.lit(")"),
@@ -293,7 +299,7 @@ def _min_length(t: Target) -> Check:
 def _max_length(t: Target) -> Check:
     most = int(t.param("max_length", 255))
     return RowCheck(
-        t.present() & (F.length(t.text()) > most), t.text(),
+        t.present() & (F.length(t.text()) > most), t.text,
         lambda row: F.concat(F.lit("Row "), row, F.lit(f": '{t.rule.column}' value length > {most}")),
     )
 
@@ -377,12 +383,15 @@ def _email_domain(t: Target) -> Check:
     domain = F.lower(F.get(F.split(address, "@"), F.lit(1)))
     allowed = sorted({str(d).lower() for d in t.param("domains") or []})
     known, prepare = _in_list(domain, allowed) if allowed else (F.lit(True), None)
-    ending = F.when(~has_at, F.concat(F.lit("value '"), address, F.lit("' is not a valid email"))).otherwise(
-        F.concat(F.lit("domain '"), domain, F.lit("' not in the allowed domains"))
-    )
+
+    def ending() -> Column:
+        return F.when(~has_at, F.concat(F.lit("value '"), address, F.lit("' is not a valid email"))).otherwise(
+            F.concat(F.lit("domain '"), domain, F.lit("' not in the allowed domains"))
+        )
+
     return RowCheck(
-        F.coalesce(t.present() & (~has_at | ~known), F.lit(False)), t.text(),
-        lambda row: F.concat(F.lit("Row "), row, F.lit(f": '{t.rule.column}' "), ending),
+        F.coalesce(t.present() & (~has_at | ~known), F.lit(False)), t.text,
+        lambda row: F.concat(F.lit("Row "), row, F.lit(f": '{t.rule.column}' "), ending()),
         prepare,
     )
 
@@ -405,7 +414,7 @@ def _data_consistency(t: Target) -> Check:
     else:
         expected, prepare = joined_lookup(key, pairs)
     return RowCheck(
-        F.coalesce(actual != expected, F.lit(False)), t.text(checked),
+        F.coalesce(actual != expected, F.lit(False)), lambda: t.text(checked),
         lambda row: F.concat(
             F.lit("Row "), row, F.lit(f": {reference}='"), key, F.lit(f"' expects {checked}='"), expected,
             F.lit("', got '"), actual, F.lit("'"),
@@ -423,19 +432,19 @@ def _date(t: Target) -> Check:
     return t.row_check(t.present() & t.date().isNull(), f"invalid date (expected {fmt})")
 
 
-def _date_reason(t: Target, parsed: Column, invalid: str, ending: Column) -> Reason:
-    shown = F.when(parsed.isNull(), F.lit(invalid)).otherwise(ending)
+def _date_reason(t: Target, parsed: Column, invalid: str, ending: Callable[[], Column]) -> Reason:
     return lambda row: F.concat(
-        F.lit("Row "), row, F.lit(f": '{t.rule.column}' value '"), t.text(), F.lit("' "), shown
-    )
+        F.lit("Row "), row, F.lit(f": '{t.rule.column}' value '"), t.text(), F.lit("' "),
+        F.when(parsed.isNull(), F.lit(invalid)).otherwise(ending()),
+    )
 
 
 @_type("future_date")
 def _future_date(t: Target) -> Check:
     day = t.date().cast("date")
     return RowCheck(
-        F.coalesce(t.present() & (day.isNull() | (day > t.as_of)), F.lit(False)), t.text(),
-        _date_reason(t, day, "is not a valid date", F.lit("is a future date")),
+        F.coalesce(t.present() & (day.isNull() | (day > t.as_of)), F.lit(False)), t.text,
+        _date_reason(t, day, "is not a valid date", lambda: F.lit("is a future date")),
     )
 
 
@@ -444,10 +453,12 @@ def _data_freshness(t: Target) -> Check:
     most = t.param("max_age_days", 365)
     day = t.date().cast("date")
     age = F.datediff(t.as_of, day)
-    ending = F.concat(F.lit("is "), age.cast("string"), F.lit(f" days old (max: {most})"))
     return RowCheck(
-        F.coalesce(t.present() & (day.isNull() | (age > F.lit(most))), F.lit(False)), t.text(),
-        _date_reason(t, day, "invalid date", ending),
+        F.coalesce(t.present() & (day.isNull() | (age > F.lit(most))), F.lit(False)), t.text,
+        _date_reason(
+            t, day, "invalid date",
+            lambda: F.concat(F.lit("is "), age.cast("string"), F.lit(f" days old (max: {most})")),
+        ),
     )
 
 
@@ -459,7 +470,7 @@ def _date_order(t: Target) -> Check:
     if not t.has(start):
         return Broken(f"Column '{start}' not in dataset")
     return RowCheck(
-        F.coalesce(t.date(start) > t.date(end), F.lit(False)), t.text(start),
+        F.coalesce(t.date(start) > t.date(end), F.lit(False)), lambda: t.text(start),
         lambda row: F.concat(
             F.lit("Row "), row, F.lit(f": {start} '"), t.text(start), F.lit(f"' > {end} '"), t.text(end),
             F.lit("'"),
@@ -486,7 +497,7 @@ def _business_rule(t: Target) -> Check:
             spark.conf.set("spark.sql.ansi.enabled", ansi)
 
     return RowCheck(
-        ~F.coalesce(F.col(name), F.lit(False)), F.lit(None).cast("string"),
+        ~F.coalesce(F.col(name), F.lit(False)), _no_value,
         lambda row: F.concat(F.lit("Row "), row, F.lit(f": Business rule '{expression}' failed")),
         prepare,
     )

@@ -15,7 +15,8 @@ def data_columns(names: list[str]) -> list[str]:
     return [n for n in names if n not in GENERATED_KEY]
 
 
-# A message is built from the text that names the row.
+# The failing value, and a message built from the text that names the row. Both are made only for violations.
+Value = Callable[[], Column]
 Reason = Callable[[Column], Column]
 
 
@@ -24,7 +25,7 @@ class RowCheck:
     """Decided by one row alone: no shuffle, all such rules share one pass."""
 
     fails: Column
-    value: Column
+    value: Value
     reason: Reason
     # Adds the columns that the predicate reads (a lookup, an expression); usually nothing to add.
     prepare: Callable[[DataFrame], DataFrame] | None = None
@@ -36,7 +37,7 @@ class ShareCheck:
     """The rows that match fail, but only where their share of the table is above the limit."""
 
     fails: Column
-    value: Column
+    value: Value
     limit_pct: float
     column: str
 
@@ -46,7 +47,7 @@ class RepeatCheck:
     """Second and later rows with the same key fail; nulls equal each other."""
 
     keys: tuple[str, ...]
-    value: Column
+    value: Value
     reason: Reason
 
 

@@ -144,8 +144,10 @@ _fix("keep_domains",
      "SELECT row_key, email, regexp_extract(email, '@(.+)$', 1) AS domain FROM d "
      "WHERE regexp_extract(email, '@(.+)$', 1) IN ('example.com', 'other.org')",
      lambda d: repair.keep_domains(d, "email", ["example.com", "other.org"]), "email", "domain")
-_fix("drop_outliers", f"SELECT row_key, age FROM d WHERE coalesce(NOT (age < {_LOW} OR age > {_HIGH}), TRUE)",
+_fix("drop_outliers", f"SELECT row_key, age FROM d WHERE age >= {_LOW} AND age <= {_HIGH}",
      lambda d: repair.drop_outliers(d, "age"), "age")
+_fix("drop_above", f"SELECT row_key, salary FROM d WHERE salary <= 2 * {_P.format('salary', 0.95)}",
+     lambda d: repair.drop_above(d, "salary", 0.95, only_above=2), "salary")
 _fix("suffix_groups",
      """SELECT row_key, CASE WHEN count(*) OVER (PARTITION BY email) > 1 THEN concat(coalesce(email, 'nan'), '_copy')
      ELSE email END AS email FROM d""",

@@ -203,7 +203,7 @@ def repair_round(
     effects = [a["effect"] for a in attempts if a["effect"]]
     if effects:
         work = cut_lineage(work)
-        counts = work.agg(*[F.count_if(e).alias(e) for e in effects]).first().asDict()
+        counts = work.agg(*[cells.count_where(F.col(e)).alias(e) for e in effects]).first().asDict()
         for a in attempts:
             a["changed_rows"] = counts.get(a["effect"], 0)
     kept = work.filter(ALIVE).select(*[F.col(f"`{c}`") for c in df.columns])

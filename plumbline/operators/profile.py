@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.cells import clean, is_date, is_numeric, is_string, missing, text
+from plumbline.functions.cells import clean, count_where, is_date, is_numeric, is_string, missing, text
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.repeats import key_columns, repeat_counts
 
@@ -26,7 +26,7 @@ def _countable(df: DataFrame) -> list[str]:
 
 
 def null_counts(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    return [F.count_if(missing(_col(n), df.schema[n].dataType)) for n in names]
+    return [count_where(missing(_col(n), df.schema[n].dataType)) for n in names]
 
 
 def round2(c: Column, places: int = 2) -> Column:

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.cells import count_where
+
 # A column with at most this many distinct values (estimated) goes to the built-in aggregate.
 FEW_DISTINCT = 1_000_000
 # An interval with at most this many rows is sorted in one task.
@@ -54,10 +56,10 @@ class _Search:
         inner = F.when(self.inside(), self.value)
         grid = [i / GRID for i in range(GRID + 1)]
         return [
-            F.count_if(self.value < low if low is not None else none),
-            F.count_if(self.value == low if low is not None else none),
+            count_where(self.value < low if low is not None else none),
+            count_where(self.value == low if low is not None else none),
             F.count(inner),
-            F.count_if(self.value == high if high is not None else none),
+            count_where(self.value == high if high is not None else none),
             F.percentile_approx(inner, grid, ACCURACY),
         ]
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.cells import clean, is_numeric, is_string, missing
+from plumbline.functions.cells import clean, count_where, is_numeric, is_string, missing
 from plumbline.operators.repeats import repeat_counts
 from plumbline.plans.rules import Rule, RuleCatalog
 
@@ -45,7 +45,7 @@ def profile_for_rules(df: DataFrame) -> dict[str, dict]:
     for i, f in enumerate(fields):
         value = clean(_col(f.name), f.dataType)
         measures += [
-            F.count_if(missing(_col(f.name), f.dataType)).alias(f"n{i}"),
+            count_where(missing(_col(f.name), f.dataType)).alias(f"n{i}"),
             F.approx_count_distinct(value).alias(f"d{i}"),
         ]
         if is_numeric(f.dataType):

@@ -17,12 +17,13 @@ from functools import cached_property, reduce
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import cells
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.repeats import repeat_counts, repeats
-from plumbline.operators.validators import OUTLIER_PROBS, Target, as_of_date, bind
-from plumbline.plans.checks import Broken, Check, RepeatCheck, RowCheck, ShareCheck, Skipped
+from plumbline.operators.validators import OUTLIER_PROBS, Shared, Target, as_of_date, bind
+from plumbline.plans.checks import NO_VALUE, Broken, Check, Message, RepeatCheck, RowCheck, ShareCheck, Skipped
 from plumbline.plans.rules import Rule
 
 RESULT_SCHEMA = (
@@ -36,8 +37,11 @@ _KNOWN = (
     "description STRING, has_params BOOLEAN, status STRING, error STRING"
 )
 
-# Rules per aggregate. More than this and the generated code gets too large to be compiled well.
+# Rules per aggregate, and rules per projection of violations. A projection becomes one generated method, and
+# the JVM does not compile methods above 8000 bytes (measured: ten rules in a method cost four times as much as
+# six); rules are put together by column, so that several passes read few columns twice.
 RULES_PER_PASS = 100
+VIOLATION_RULES_PER_PASS = 6
 
 
 @dataclass
@@ -97,7 +101,7 @@ class ValidationRun:
         for b in bound:
             count = F.col(f"f{b.position}")
             if isinstance(b.check, (RowCheck, ShareCheck)):
-                measures.append(F.count_if(b.check.fails).alias(f"f{b.position}"))
+                measures.append(cells.count_where(b.check.fails).alias(f"f{b.position}"))
             if isinstance(b.check, ShareCheck):
                 count = F.when(_pct(count, total) > b.check.limit_pct, count).otherwise(0)
             elif isinstance(b.check, Broken):
@@ -137,53 +141,70 @@ class ValidationRun:
         """
         if not self.key:
             raise ValueError("violations need key columns: validate(df, rules, key=[...])")
-        row_key = F.struct(*[F.col(f"`{k}`") for k in self.key])
-        label = F.concat_ws("/", *[F.col(f"`{k}`").cast("string") for k in self.key])
+        row_key = F.struct(*[F.col(f"`{k}`") for k in self.key]).alias("row_key")
 
-        def entry(b: _Bound, value: Column, reason: Column) -> Column:
+        def entry(b: _Bound) -> Column:
+            note = b.check.reason.note if isinstance(b.check, (RowCheck, RepeatCheck)) else None
             return F.struct(
-                F.lit(self.run_id).alias("run_id"),
                 F.lit(b.position).alias("position"),
-                F.lit(b.rule.id).alias("rule_id"),
-                F.lit(b.rule.column).alias("column_name"),
-                row_key.alias("row_key"),
-                value.alias("value"),
-                reason.alias("reason"),
+                b.check.value.build().alias("value"),
+                (F.lit(None).cast("string") if note is None else note()).alias("note"),
             )
 
-        parts, rows, narrow = [], self._df, []
-        shares = self._of(ShareCheck)
-        if shares:
-            nulls = self._df.agg(
-                F.count(F.lit(1)).alias("total"),
-                *[F.count_if(b.check.fails).alias(f"f{b.position}") for b in shares],
-            )
-            # One scalar subquery for all such rules: evaluated once, before the pass.
-            pcts = nulls.select(
-                F.struct(*[_pct(F.col(f"f{b.position}"), F.col("total")).alias(f"p{b.position}") for b in shares])
-            ).scalar()
-        for b in self._of(RowCheck, ShareCheck):
-            if isinstance(b.check, RowCheck):
-                fails, reason = b.check.fails, b.check.reason(label)
-            else:
-                pct = pcts.getField(f"p{b.position}")
-                fails = b.check.fails & (pct > b.check.limit_pct)
-                reason = F.format_string(
-                    f"Column '{b.check.column}' has %.1f%% nulls (threshold: {b.check.limit_pct}%%)", pct
-                )
-            narrow.append(F.when(fails, entry(b, b.check.value(), reason)))
-        if narrow:
-            parts.append(rows.select(F.inline(F.array_compact(F.array(*narrow)))))
+        parts = []
+        narrow = sorted(self._of(RowCheck, ShareCheck), key=lambda b: b.rule.column)
+        for at in range(0, len(narrow), VIOLATION_RULES_PER_PASS):
+            found = [
+                F.when(b.check.fails & self._over_limit(b), entry(b)) if isinstance(b.check, ShareCheck)
+                else F.when(b.check.fails, entry(b))
+                for b in narrow[at : at + VIOLATION_RULES_PER_PASS]
+            ]
+            # The array is built by one projection and thinned out by the next operator. In a single
+            # expression the predicates would stand inside a lambda and be interpreted.
+            rows = self._df.select(row_key, F.array(*found).alias("found"))
+            parts.append(rows.select("row_key", F.inline(F.array_compact("found"))))
         for b in self._of(RepeatCheck):
             failing = repeats(self._df, b.check.keys, self.key)
-            parts.append(
-                failing.select(entry(b, b.check.value(), b.check.reason(label)).alias("v")).select("v.*")
-            )
+            parts.append(failing.select(row_key, entry(b).alias("v")).select("row_key", "v.*"))
         if not parts:
-            return self._df.limit(0).select(
-                entry(_Bound(0, Rule("", "x", "not_null"), Skipped("")), F.lit(""), F.lit("")).alias("v")
-            ).select("v.*")
-        return reduce(DataFrame.unionByName, parts)
+            nothing = F.struct(F.lit(0).alias("position"), F.lit("").alias("value"), F.lit("").alias("note"))
+            parts.append(self._df.limit(0).select(row_key, nothing.alias("v")).select("row_key", "v.*"))
+        return self._described(reduce(DataFrame.unionByName, parts))
+
+    def _share(self, b: _Bound) -> Column:
+        """The share of the table that matches, in percent: a scalar subquery, evaluated once."""
+        measures = F.count(F.lit(1)).alias("total"), cells.count_where(b.check.fails).alias("failed")
+        return self._df.agg(*measures).select(_pct(F.col("failed"), F.col("total"))).scalar()
+
+    def _over_limit(self, b: _Bound) -> Column:
+        return self._share(b) > b.check.limit_pct
+
+    def _described(self, found: DataFrame) -> DataFrame:
+        """Violations in full, from (row_key, position, value, note)."""
+        texts = []
+        for b in self._bound:
+            reason, value = getattr(b.check, "reason", Message()), getattr(b.check, "value", NO_VALUE)
+            texts.append(
+                {"rule_id": b.rule.id, "column_name": b.rule.column, "before": reason.before, "after": reason.after,
+                 "is_float": value.is_float}
+            )
+        schema = "ARRAY<STRUCT<rule_id STRING, column_name STRING, before STRING, after STRING, is_float BOOLEAN>>"
+        rule = F.get(F.from_json(F.lit(json.dumps(texts)), schema), F.col("position"))
+        label = F.concat_ws("/", *[F.col("row_key")[k].cast("string") for k in self.key])
+        if any(t["is_float"] for t in texts):
+            shown = F.when(rule["is_float"], cells.text(F.col("value").try_cast("double"), T.DoubleType()))
+            found = found.withColumn("value", shown.otherwise(F.col("value")))
+        with_value = F.concat(rule["before"], F.coalesce("value", F.lit("null")), rule["after"])
+        reason = F.concat(F.lit("Row "), label, F.coalesce("note", with_value, rule["before"]))
+        for b in self._of(ShareCheck):
+            text = F.format_string(
+                f"Column '{b.check.column}' has %.1f%% nulls (threshold: {b.check.limit_pct}%%)", self._share(b)
+            )
+            reason = F.when(F.col("position") == b.position, text).otherwise(reason)
+        return found.select(
+            F.lit(self.run_id).alias("run_id"), "position", rule["rule_id"].alias("rule_id"),
+            rule["column_name"].alias("column_name"), "row_key", "value", reason.alias("reason"),
+        )
 
     def failed(self) -> DataFrame:
         return self.rule_results.filter(~F.col("passed"))
@@ -205,8 +226,13 @@ def _attach(df: DataFrame, b: _Bound) -> DataFrame:
         return df
 
 
-def bind_rules(df: DataFrame, rules: Iterable[Rule], as_of: dt.date | str | None = None) -> list[_Bound]:
-    """Bind rules to the schema. Runs a job only when there are `outlier` rules."""
+def bind_rules(
+    df: DataFrame, rules: Iterable[Rule], as_of: dt.date | str | None = None
+) -> tuple[list[_Bound], dict[str, Column]]:
+    """Bind rules to the schema; also returns the columns that their predicates share.
+
+    Runs a job only when there are `outlier` rules.
+    """
     rules, day = list(rules), as_of_date(as_of)
     wanted = {
         r.column: cells.double(F.col(f"`{r.column}`"), df.schema[r.column].dataType)
@@ -214,7 +240,9 @@ def bind_rules(df: DataFrame, rules: Iterable[Rule], as_of: dt.date | str | None
         if r.type == "outlier" and r.column in df.columns
     }
     quartiles = exact_quantiles(df, wanted, OUTLIER_PROBS)
-    return [_Bound(i, r, bind(Target(r, df.schema, day, quartiles))) for i, r in enumerate(rules)]
+    shared = Shared()
+    bound = [_Bound(i, r, bind(Target(r, df.schema, day, quartiles, shared))) for i, r in enumerate(rules)]
+    return bound, shared.columns
 
 
 def validate(
@@ -229,7 +257,8 @@ def validate(
     `key` names the columns that identify a row; it is only needed for `violations`. `as_of` is the day that
     counts as today (default: the current date).
     """
-    bound = bind_rules(df, rules, as_of)
+    bound, shared = bind_rules(df, rules, as_of)
+    df = df.withColumns(shared) if shared else df
     for b in bound:
         df = _attach(df, b)
     return ValidationRun(df, bound, run_id or uuid.uuid4().hex, key)

@@ -15,7 +15,18 @@ from pyspark.sql import types as T
 from plumbline.functions import cells, dates
 from plumbline.functions.cells import is_numeric, is_string
 from plumbline.functions.patterns import PatternError, match_start
-from plumbline.plans.checks import Broken, Check, Reason, RepeatCheck, RowCheck, ShareCheck, Skipped, data_columns
+from plumbline.plans.checks import (
+    NO_VALUE,
+    Broken,
+    Check,
+    Message,
+    RepeatCheck,
+    RowCheck,
+    ShareCheck,
+    Skipped,
+    Value,
+    data_columns,
+)
 from plumbline.plans.rules import Rule
 
 # ---- fixed values ----------------------------------------------------------------------------
@@ -36,6 +47,29 @@ OUTLIER_PROBS = (0.25, 0.75)
 INLINE_LIST = 500
 
 
+class Shared:
+    """Parsed forms of text columns that several predicates use, each computed once per row.
+
+    They become columns of a projection below the predicates. Its code is one method, so there is a limit;
+    what is beyond it is parsed where it is used.
+    """
+
+    LIMIT = 16
+
+    def __init__(self):
+        self.columns: dict[str, Column] = {}
+        self._names: dict[tuple, str] = {}
+
+    def use(self, key: tuple, build: Callable[[], Column]) -> Column:
+        if key not in self._names:
+            if len(self._names) >= self.LIMIT:
+                return build()
+            name = f"__shared_{len(self._names)}_{uuid.uuid4().hex}"
+            self._names[key] = name
+            self.columns[name] = build()
+        return F.col(self._names[key])
+
+
 @dataclass
 class Target:
     """A rule together with what it is bound to."""
@@ -45,6 +79,7 @@ class Target:
     as_of: Column
     # Quartiles by column, filled in before the checks are built.
     quartiles: dict[str, list[float | None]] = field(default_factory=dict)
+    shared: Shared = field(default_factory=Shared)
 
     def param(self, name: str, default: Any = None) -> Any:
         return self.rule.params.get(name, default)
@@ -62,25 +97,33 @@ class Target:
         return cells.present(self.col(name), self.dtype(name))
 
     def number(self, name: str | None = None) -> Column:
-        return cells.number(self.col(name), self.dtype(name))
+        dtype = self.dtype(name)
+        if not is_string(dtype):
+            return cells.number(self.col(name), dtype)
+        return self.shared.use(("number", name or self.rule.column), lambda: cells.number(self.col(name), dtype))
 
     def text(self, name: str | None = None) -> Column:
         return cells.text(self.col(name), self.dtype(name))
 
-    def date(self, name: str | None = None, fmt: str | None = None) -> Column:
-        return dates.parse(self.col(name), self.dtype(name), fmt or self.param("format", dates.DEFAULT_FORMAT))
-
-    def reason(self, ending: str) -> Reason:
-        """Row i: 'column' value 'v' <ending>."""
+    def value(self, name: str | None = None) -> Value:
+        dtype = self.dtype(name)
+        if cells.is_float(dtype):
+            return Value(lambda: cells.clean(self.col(name), dtype).cast("string"), is_float=True)
+        return Value(lambda: self.text(name))
 
-        def build(row: Column) -> Column:
-            shown = F.coalesce(self.text(), F.lit("null"))
-            return F.concat(F.lit("Row "), row, F.lit(f": '{self.rule.column}' value '"), shown, F.lit(f"' {ending}"))
+    def date(self, name: str | None = None) -> Column:
+        fmt, dtype = self.param("format", dates.DEFAULT_FORMAT), self.dtype(name)
+        if not is_string(dtype):
+            return dates.parse(self.col(name), dtype, fmt)
+        key = ("date", name or self.rule.column, fmt)
+        return self.shared.use(key, lambda: dates.parse(self.col(name), dtype, fmt))
 
-        return build
+    def reason(self, ending: str) -> Message:
+        """Row i: 'column' value 'v' <ending>"""
+        return Message(f": '{self.rule.column}' value '", f"' {ending}")
 
     def row_check(self, fails: Column, ending: str, **extra) -> RowCheck:
-        return RowCheck(F.coalesce(fails, F.lit(False)), self.text, self.reason(ending), **extra)
+        return RowCheck(F.coalesce(fails, F.lit(False)), self.value(), self.reason(ending), **extra)
 
 
 VALIDATORS: dict[str, Callable[[Target], Check]] = {}
@@ -114,25 +157,21 @@ def bind(target: Target) -> Check:
         return Broken(f"Validator error: {e}")
 
 
-def _no_value() -> Column:
-    return F.lit(None).cast("string")
-
-
 # ---- missing and repeated values -------------------------------------------------------------
 
 
 @_type("not_null")
 def _not_null(t: Target) -> Check:
     return RowCheck(
-        ~t.present(), t.text,
-        lambda row: F.concat(F.lit("Row "), row, F.lit(f": '{t.rule.column}' is null or empty")),
+        ~t.present(), t.value(),
+        Message(f": '{t.rule.column}' is null or empty"),
     )
 
 
 @_type("missing_threshold")
 def _missing_threshold(t: Target) -> Check:
     return ShareCheck(
-        cells.missing(t.col(), t.dtype()), t.text, float(t.param("max_null_pct", 20.0)), t.rule.column
+        cells.missing(t.col(), t.dtype()), t.value(), float(t.param("max_null_pct", 20.0)), t.rule.column
     )
 
 
@@ -140,7 +179,7 @@ def _missing_threshold(t: Target) -> Check:
 def _unique(t: Target) -> Check:
     if isinstance(t.dtype(), T.MapType):
         return Broken(f"Column '{t.rule.column}' is a map and cannot be compared")
-    return RepeatCheck((t.rule.column,), t.text, t.reason("is duplicated"))
+    return RepeatCheck((t.rule.column,), t.value(), t.reason("is duplicated"))
 
 
 @_type("duplicate_row")
@@ -151,10 +190,7 @@ def _duplicate_row(t: Target) -> Check:
             return Broken(f"Column '{k}' not in dataset")
         if isinstance(t.dtype(k), T.MapType):
             return Broken(f"Column '{k}' is a map and cannot be compared")
-    return RepeatCheck(
-        keys, _no_value,
-        lambda row: F.concat(F.lit("Row "), row, F.lit(": Entire row is a duplicate")),
-    )
+    return RepeatCheck(keys, NO_VALUE, Message(": Entire row is a duplicate"))
 
 
 # ---- numbers ---------------------------------------------------------------------------------
@@ -251,11 +287,10 @@ def _cross_field(t: Target) -> Check:
     return RowCheck(
         # A missing operand makes the comparison null, and null does not fail.
         F.coalesce(~_OPERATORS[op](a, b), F.lit(False)),
-        lambda: t.text(left),
-        lambda row: F.concat(
-            F.lit("Row "), row, F.lit(f": {left} ("), a.cast("string"), F.lit(f") not {op} {right} ("),
-            b.cast("string"), F.lit(")"),
-        ),
+        t.value(left),
+        Message(note=lambda: F.concat(
+            F.lit(f": {left} ("), a.cast("string"), F.lit(f") not {op} {right} ("), b.cast("string"), F.lit(")"),
+        )),
     )
 
 
@@ -299,8 +334,8 @@ def _min_length(t: Target) -> Check:
 def _max_length(t: Target) -> Check:
     most = int(t.param("max_length", 255))
     return RowCheck(
-        t.present() & (F.length(t.text()) > most), t.text,
-        lambda row: F.concat(F.lit("Row "), row, F.lit(f": '{t.rule.column}' value length > {most}")),
+        t.present() & (F.length(t.text()) > most), t.value(),
+        Message(f": '{t.rule.column}' value length > {most}"),
     )
 
 
@@ -384,16 +419,12 @@ def _email_domain(t: Target) -> Check:
     allowed = sorted({str(d).lower() for d in t.param("domains") or []})
     known, prepare = _in_list(domain, allowed) if allowed else (F.lit(True), None)
 
-    def ending() -> Column:
-        return F.when(~has_at, F.concat(F.lit("value '"), address, F.lit("' is not a valid email"))).otherwise(
-            F.concat(F.lit("domain '"), domain, F.lit("' not in the allowed domains"))
-        )
+    def note() -> Column:
+        return F.when(~has_at, F.concat(F.lit(f": '{t.rule.column}' value '"), address, F.lit("' is not a valid email"))
+        ).otherwise(F.concat(F.lit(f": '{t.rule.column}' domain '"), domain, F.lit("' not in the allowed domains")))
 
-    return RowCheck(
-        F.coalesce(t.present() & (~has_at | ~known), F.lit(False)), t.text,
-        lambda row: F.concat(F.lit("Row "), row, F.lit(f": '{t.rule.column}' "), ending()),
-        prepare,
-    )
+    fails = F.coalesce(t.present() & (~has_at | ~known), F.lit(False))
+    return RowCheck(fails, t.value(), Message(note=note), prepare)
 
 
 @_type("data_consistency")
@@ -414,11 +445,11 @@ def _data_consistency(t: Target) -> Check:
     else:
         expected, prepare = joined_lookup(key, pairs)
     return RowCheck(
-        F.coalesce(actual != expected, F.lit(False)), lambda: t.text(checked),
-        lambda row: F.concat(
-            F.lit("Row "), row, F.lit(f": {reference}='"), key, F.lit(f"' expects {checked}='"), expected,
-            F.lit("', got '"), actual, F.lit("'"),
-        ),
+        F.coalesce(actual != expected, F.lit(False)), t.value(checked),
+        Message(note=lambda: F.concat(
+            F.lit(f": {reference}='"), key, F.lit(f"' expects {checked}='"), expected, F.lit("', got '"), actual,
+            F.lit("'"),
+        )),
         prepare,
     )
 
@@ -432,18 +463,18 @@ def _date(t: Target) -> Check:
     return t.row_check(t.present() & t.date().isNull(), f"invalid date (expected {fmt})")
 
 
-def _date_reason(t: Target, parsed: Column, invalid: str, ending: Callable[[], Column]) -> Reason:
-    return lambda row: F.concat(
-        F.lit("Row "), row, F.lit(f": '{t.rule.column}' value '"), t.text(), F.lit("' "),
+def _date_reason(t: Target, parsed: Column, invalid: str, ending: Callable[[], Column]) -> Message:
+    return Message(note=lambda: F.concat(
+        F.lit(f": '{t.rule.column}' value '"), t.text(), F.lit("' "),
         F.when(parsed.isNull(), F.lit(invalid)).otherwise(ending()),
-    )
+    ))
 
 
 @_type("future_date")
 def _future_date(t: Target) -> Check:
     day = t.date().cast("date")
     return RowCheck(
-        F.coalesce(t.present() & (day.isNull() | (day > t.as_of)), F.lit(False)), t.text,
+        F.coalesce(t.present() & (day.isNull() | (day > t.as_of)), F.lit(False)), t.value(),
         _date_reason(t, day, "is not a valid date", lambda: F.lit("is a future date")),
     )
 
@@ -454,7 +485,7 @@ def _data_freshness(t: Target) -> Check:
     day = t.date().cast("date")
     age = F.datediff(t.as_of, day)
     return RowCheck(
-        F.coalesce(t.present() & (day.isNull() | (age > F.lit(most))), F.lit(False)), t.text,
+        F.coalesce(t.present() & (day.isNull() | (age > F.lit(most))), F.lit(False)), t.value(),
         _date_reason(
             t, day, "invalid date",
             lambda: F.concat(F.lit("is "), age.cast("string"), F.lit(f" days old (max: {most})")),
@@ -470,11 +501,10 @@ def _date_order(t: Target) -> Check:
     if not t.has(start):
         return Broken(f"Column '{start}' not in dataset")
     return RowCheck(
-        F.coalesce(t.date(start) > t.date(end), F.lit(False)), lambda: t.text(start),
-        lambda row: F.concat(
-            F.lit("Row "), row, F.lit(f": {start} '"), t.text(start), F.lit(f"' > {end} '"), t.text(end),
-            F.lit("'"),
-        ),
+        F.coalesce(t.date(start) > t.date(end), F.lit(False)), t.value(start),
+        Message(note=lambda: F.concat(
+            F.lit(f": {start} '"), t.text(start), F.lit(f"' > {end} '"), t.text(end), F.lit("'"),
+        )),
     )
 
 
@@ -497,8 +527,8 @@ def _business_rule(t: Target) -> Check:
             spark.conf.set("spark.sql.ansi.enabled", ansi)
 
     return RowCheck(
-        ~F.coalesce(F.col(name), F.lit(False)), _no_value,
-        lambda row: F.concat(F.lit("Row "), row, F.lit(f": Business rule '{expression}' failed")),
+        ~F.coalesce(F.col(name), F.lit(False)), NO_VALUE,
+        Message(f": Business rule '{expression}' failed"),
         prepare,
     )
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Columns that `with_row_key` adds. They identify a row but are not part of its data.
 GENERATED_KEY = ("row_file", "row_index")
@@ -15,9 +16,31 @@ def data_columns(names: list[str]) -> list[str]:
     return [n for n in names if n not in GENERATED_KEY]
 
 
-# The failing value, and a message built from the text that names the row. Both are made only for violations.
-Value = Callable[[], Column]
-Reason = Callable[[Column], Column]
+
+@dataclass(frozen=True)
+class Value:
+    """The failing value as text; made only for violations.
+
+    Floats come as Spark writes them and are put into their final form together at the end.
+    """
+
+    build: Callable[[], Column]
+    is_float: bool = False
+
+
+NO_VALUE = Value(lambda: F.lit(None).cast("string"))
+
+
+@dataclass(frozen=True)
+class Message:
+    """Why a row fails: `Row <row><before>[<value><after>]`, or `Row <row><note>` with a note made per row.
+
+    Texts that are the same for all rows are kept out of the generated code and put together at the end.
+    """
+
+    before: str = ""
+    after: str | None = None
+    note: Callable[[], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -26,7 +49,7 @@ class RowCheck:
 
     fails: Column
     value: Value
-    reason: Reason
+    reason: Message
     # Adds the columns that the predicate reads (a lookup, an expression); usually nothing to add.
     prepare: Callable[[DataFrame], DataFrame] | None = None
     warning: str | None = None
@@ -48,7 +71,7 @@ class RepeatCheck:
 
     keys: tuple[str, ...]
     value: Value
-    reason: Reason
+    reason: Message
 
 
 @dataclass(frozen=True)

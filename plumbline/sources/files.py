@@ -97,7 +97,7 @@ def infer_types(df: DataFrame) -> T.StructType:
     for i, name in enumerate(df.columns):
         c = F.col(f"`{name}`")
         for kind, fits in _candidates(c).items():
-            measures.append(F.count_if(c.isNotNull() & ~F.coalesce(fits, F.lit(False))).alias(f"{kind}{i}"))
+            measures.append(cells.count_where(c.isNotNull() & ~F.coalesce(fits, F.lit(False))).alias(f"{kind}{i}"))
         measures.append(F.count(c).alias(f"known{i}"))
     row = df.agg(*measures).first()
     types = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}

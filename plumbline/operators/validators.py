@@ -54,7 +54,7 @@ class Shared:
     what is beyond it is parsed where it is used.
     """
 
-    LIMIT = 16
+    LIMIT = 10
 
     def __init__(self):
         self.columns: dict[str, Column] = {}

@@ -82,7 +82,9 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: dict[str, Column], s
         return frame.select(*[_quoted(c).alias(f"{c}{name}") for c in renamed.columns])
 
     hot = side(renamed.filter(is_hot), "_hot")
-    cold = side(renamed.filter(~is_hot), "_cold").withColumn(f"__salt_{tag}", F.lit(0))
+    # Always 0, but not a literal: with a literal the optimizer would take the salt out of the join keys.
+    no_salt = (_quoted(f"__{size}_{tag}_cold") < 0).cast("int")
+    cold = side(renamed.filter(~is_hot), "_cold").withColumn(f"__salt_{tag}", no_salt)
     settled = _quoted(f"__{size}_{tag}_hot").isNotNull()
     salt = F.when(settled, F.pmod(F.col(f"__spread_{tag}"), F.lit(SALTS)).cast("int") + 1).otherwise(F.lit(0))
     joined = rows.join(F.broadcast(hot), same_key("_hot"), "left").join(

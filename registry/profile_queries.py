@@ -234,7 +234,7 @@ def _joined_samples(df: DataFrame) -> DataFrame:
 @register(
     "exact_quantiles",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", {p} AS p, CAST(quantile_cont({c}, {p}) AS DOUBLE) AS value FROM lineitem"
+        f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS p, CAST(quantile_cont({c}, {p}) AS DOUBLE) AS value FROM lineitem"
         for c in ("l_quantity", "l_extendedprice")
         for p in (0.01, 0.25, 0.5, 0.75, 0.99)
     ),

@@ -287,7 +287,7 @@ def violation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["violation_samples"] = violation_samples
 ORACLES["violation_samples"] = with_dirty(f"""
-SELECT rule_id, row_key, value, sample_no FROM (
+SELECT rule_id, row_key, value, CAST(sample_no AS INTEGER) AS sample_no FROM (
   SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY row_key) AS sample_no FROM ({SAMPLES_SQL}))
 WHERE sample_no <= 10""")
 

@@ -84,3 +84,33 @@ def test_empty(spark):
     df = spark.createDataFrame([], "a STRING, rk BIGINT")
     assert tuple(repeats.repeat_counts(df, ["a"]).first()) == (0, 0)
     assert repeats.repeats(df, ["a"], ["rk"]).count() == 0
+
+
+def test_a_hot_key_is_spread(spark, monkeypatch):
+    """With broadcast by size, coalescing and Spark's own skew handling switched off, the salts do it alone."""
+    from pyspark.sql import functions as F
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    df = spark.range(24_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7000)).alias("a"),
+        F.col("id").alias("rk"),
+    )
+
+    def fullest(hot_rows):
+        monkeypatch.setattr(repeats, "HOT_ROWS", hot_rows)
+        found = repeats.copies(df, ["a"], "n").select(F.spark_partition_id().alias("p")).groupBy("p").count()
+        return max(r["count"] for r in found.collect())
+
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert fullest(10**9) > 8000  # all hot rows in one task
+        assert fullest(1000) < 4500  # 3000 per task on average
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -477,7 +477,59 @@ def suggest_rules_parts(spark, sf_dir):
     return _suggested(table(spark, sf_dir, "part"), spark)
 
 
-@register("suggest_rules_dirty")
+def _missing_sql(c: str) -> str:
+    """The severity of a `not_null` suggestion."""
+    return f"(SELECT CASE WHEN count(*) FILTER (WHERE {c} IS NULL) > count(*) * 0.3 THEN 'high' ELSE 'medium' END FROM d)"
+
+
+def _values_sql(c: str) -> str:
+    return (
+        f"(SELECT concat('values=[', string_agg(concat('\"', v, '\"'), ', ' ORDER BY v), ']') "
+        f"FROM (SELECT DISTINCT {c} AS v FROM d WHERE {c} IS NOT NULL))"
+    )
+
+
+def _is_missing(c: str) -> tuple[str, str, str, str, str]:
+    return (c, "not_null", _missing_sql(c), f"Ensure {c} is not null", "''")
+
+
+def _in_range(c: str) -> tuple[str, str, str, str, str]:
+    return (c, "range", "'medium'", f"Ensure {c} is within expected range", _widened_sql(c, "d"))
+
+
+def _has_outliers(c: str) -> tuple[str, str, str, str, str]:
+    return (c, "outlier", "'medium'", f"Detect outliers in {c}", "''")
+
+
+_DIRTY_SUGGESTIONS = [
+    _in_range("row_key"), _has_outliers("row_key"),
+    _in_range("customer_id"), _has_outliers("customer_id"),
+    _is_missing("name"),
+    _is_missing("email"), ("email", "email", "'medium'", "Validate email format in email", "''"),
+    _is_missing("age"), _in_range("age"), ("age", "range", "'high'", "Ensure age is valid", "'max=120;min=0'"),
+    _has_outliers("age"),
+    _is_missing("amount_text"), ("amount_text", "positive", "'high'", "Ensure amount_text is positive", "''"),
+    _is_missing("phone"), ("phone", "phone", "'low'", "Validate phone format in phone", "''"),
+    _is_missing("signup_date"), ("signup_date", "date", "'low'", "Validate date format in signup_date", "''"),
+    _is_missing("end_date"), ("end_date", "date", "'low'", "Validate date format in end_date", "''"),
+    _is_missing("country"),
+    ("country", "allowed_values", "'medium'", "Ensure country has valid values", _values_sql("country")),
+    ("currency", "allowed_values", "'medium'", "Ensure currency has valid values", _values_sql("currency")),
+    _in_range("salary"), ("salary", "positive", "'high'", "Ensure salary is positive", "''"), _has_outliers("salary"),
+    ("_all", "duplicate_row", "'high'", "Check for duplicate rows", "''"),
+]
+
+
+@register(
+    "suggest_rules_dirty",
+    with_dirty(
+        " UNION ALL ".join(
+            f"SELECT 'R{n:03d}' AS id, '{c}' AS \"column\", '{t}' AS type, {s} AS severity, '{d}' AS description, "
+            f"{p} AS params"
+            for n, (c, t, s, d, p) in enumerate(_DIRTY_SUGGESTIONS, 1)
+        )
+    ),
+)
 def suggest_rules_dirty(spark, sf_dir):
     return _suggested(dirty(spark, sf_dir), spark)
 

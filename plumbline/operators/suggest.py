@@ -66,7 +66,7 @@ def profile_for_rules(df: DataFrame) -> dict[str, dict]:
         if "id" in f.name.lower() and nulls == 0:
             if values is not None:
                 all_distinct = len(values) == row["rows"]
-            else:
+            elif row[f"d{i}"] * 2 >= row["rows"]:  # a key is never estimated at less than half its size
                 all_distinct = repeat_counts(df, [f.name]).first()["repeats"] == 0
         found[f.name] = {
             "rows": row["rows"], "nulls": nulls,

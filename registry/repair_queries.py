@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import Rule, run_loop
 from plumbline.operators import loop, repair
 from registry.inputs import AS_OF, dirty, table, with_dirty
-from registry.rule_queries import EMAIL, NUMBER, _day, _num, _present
+from registry.rule_queries import EMAIL, _day, _num, _present
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

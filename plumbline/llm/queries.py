@@ -13,10 +13,12 @@ from plumbline.llm.decontamination import contaminated, contamination
 from plumbline.llm.fingerprints import edited_fingerprints
 from plumbline.llm.language_id import languages
 from plumbline.llm.line_dedup import repeated_spans
+from plumbline.llm.lm_scores import lm_scores
 from plumbline.llm.packing import pack
 from plumbline.llm.sharding import shards
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.token_counts import token_counts
+from plumbline.llm.toxicity import toxicity as toxic_scores
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +43,18 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_documents(spark, sf_dir)).drop("copy", "digest")
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
@@ -65,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints,
     "op2_sharding": sharding,
     "op3_decontamination": decontamination,
+    "op4_toxicity": toxicity,
     "op5_substring_dedup": substring_dedup,
+    "op6_lm_scoring": lm_scoring,
     "op7_simhash": simhash,
     "op8_token_counts": token_count,
     "op9_packing": packing,

@@ -185,7 +185,7 @@ def repair_round(
     for n, rule in enumerate(failed):
         if rule.column not in df.columns and rule.column != "_all":
             continue
-        attempt = {"rule": rule, "fix": "none", "effect": None, "needs_review": rule.type in REVIEW_ONLY}
+        attempt = {"rule": rule, "place": n, "fix": "none", "effect": None, "needs_review": rule.type in REVIEW_ONLY}
         attempts.append(attempt)
         general, specific = TEMPLATE_REPAIRS.get(rule.type), TYPED_REPAIRS.get(rule.type)
         options = [r for r in ([general] if prefer == "template" else []) + [specific] if r is not None]
@@ -264,7 +264,7 @@ def run_loop(
         for a in done:
             changed = a.get("changed_rows", 0)
             attempts.append(
-                (run_id, iteration, rules.index(a["rule"]), a["rule"].id, a["rule"].type, a["rule"].column,
+                (run_id, iteration, failures[a["place"]]["position"], a["rule"].id, a["rule"].type, a["rule"].column,
                  a["fix"], changed, changed > 0, a["needs_review"])
             )
         entry["fixes_attempted"] = len(done)

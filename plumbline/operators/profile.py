@@ -13,7 +13,6 @@ from plumbline.functions.cells import clean, count_where, is_date, is_numeric, i
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.repeats import key_columns, repeat_counts
 
-SUMMARY_COLUMNS = 40
 TOP_VALUES = 5
 
 
@@ -85,11 +84,19 @@ def top_values(df: DataFrame, name: str, k: int = TOP_VALUES) -> DataFrame:
     return value_counts(df, name).orderBy(F.desc("n"), "value").limit(k)
 
 
+def _digest(value: Column, dtype: T.DataType) -> list[Column]:
+    """What stands for a value in a group: the value if it is short, otherwise 128 bits of hashes."""
+    if isinstance(dtype, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+        return [F.xxhash64(value).alias("value"), F.xxhash64(F.lit(1), value).alias("again")]
+    return [value.alias("value")]
+
+
 def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = False) -> DataFrame:
     """(column, distinct_values), missing values not counted.
 
     Exact counts group each column on its own: the same bytes are read as in one pass over a columnar file,
-    and no row is copied once per column as a multi-column `count(DISTINCT ...)` would do.
+    and no row is copied once per column as a multi-column `count(DISTINCT ...)` would do. Texts are grouped by
+    128-bit hashes, so whole texts are not shuffled.
     """
     if approximate:
         row = df.agg(*[
@@ -101,14 +108,16 @@ def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = Fal
             for i, n in enumerate(names)
         ]
         return row.select(F.inline(F.array(*entries)))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            value_counts(df, n).agg(F.count(F.lit(1)).alias("distinct_values"))
-            .select(F.lit(n).alias("column"), "distinct_values")
-            for n in names
-        ],
-    )
+
+    def one(name: str) -> DataFrame:
+        dtype = df.schema[name].dataType
+        value = clean(_col(name), dtype)
+        groups = df.filter(value.isNotNull()).select(*_digest(value, dtype)).distinct()
+        return groups.agg(F.count(F.lit(1)).alias("distinct_values")).select(F.lit(name).alias("column"), "distinct_values")
+
+    if not names:
+        return df.sparkSession.createDataFrame([], "column STRING, distinct_values BIGINT")
+    return reduce(DataFrame.unionByName, [one(n) for n in names])
 
 
 def numeric_profile(df: DataFrame, name: str) -> DataFrame:
@@ -134,8 +143,8 @@ def numeric_profile(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def text_profile(df: DataFrame, name: str) -> DataFrame:
-    """One row: type, nulls, distinct values, the longest and shortest length, and the top values.
+def text_profile(df: DataFrame, name: str, k: int = TOP_VALUES) -> DataFrame:
+    """One row: type, nulls, distinct values, the longest and shortest length, and the `k` top values.
 
     One shuffle of the value counts serves the distinct count, the lengths and the top values.
     """
@@ -147,7 +156,7 @@ def text_profile(df: DataFrame, name: str) -> DataFrame:
         F.coalesce(F.max(F.length("value")), F.lit(0)).alias("max_length"),
         F.coalesce(F.min(F.length("value")), F.lit(0)).alias("min_length"),
     )
-    top = groups.filter(F.col("value").isNotNull()).orderBy(F.desc("n"), "value").limit(TOP_VALUES)
+    top = groups.filter(F.col("value").isNotNull()).orderBy(F.desc("n"), "value").limit(k)
     listed = top.agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("value").alias("value")))),
@@ -189,11 +198,13 @@ def column_profile(df: DataFrame, name: str) -> DataFrame:
 
 
 def column_summary(df: DataFrame, row_key: Sequence[str], approximate: bool = False, samples: int = 5) -> DataFrame:
-    """One row per column (the first 40): nulls, distinct values, range and mean, first sample values.
+    """One row per column: nulls, distinct values, range and mean, first sample values.
 
-    Samples are the non-missing values with the smallest row keys, found as a bounded top-k per column.
+    Samples are the non-missing values with the smallest row keys, found as a bounded top-k per column. Maps can
+    neither be counted nor be compared: their distinct values are null and their samples empty.
     """
-    fields = [f for f in df.schema if not isinstance(f.dataType, T.MapType)][:SUMMARY_COLUMNS]
+    fields = list(df.schema)
+    plain = [f for f in fields if not isinstance(f.dataType, T.MapType)]
     measures, entries = [F.count(F.lit(1)).alias("total")], []
     for i, f in enumerate(fields):
         value = clean(_col(f.name), f.dataType)
@@ -214,6 +225,7 @@ def column_summary(df: DataFrame, row_key: Sequence[str], approximate: bool = Fa
         )
     base = df.agg(*measures).select(F.inline(F.array(*entries)))
     order = [_col(k).alias(f"k{i}") for i, k in enumerate(row_key)]
+    no_firsts = df.sparkSession.createDataFrame([], "column STRING, samples ARRAY<STRING>")
     firsts = reduce(
         DataFrame.unionByName,
         [
@@ -223,11 +235,13 @@ def column_summary(df: DataFrame, row_key: Sequence[str], approximate: bool = Fa
             .limit(samples)
             .agg(F.array_sort(F.collect_list(F.struct(F.struct(*[f"k{i}" for i in range(len(row_key))]), "value"))).alias("s"))
             .select(F.lit(f.name).alias("column"), F.transform("s", lambda x: x["value"]).alias("samples"))
-            for f in fields
+            for f in plain
         ],
+        no_firsts,
     )
-    distinct = distinct_counts(df, [f.name for f in fields], approximate)
+    distinct = distinct_counts(df, [f.name for f in plain], approximate)
     # Both sides have one row per column of the table.
-    return base.join(F.broadcast(distinct), "column").join(F.broadcast(firsts), "column").select(
-        "position", "column", "dtype", "nulls", "null_pct", "distinct_values", "min", "max", "mean", "samples"
-    )
+    return base.join(F.broadcast(distinct), "column", "left").join(F.broadcast(firsts), "column", "left").select(
+        "position", "column", "dtype", "nulls", "null_pct", "distinct_values", "min", "max", "mean",
+        F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
+    )

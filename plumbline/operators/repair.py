@@ -20,11 +20,10 @@ from plumbline.operators.profile import value_counts
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.plans.checks import data_columns
 from plumbline.operators.validators import EMAIL_PATTERN, PLACEHOLDERS, as_of_date, outlier_bounds
+from plumbline.sources.storage import cut_lineage
 
 UNKNOWN = "Unknown"
 REPEAT_SUFFIX = "_dup"
-# Replacement maps longer than this are joined.
-INLINE_MAP = 200
 
 
 def _col(name: str) -> Column:
@@ -200,7 +199,7 @@ def keep_between(df: DataFrame, name: str, low: float, high: float) -> DataFrame
 
 def drop_bad_phones(df: DataFrame, name: str, shortest: int = 7) -> DataFrame:
     """Keep numbers made of digits, `+ - ( )` and white space, and not too short."""
-    return df.filter(match_start(_col(name), r"^[\d\+\-\(\)\s]+$") & (F.length(_col(name)) >= shortest))
+    return df.filter(match_start(_col(name), r"[-+()\d\s]+$") & (F.length(_col(name)) >= shortest))
 
 
 def drop_bad_dates(df: DataFrame, name: str, formats: Sequence[str] = dates.LENIENT_FORMATS) -> DataFrame:
@@ -287,12 +286,15 @@ def impute_outside(df: DataFrame, name: str, low: float, high: float) -> DataFra
 # ---- user repairs and reports --------------------------------------------------------------------
 
 
-def apply_user_fix(df: DataFrame, fix: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A user's own DataFrame function; if it cannot be built, the data stays as it is."""
+def apply_user_fix(df: DataFrame, fix: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str | None]:
+    """The data after a user's own DataFrame function, and why it failed if it did; then the data is as it was.
+
+    The result is written to the shared folder, because a fix can also fail on a row while it runs.
+    """
     try:
-        return df.transform(fix)
-    except Exception:  # noqa: BLE001 - any failure of foreign code means "no change"
-        return df
+        return cut_lineage(df.transform(fix)), None
+    except Exception as e:  # noqa: BLE001 - any failure of foreign code means "no change", and is reported
+        return df, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:

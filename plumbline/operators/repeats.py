@@ -43,7 +43,7 @@ def key_columns(df: DataFrame, keys: Sequence[str]) -> list[Column]:
 def is_wide(df: DataFrame, keys: Sequence[str]) -> bool:
     def width(dtype: T.DataType) -> int:
         if is_string(dtype) or isinstance(dtype, (T.BinaryType, T.ArrayType, T.StructType)):
-            return 32
+            return WIDE_KEY + 1  # nothing bounds a text
         return 8
 
     return sum(width(df.schema[k].dataType) for k in keys) > WIDE_KEY

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.cells import clean, count_where, is_numeric, is_string, missing
-from plumbline.operators.repeats import repeat_counts
+from plumbline.operators.profile import distinct_counts
 from plumbline.plans.rules import Rule, RuleCatalog
 
 # ---- fixed values ----------------------------------------------------------------------------
@@ -18,60 +18,37 @@ MONEY_WORDS = ("income", "amount", "salary", "price", "cost", "revenue", "mnt",
 MANY_NULLS = 0.3
 CATEGORIES = (2, 15)
 OUTLIER_DISTINCT = 10
-ENOUGH_RULES = 25
-
-# Columns whose estimated number of distinct values is at most this get an exact set; a true count near
-# the limits above is always estimated well below it.
-FEW = 100
 
 
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _plain(value):
-    """A literal as Python writes it in a rule."""
-    return value.isoformat() if hasattr(value, "isoformat") else value
-
-
 def profile_for_rules(df: DataFrame) -> dict[str, dict]:
-    """Per column what the suggestions need. Two scans, each one bounded row.
+    """Per column what the suggestions need, from bounded rows only.
 
-    Distinct values are estimated first; only columns with few are collected exactly (as a small set), and
-    only columns named like an identifier are checked for repeats.
+    Distinct values are counted exactly; the values themselves are gathered only where they are so few that
+    they make a list of allowed values.
     """
-    measures = [F.count(F.lit(1)).alias("rows")]
     fields = [f for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    measures = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         value = clean(_col(f.name), f.dataType)
-        measures += [
-            count_where(missing(_col(f.name), f.dataType)).alias(f"n{i}"),
-            F.approx_count_distinct(value).alias(f"d{i}"),
-        ]
+        measures.append(count_where(missing(_col(f.name), f.dataType)).alias(f"n{i}"))
         if is_numeric(f.dataType):
             measures += [F.min(value).cast("double").alias(f"a{i}"), F.max(value).cast("double").alias(f"b{i}")]
     row = df.agg(*measures).first().asDict()
-    few = [i for i in range(len(fields)) if row[f"d{i}"] <= FEW]
-    sets = {}
-    if few:
-        sets = (
-            df.agg(*[F.sort_array(F.collect_set(clean(_col(fields[i].name), fields[i].dataType))).alias(f"s{i}")
-                     for i in few]).first().asDict()
-        )
+    distinct = {r["column"]: r["distinct_values"] for r in distinct_counts(df, [f.name for f in fields]).collect()}
+    few = [f for f in fields if is_string(f.dataType) and distinct[f.name] <= CATEGORIES[1]]
+    sets = [F.sort_array(F.collect_set(_col(f.name))).alias(f"s{i}") for i, f in enumerate(few)]
+    listed = dict(zip([f.name for f in few], df.agg(*sets).first())) if sets else {}  # at most 15 values a column
     found = {}
     for i, f in enumerate(fields):
-        values = sets.get(f"s{i}")
-        nulls = row[f"n{i}"]
-        all_distinct = False
-        if "id" in f.name.lower() and nulls == 0:
-            if values is not None:
-                all_distinct = len(values) == row["rows"]
-            elif row[f"d{i}"] * 2 >= row["rows"]:  # a key is never estimated at less than half its size
-                all_distinct = repeat_counts(df, [f.name]).first()["repeats"] == 0
+        nulls, n = row[f"n{i}"], distinct[f.name]
         found[f.name] = {
-            "rows": row["rows"], "nulls": nulls,
-            "values": None if values is None else [_plain(v) for v in values],
-            "low": row.get(f"a{i}"), "high": row.get(f"b{i}"), "all_distinct": all_distinct,
+            "rows": row["rows"], "nulls": nulls, "distinct": n, "values": listed.get(f.name),
+            "low": row.get(f"a{i}"), "high": row.get(f"b{i}"),
+            "all_distinct": "id" in f.name.lower() and nulls == 0 and n == row["rows"],
             "numeric": is_numeric(f.dataType), "text": is_string(f.dataType),
         }
     return found
@@ -114,13 +91,13 @@ HINTS = (
     Hint("email", "medium", "Validate email format in {0}", _names("email")),
     Hint("date", "low", "Validate date format in {0}", _names("date", "dt_")),
     Hint("allowed_values", "medium", "Ensure {0} has valid values",
-         lambda name, p: p["text"] and p["values"] is not None and CATEGORIES[0] <= len(p["values"]) <= CATEGORIES[1],
+         lambda name, p: p["text"] and CATEGORIES[0] <= p["distinct"] <= CATEGORIES[1],
          lambda p: {"values": p["values"]}),
     Hint("phone", "low", "Validate phone format in {0}", _names("phone", "mobile")),
     Hint("range", "high", "Ensure {0} is valid year", _called("year_birth"), lambda p: {"min": 1900, "max": 2010}),
     Hint("range", "high", "Ensure {0} is valid", _called("age"), lambda p: {"min": 0, "max": 120}),
     Hint("outlier", "medium", "Detect outliers in {0}",
-         lambda name, p: p["numeric"] and (p["values"] is None or len(p["values"]) > OUTLIER_DISTINCT)),
+         lambda name, p: p["numeric"] and p["distinct"] > OUTLIER_DISTINCT),
 )
 
 
@@ -129,8 +106,6 @@ def suggest_rules(df: DataFrame) -> RuleCatalog:
     proposals: list[tuple[str, Hint, dict]] = []
     for name, p in profile_for_rules(df).items():
         proposals += [(name, h, h.params(p)) for h in HINTS if h.fits(name.lower(), p)]
-        if len(proposals) >= ENOUGH_RULES:
-            break
     whole_row = Hint("duplicate_row", "high", "Check for duplicate rows", lambda name, p: True)
     proposals.append(("_all", whole_row, {}))
     return RuleCatalog(

@@ -1,8 +1,8 @@
 """Run a list of rules over a table.
 
 All rules that look at one row share one aggregate over one scan. Rules about repeated keys add one
-`groupBy` per distinct key set. Quartiles for `outlier` rules are found beforehand for all columns at once.
-Nothing is collected but one bounded row of quartiles; results and violations stay lazy DataFrames.
+`groupBy` per distinct key set. Quartiles for `outlier` rules are found beforehand for all columns at once, by
+jobs that run while binding and collect one bounded row; results and violations stay lazy DataFrames.
 """
 
 from __future__ import annotations
@@ -137,7 +137,8 @@ class ValidationRun:
     def violations(self) -> DataFrame:
         """Every failing row of every rule: (run_id, position, rule_id, column_name, row_key, value, reason).
 
-        Row rules take one narrow pass. Rules that could not run have no violations, only a result.
+        Row rules take one narrow pass. A rule that could not run fails on all rows: each is a violation with the
+        message as its reason.
         """
         if not self.key:
             raise ValueError("violations need key columns: validate(df, rules, key=[...])")
@@ -163,6 +164,10 @@ class ValidationRun:
             # expression the predicates would stand inside a lambda and be interpreted.
             rows = self._df.select(row_key, F.array(*found).alias("found"))
             parts.append(rows.select("row_key", F.inline(F.array_compact("found"))))
+        if broken := self._of(Broken):
+            nothing = F.lit(None).cast("string")
+            entries = [F.struct(F.lit(b.position).alias("position"), nothing.alias("value"), nothing.alias("note")) for b in broken]
+            parts.append(self._df.select(row_key, F.inline(F.array(*entries))))
         for b in self._of(RepeatCheck):
             failing = repeats(self._df, b.check.keys, self.key)
             parts.append(failing.select(row_key, entry(b).alias("v")).select("row_key", "v.*"))
@@ -186,16 +191,18 @@ class ValidationRun:
             reason, value = getattr(b.check, "reason", Message()), getattr(b.check, "value", NO_VALUE)
             texts.append(
                 {"rule_id": b.rule.id, "column_name": b.rule.column, "before": reason.before, "after": reason.after,
-                 "is_float": value.is_float}
+                 "is_float": value.is_float, "broken": b.check.message if isinstance(b.check, Broken) else None}
             )
-        schema = "ARRAY<STRUCT<rule_id STRING, column_name STRING, before STRING, after STRING, is_float BOOLEAN>>"
+        schema = (
+            "ARRAY<STRUCT<rule_id STRING, column_name STRING, before STRING, after STRING, is_float BOOLEAN, broken STRING>>"
+        )
         rule = F.get(F.from_json(F.lit(json.dumps(texts)), schema), F.col("position"))
         label = F.concat_ws("/", *[F.col("row_key")[k].cast("string") for k in self.key])
         if any(t["is_float"] for t in texts):
             shown = F.when(rule["is_float"], cells.text(F.col("value").try_cast("double"), T.DoubleType()))
             found = found.withColumn("value", shown.otherwise(F.col("value")))
         with_value = F.concat(rule["before"], F.coalesce("value", F.lit("null")), rule["after"])
-        reason = F.concat(F.lit("Row "), label, F.coalesce("note", with_value, rule["before"]))
+        reason = F.coalesce(rule["broken"], F.concat(F.lit("Row "), label, F.coalesce("note", with_value, rule["before"])))
         for b in self._of(ShareCheck):
             text = F.format_string(
                 f"Column '{b.check.column}' has %.1f%% nulls (threshold: {b.check.limit_pct}%%)", self._share(b)

@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,7 @@ OUTLIER_PROBS = (0.25, 0.75)
 
 # Lists longer than this are joined instead of being written into the expression.
 INLINE_LIST = 500
+BROADCAST_BYTES = 8 << 20
 
 
 class Shared:
@@ -342,72 +344,88 @@ def _max_length(t: Target) -> Check:
 # ---- lists and lookups -----------------------------------------------------------------------
 
 
-def joined_lookup(key: Column, pairs: dict[str, str]) -> tuple[Column, Callable[[DataFrame], DataFrame]]:
-    """The value that a long mapping gives for a key, as a column that a join adds.
+def joined_lookup(
+    key: Column, pairs: list[tuple], key_type: T.DataType, value_type: T.DataType
+) -> tuple[Column, Callable[[DataFrame], DataFrame]]:
+    """The value that a long mapping gives for a key, as a column that a join on the key's own type adds.
 
-    The mapping comes from the rule text, so its size is known; it is broadcast up to 100,000 entries
+    The mapping comes from the rule text, so its size in bytes is known; it is broadcast up to BROADCAST_BYTES
     and left to the optimizer beyond.
     """
     k, v = f"__key_{uuid.uuid4().hex}", f"__value_{uuid.uuid4().hex}"
+    schema = T.StructType([T.StructField(k, key_type), T.StructField(v, value_type)])
 
     def prepare(df: DataFrame) -> DataFrame:
-        table = df.sparkSession.createDataFrame(list(pairs.items()), f"`{k}` STRING, `{v}` STRING")
-        side = F.broadcast(table) if len(pairs) <= 100_000 else table
-        return df.join(side, key == F.col(k), "left").drop(k)
+        table = df.sparkSession.createDataFrame(pairs, schema)
+        size = sum(len(str(x)) + 16 for pair in pairs for x in pair)
+        return df.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, key == F.col(k), "left").drop(k)
 
     return F.col(v), prepare
 
 
-def _in_list(key: Column, values: list) -> tuple[Column, Callable[[DataFrame], DataFrame] | None]:
+def listed(key: Column, values: list, key_type: T.DataType) -> tuple[Column, Callable[[DataFrame], DataFrame] | None]:
+    """Whether the key is among the values, which are of its type: one answer, in the expression or by a join."""
+    values = list(dict.fromkeys(values))
     if not values:
         return F.lit(False), None
     if len(values) <= INLINE_LIST:
-        return key.isin(values), None
-    found, prepare = joined_lookup(key.cast("string"), {str(v): "1" for v in values})
+        return key.isin([F.lit(v).cast(key_type) for v in values]), None
+    found, prepare = joined_lookup(key, [(v, True) for v in values], key_type, T.BooleanType())
     return found.isNotNull(), prepare
 
 
+def of_number_type(values: list, dtype: T.DataType) -> tuple[list, T.DataType]:
+    """The numbers of a list that a column of this type can hold, exactly, and the type to compare them in.
+
+    A whole number equals 5 and 5.0, and no fraction; a float column is compared as doubles.
+    """
+    numbers = [v for v in values if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) and v == v]
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return [float(v) for v in numbers], T.DoubleType()
+    finite = [v for v in numbers if not isinstance(v, float) or abs(v) != float("inf")]
+    if isinstance(dtype, T.DecimalType):
+        step = Decimal(1).scaleb(-dtype.scale)
+        exact = [v if isinstance(v, Decimal) else Decimal(str(v)) for v in finite]
+        room = Decimal(10) ** (dtype.precision - dtype.scale)
+        return [v.quantize(step) for v in exact if abs(v) < room and v == v.quantize(step)], dtype
+    return [int(v) for v in finite if v == int(v) and -(2**63) <= v < 2**63], T.LongType()
+
+
 @_type("allowed_values")
 def _allowed_values(t: Target) -> Check:
     values = list(t.param("values") or [])
     dtype = t.dtype()
     # A number never equals a text, so values of the other kind cannot match.
     if is_numeric(dtype):
-        values = [v for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
-        key = t.number()
-        if len(values) > INLINE_LIST:
-            key, values = key.cast("double"), [float(v) for v in values]
+        values, kind = of_number_type(values, dtype)
+        key = t.number().cast(kind)
     elif isinstance(dtype, T.BooleanType):
-        values = [v for v in values if isinstance(v, bool)]
-        key = t.col()
+        values, key, kind = [v for v in values if isinstance(v, bool)], t.col(), dtype
     else:
-        if is_string(dtype):
-            values = [v for v in values if isinstance(v, str)]
-        else:
-            values = [str(v) for v in values]
-        key = t.text()
-    found, prepare = _in_list(key, values)
+        values = [v for v in values if isinstance(v, str)] if is_string(dtype) else [str(v) for v in values]
+        key, kind = t.text(), T.StringType()
+    found, prepare = listed(key, values, kind)
     return t.row_check(t.present() & ~found, "not in the allowed values", prepare=prepare)
 
 
 @_type("placeholder")
 def _placeholder(t: Target) -> Check:
     words = sorted({str(v).lower() for v in t.param("values", PLACEHOLDERS)})
-    found, prepare = _in_list(F.lower(t.text()), words)
+    found, prepare = listed(F.lower(t.text()), words, T.StringType())
     return t.row_check(t.present() & found, "is a placeholder", prepare=prepare)
 
 
 @_type("currency")
 def _currency(t: Target) -> Check:
     # The codes are taken as written: a lower-case code in the list never matches.
-    found, prepare = _in_list(F.upper(t.text()), [str(c) for c in t.param("currencies", CURRENCIES)])
+    found, prepare = listed(F.upper(t.text()), [str(c) for c in t.param("currencies", CURRENCIES)], T.StringType())
     return t.row_check(t.present() & ~found, "is not a valid currency code", prepare=prepare)
 
 
 @_type("country")
 def _country(t: Target) -> Check:
     codes = [str(c).upper() for c in t.param("valid_countries", COUNTRIES)]
-    found, prepare = _in_list(F.upper(t.text()), codes)
+    found, prepare = listed(F.upper(t.text()), codes, T.StringType())
     return t.row_check(t.present() & ~found, "is not a recognized country", prepare=prepare)
 
 
@@ -417,7 +435,7 @@ def _email_domain(t: Target) -> Check:
     has_at = address.contains("@")
     domain = F.lower(F.get(F.split(address, "@"), F.lit(1)))
     allowed = sorted({str(d).lower() for d in t.param("domains") or []})
-    known, prepare = _in_list(domain, allowed) if allowed else (F.lit(True), None)
+    known, prepare = listed(domain, allowed, T.StringType()) if allowed else (F.lit(True), None)
 
     def note() -> Column:
         return F.when(~has_at, F.concat(F.lit(f": '{t.rule.column}' value '"), address, F.lit("' is not a valid email"))
@@ -443,7 +461,7 @@ def _data_consistency(t: Target) -> Check:
         entries = [F.lit(x) for pair in pairs.items() for x in pair]
         expected, prepare = F.try_element_at(F.create_map(*entries), key), None
     else:
-        expected, prepare = joined_lookup(key, pairs)
+        expected, prepare = joined_lookup(key, list(pairs.items()), T.StringType(), T.StringType())
     return RowCheck(
         F.coalesce(actual != expected, F.lit(False)), t.value(checked),
         Message(note=lambda: F.concat(

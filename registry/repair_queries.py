@@ -178,9 +178,16 @@ def fix_before_after(spark, sf_dir):
 @register("fix_user_function", "SELECT row_key, upper(trim(country)) AS country FROM d")
 def fix_user_function(spark, sf_dir):
     data = dirty(spark, sf_dir)
-    fixed = repair.apply_user_fix(data, lambda df: df.withColumn("country", F.upper(F.trim("country"))))
-    broken = repair.apply_user_fix(fixed, lambda df: df.withColumn("country", F.col("no such column")))
-    return broken.select("row_key", "country")
+    fixed, _ = repair.apply_user_fix(data, lambda df: df.withColumn("country", F.upper(F.trim("country"))))
+    unchanged, _ = repair.apply_user_fix(fixed, lambda df: df.withColumn("country", F.col("no such column")))
+    return unchanged.select("row_key", "country")
+
+
+@register("fix_user_function_fails", "SELECT row_key, country, TRUE AS failed FROM d")
+def fix_user_function_fails(spark, sf_dir):
+    """A fix that fails on a row while it runs changes nothing and is reported."""
+    data, why = repair.apply_user_fix(dirty(spark, sf_dir), lambda df: df.withColumn("country", F.raise_error(F.lit("no"))))
+    return data.select("row_key", "country", F.lit(why is not None).alias("failed"))
 
 
 # ---- the clean-up sequence ------------------------------------------------------------------------------

@@ -465,3 +465,43 @@ QUERIES["results_order_dates"] = shipped_before_ordered
 ORACLES["results_order_dates"] = """
 SELECT 'J1' AS rule_id, count(*) AS total_rows, count(*) FILTER (WHERE o_orderdate > l_shipdate) AS failed_count
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+# ---- lists above the size of an expression, and rules that cannot run -------------------------------------
+
+
+def allowed_values_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1200 allowed numbers, some above 10 million and some fractions, over three types of column."""
+    whole = [k * 4 for k in range(400)]
+    values = [*whole, *[10_000_000 + k for k in range(400)], *[k + 0.5 for k in range(400)]]
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") + 10_000_000).alias("large"), (F.col("o_orderkey") / 2).alias("halves")
+    )
+    rules = [Rule(f"A{k}", c, "allowed_values", params={"values": values}) for k, c in enumerate(orders.columns)]
+    return validate(orders, rules).rule_results.select("rule_id", "total_rows", "failed_count")
+
+
+QUERIES["rule_allowed_values_long"] = allowed_values_long
+ORACLES["rule_allowed_values_long"] = """
+WITH v AS (SELECT (k * 4)::DOUBLE AS x FROM range(400) t(k) UNION ALL SELECT 10000000 + k FROM range(400) t(k)
+  UNION ALL SELECT k + 0.5 FROM range(400) t(k))
+SELECT 'A0' AS rule_id, count(*) AS total_rows, count(*) FILTER (WHERE o_orderkey NOT IN (SELECT x FROM v)) AS failed_count FROM orders
+UNION ALL SELECT 'A1', count(*), count(*) FILTER (WHERE o_orderkey + 10000000 NOT IN (SELECT x FROM v)) FROM orders
+UNION ALL SELECT 'A2', count(*), count(*) FILTER (WHERE o_orderkey / 2.0 NOT IN (SELECT x FROM v)) FROM orders"""
+
+
+def violations_of_broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that cannot run fail on every row, in the results and in the violations alike."""
+    rules = [Rule("B1", "nothing", "not_null"), Rule("B2", "o_totalprice", "positive"), Rule("B3", "nowhere", "email")]
+    done = validate(table(spark, sf_dir, "orders"), rules, key=["o_orderkey"])
+    listed = done.violations.groupBy("rule_id").agg(F.count("*").alias("listed"), F.min("reason").alias("reason"))
+    return done.rule_results.join(listed, "rule_id", "left").select(
+        "rule_id", "status", "failed_count", F.coalesce("listed", F.lit(0)).alias("listed"), "reason"
+    )
+
+
+QUERIES["violations_broken_rules"] = violations_of_broken_rules
+ORACLES["violations_broken_rules"] = """
+SELECT 'B1' AS rule_id, 'error' AS status, count(*) AS failed_count, count(*) AS listed, 'Column ''nothing'' not in dataset' AS reason FROM orders
+UNION ALL SELECT 'B2', 'ok', count(*) FILTER (WHERE o_totalprice <= 0), count(*) FILTER (WHERE o_totalprice <= 0), NULL FROM orders
+UNION ALL SELECT 'B3', 'error', count(*), count(*), 'Column ''nowhere'' not in dataset' FROM orders"""

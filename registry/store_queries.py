@@ -395,11 +395,6 @@ def json_report(spark, sf_dir):
     return spark.read.json(path).select("rule_id", "failed_count", "passed")
 
 
-@register("file_metadata")
-def file_metadata(spark, sf_dir):
-    return files.file_metadata(spark, sf_dir)
-
-
 @register("preview", "SELECT * FROM events ORDER BY event_id LIMIT 50")
 def preview(spark, sf_dir):
     return files.preview(table(spark, sf_dir, "events"), ["event_id"])
@@ -447,8 +442,8 @@ SELECT event_id, CASE event_id % 6 WHEN 4 THEN FALSE ELSE TRUE END AS found,
 FROM (SELECT e.*, r.reply FROM events e JOIN ({_REPLY_SQL}) r USING (event_id))""")
 def json_salvage(spark, sf_dir):
     replies = _rows(spark, sf_dir, _REPLY_SQL, "events")
-    found = salvage.analysis(F.col("reply"), F.lit("value"), F.lit("range"), F.lit("medium"), F.lit(3))
-    return replies.select("event_id", found.alias("a")).select(
+    found = salvage.with_analysis(replies, "reply", "a", F.lit("value"), F.lit("range"), F.lit("medium"), F.lit(3))
+    return found.select(
         "event_id", F.col("a").isNotNull().alias("found"), "a.root_cause", "a.confidence", "a.sql_fix", "a.explanation"
     )
 

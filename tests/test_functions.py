@@ -112,8 +112,8 @@ def test_lenient_dates(spark):
 
 
 def salvage_one(spark, text):
-    build = lambda c: salvage.analysis(c, F.lit("name"), F.lit("not_null"), F.lit("high"), F.lit(2))
-    found = column(spark, [text], "STRING", build)[0]
+    texts = spark.createDataFrame([(text,)], "t STRING")
+    found = salvage.with_analysis(texts, "t", "a", F.lit("name"), F.lit("not_null"), F.lit("high"), F.lit(2)).first()["a"]
     return found.asDict() if found is not None else None
 
 

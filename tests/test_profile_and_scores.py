@@ -148,8 +148,14 @@ def test_suggested_rules(spark):
     assert {r["status"] for r in run.rule_results.collect()} == {"ok"}
 
 
-def test_suggestions_stop(spark):
-    df = spark.range(30).select(*[F.col("id").alias(f"x{i}") for i in range(40)])
+def test_suggestions_cover_all_columns(spark):
+    df = spark.range(30).select(*[F.col("id").alias(f"x{i}") for i in range(60)])
     found = suggest_rules(df)
-    # Two rules per column; the column that reaches twenty-five is the last.
-    assert len(found) == 27 and found.rules[-1].type == "duplicate_row"
+    assert {r.column for r in found} == {*df.columns, "_all"} and len(found) == 121
+
+
+def test_summary_covers_all_columns(spark):
+    df = spark.range(3).select("id", F.create_map("id", "id").alias("m"), *[F.col("id").alias(f"x{i}") for i in range(59)])
+    rows = {r["column"]: r for r in profile.column_summary(df, ["id"]).collect()}
+    assert set(rows) == set(df.columns)
+    assert rows["x58"]["distinct_values"] == 3 and rows["m"]["distinct_values"] is None and rows["m"]["samples"] == []

@@ -87,8 +87,11 @@ def test_value_repairs(spark):
 
 def test_user_fix(spark):
     data = texts(spark, "a")
-    assert cells(repair.apply_user_fix(data, lambda d: d.withColumn("c", F.upper("c")))) == ["A"]
-    assert cells(repair.apply_user_fix(data, lambda d: d.select("nope"))) == ["a"]
+    fixed, why = repair.apply_user_fix(data, lambda d: d.withColumn("c", F.upper("c")))
+    assert cells(fixed) == ["A"] and why is None
+    for fix in (lambda d: d.select("nope"), lambda d: d.withColumn("c", F.raise_error(F.lit("bad row")))):
+        same, why = repair.apply_user_fix(data, fix)
+        assert cells(same) == ["a"] and why
 
 
 PEOPLE = [
@@ -194,3 +197,11 @@ def test_reports(spark):
     assert [r["id"] for r in solutions.orderBy("id").collect()][:2] == ["S001", "S002"]
     stats = report_statistics(problem_report(run.rule_results, run.violations), solutions).first()
     assert (stats["total_problems"], stats["high_severity"], stats["low_severity"]) == (2, 1, 1)
+
+
+def test_equal_rules_keep_their_places(spark):
+    from plumbline import Rule
+
+    data = spark.createDataFrame([(1, None), (2, "x")], "k INT, c STRING")
+    done = run_loop(data, [Rule("R", "c", "not_null")] * 3, row_key=["k"], max_iterations=1)
+    assert sorted(r["position"] for r in done.attempts.collect()) == [0, 1, 2]

@@ -8,6 +8,7 @@ import pytest
 from helpers import doubles, failing, frame, longs, texts
 
 from plumbline import Rule, validate
+from plumbline.operators import validators
 
 
 def test_not_null(spark):
@@ -259,3 +260,18 @@ def test_many_rules_in_several_passes(spark):
     rules = [Rule(f"R{i}", "c", "range", params={"max": i}) for i in range(230)]
     found = {r["rule_id"]: r["failed_count"] for r in validate(longs(spark, 100, 200), rules).rule_results.collect()}
     assert found == {f"R{i}": (i < 100) + (i < 200) for i in range(230)}
+
+
+@pytest.mark.parametrize("kind", ["BIGINT", "DOUBLE", "DECIMAL(20,2)", "STRING"])
+def test_a_list_gives_one_answer_at_any_length(spark, kind, monkeypatch):
+    """In the expression or joined, the same rows fail."""
+    numbers = [0, 5, 5.0, 2.5, 1e7, 10_000_000, 2**53 + 1, -3, 1e-5, float("inf"), 10**30]
+    values = [str(v) for v in (5, "abc", "1e7", "")] if kind == "STRING" else numbers
+    cells_ = ["5", "abc", "ABC", "1e7", None] if kind == "STRING" else ["0", "5", "2.5", "2.25", "10000000", "9007199254740993", "9007199254740992", "-3", "7", None]
+    data = spark.createDataFrame([(c,) for c in cells_], "c STRING").selectExpr(f"try_cast(c AS {kind}) AS c", "c AS k")
+    found = []
+    for length in (500, 1):
+        monkeypatch.setattr(validators, "INLINE_LIST", length)
+        rules = [Rule("R", "c", "allowed_values", params={"values": values})]
+        found.append(sorted(r["row_key"]["k"] for r in validate(data, rules, key=["k"]).violations.collect()))
+    assert found[0] == found[1] and found[0]

@@ -155,7 +155,7 @@ def learn(rows: DataFrame, model_rows: int = MODEL_ROWS) -> Trees:
     """Trees from the rows (`lang`, `text`) whose language is not null."""
     counts = gram_counts(rows.where("lang is not null and text is not null"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") * model_rows >= F.lit(total)).toPandas()  # at most model_rows rows
+    kept = counts.where(F.col("n") * model_rows >= F.lit(total)).toArrow().to_pandas()  # at most model_rows rows
     languages = sorted(kept["lang"].unique())
     of = kept["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy(np.int64)
     return build_trees(languages, of, kept["gram"].to_numpy(np.int64), kept["n"].to_numpy(np.float64))

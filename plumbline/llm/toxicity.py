@@ -141,7 +141,7 @@ def mine(rows: DataFrame, voters: int = VOTERS, least_ratio: float = LEAST_RATIO
     part = lambda x, p: F.when(x > 0, x * F.log(x / (seen * p))).otherwise(0.0)
     ratio = 2 * (part(F.col("pos"), share) + part(F.col("neg"), 1 - share))
     best = counted.withColumn("ratio", ratio).where((F.col("ratio") >= least_ratio) & (F.col("pos") > 2 * share * seen))
-    kept = best.orderBy(F.desc("ratio"), "n", "key").limit(voters).toPandas()
+    kept = best.orderBy(F.desc("ratio"), "n", "key").limit(voters).toArrow().to_pandas()
     lexicon = {n: np.sort(own["key"].to_numpy(np.int64).view(np.uint64)) for n, own in kept.groupby("n")}
     return Votes(lexicon, None, share)
 

@@ -7,8 +7,8 @@ Three things keep these jobs balanced when one key holds a large part of the tab
 * counts come from `groupBy`, which adds up inside each task before anything is shuffled;
 * rows meet their group in two steps (`attach_groups`): hot groups by broadcast, which a threshold on the
   group size bounds to a fixed number of rows, and all other groups by a join on a salted key;
-* wide keys are first reduced to a 64-bit fingerprint, and only rows whose fingerprint occurs twice are
-  compared in full, so a table without duplicates never has its rows shuffled.
+* wide keys (texts, nested values, many columns) are reduced to 128 bits of hashes before anything is shuffled,
+  and are the same if these are (among 10^12 keys two different ones meet with a chance of 10^-15).
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import types as T
 from plumbline.functions.cells import clean, is_string
 
 # A group is hot from this many rows on, and from 1/HOT_GROUPS of the table on, so there are never
-# more than HOT_GROUPS hot groups and the broadcast side has at most that many rows.
+# more than HOT_GROUPS hot groups and the broadcast side has at most that many rows. Groups between the two
+# bounds are left to the second join, whose skewed partitions AQE splits.
 HOT_ROWS = 200_000
 HOT_GROUPS = 10_000
 SALTS = 1024
 
-# Keys estimated to be wider than this many bytes are compared by fingerprint first.
+# Keys wider than this many bytes are compared by their digests.
 WIDE_KEY = 64
 
 
@@ -49,8 +50,17 @@ def is_wide(df: DataFrame, keys: Sequence[str]) -> bool:
     return sum(width(df.schema[k].dataType) for k in keys) > WIDE_KEY
 
 
-def _fingerprint(df: DataFrame, keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[clean(_quoted(k), df.schema[k].dataType) for k in keys])
+def key_exprs(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """What rows with equal keys have in common: the key columns, or two 64-bit hashes if they are wide."""
+    cleaned = {k: clean(_quoted(k), df.schema[k].dataType) for k in keys}
+    if not is_wide(df, keys):
+        return cleaned
+    parts = []
+    for k, c in cleaned.items():
+        nested = isinstance(df.schema[k].dataType, (T.ArrayType, T.StructType))
+        # hashes pass over nulls, so where a null stands has to be hashed too; in nested values JSON shows it
+        parts += [F.to_json(F.struct(c)) if nested else c, c.isNull()]
+    return {"__digest_a": F.xxhash64(*parts), "__digest_b": F.xxhash64(F.lit(1), *parts)}
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: dict[str, Column], size: str) -> DataFrame:
@@ -96,51 +106,30 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: dict[str, Column], s
     )
 
 
-def suspects(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows whose key fingerprint occurs more than once: a superset of all repeated rows."""
-    name = f"__fp_{uuid.uuid4().hex}"
-    marked = df.withColumn(name, _fingerprint(df, keys))
-    groups = marked.groupBy(name).agg(F.count(F.lit(1)).alias("__copies")).filter(F.col("__copies") > 1)
-    joined = attach_groups(marked, groups, {name: F.col(name)}, "__copies")
-    return joined.filter(F.col("__copies").isNotNull()).drop(name, "__copies")
-
-
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per distinct key, with its number of rows in `copies`."""
-    return df.groupBy(*key_columns(df, keys)).agg(F.count(F.lit(1)).alias("copies"))
+    """One row per distinct key (as `key_exprs` gives it), with its number of rows in `copies`."""
+    exprs = key_exprs(df, keys)
+    return df.groupBy(*[c.alias(k) for k, c in exprs.items()]).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def repeat_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: (total_rows, repeats), where repeats are the second and later copies."""
-    if not is_wide(df, keys):
-        sizes = group_sizes(df, keys)
-        return sizes.agg(
-            F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
-            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("repeats"),
-        )
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"), F.lit(0).cast("bigint").alias("repeats"))
-    repeated = group_sizes(suspects(df, keys), keys).agg(
-        F.lit(0).cast("bigint").alias("total_rows"), F.sum(F.col("copies") - 1).alias("repeats")
-    )
-    return total.unionByName(repeated).agg(
-        F.sum("total_rows").alias("total_rows"), F.coalesce(F.sum("repeats"), F.lit(0)).alias("repeats")
+    return group_sizes(df, keys).agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("repeats"),
     )
 
 
 def repeats(df: DataFrame, keys: Sequence[str], row_key: Sequence[str]) -> DataFrame:
     """The second and later rows of every key, whole."""
-    rows = suspects(df, keys) if is_wide(df, keys) else df
+    exprs = key_exprs(df, keys)
+    own = F.struct(*[_quoted(k).alias(f"k{i}") for i, k in enumerate(row_key)])
     groups = (
-        rows.groupBy(*key_columns(df, keys))
-        .agg(
-            F.count(F.lit(1)).alias("__copies"),
-            F.min(F.struct(*[_quoted(k).alias(f"k{i}") for i, k in enumerate(row_key)])).alias("__first"),
-        )
+        df.groupBy(*[c.alias(k) for k, c in exprs.items()])
+        .agg(F.count(F.lit(1)).alias("__copies"), F.min(own).alias("__first"))
         .filter(F.col("__copies") > 1)
     )
-    own = F.struct(*[_quoted(k).alias(f"k{i}") for i, k in enumerate(row_key)])
-    exprs = {k: clean(_quoted(k), df.schema[k].dataType) for k in keys}
-    joined = attach_groups(rows, groups, exprs, "__copies")
+    joined = attach_groups(df, groups, exprs, "__copies")
     return joined.filter(F.col("__first").isNotNull() & (own != F.col("__first"))).select(
         *[_quoted(c) for c in df.columns]
     )
@@ -149,8 +138,7 @@ def repeats(df: DataFrame, keys: Sequence[str], row_key: Sequence[str]) -> DataF
 def copies(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Every row, with the number of rows that share its key in column `name`."""
     groups = group_sizes(df, keys).filter(F.col("copies") > 1).withColumnRenamed("copies", name)
-    exprs = {k: clean(_quoted(k), df.schema[k].dataType) for k in keys}
-    joined = attach_groups(df, groups, exprs, name)
+    joined = attach_groups(df, groups, key_exprs(df, keys), name)
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(1)))
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.rules import SEVERITIES
 
-# The sample that is kept per rule in the run history, and in the problem report.
-HISTORY_SAMPLE = 10
+# How much of each rule the problem report shows unless told otherwise.
 REPORT_INDICES = 10
 REPORT_SAMPLE = 3
 
@@ -70,7 +69,7 @@ def failed_rows(violations: DataFrame) -> DataFrame:
     return violations.select("rule_id", "row_key")
 
 
-def sample_per_rule(violations: DataFrame, k: int = HISTORY_SAMPLE) -> DataFrame:
+def sample_per_rule(violations: DataFrame, k: int = REPORT_INDICES) -> DataFrame:
     """The first `k` violations of every rule by row key, with their place in `sample_no`.
 
     A plain window would sort all violations of a rule in one task. Here every task first keeps its own

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.reports import HISTORY_SAMPLE, run_summary, sample_per_rule
+from plumbline.operators.reports import run_summary, sample_per_rule
 from plumbline.sources.storage import cut_lineage
 
 # The tables, their columns, and how much of a result is kept.
@@ -65,18 +65,26 @@ CHILDREN = ("validation_results", "failed_records", "ai_analysis", "remediation_
 # The tables whose rows change after they were written.
 VERSIONED = ("validation_runs", "remediation_suggestions")
 REMOVED = "removed_runs"
-KEPT_KEYS, KEPT_MESSAGES, KEPT_CHARS = 50, 20, 200
-RECENT_RUNS, RECENT, DETAIL_RECORDS = 20, 50, 100
+# What the newest-first readers return unless told otherwise, and how many keys and messages a result row shows.
+RECENT_RUNS, RECENT = 20, 50
+SHOWN_KEYS, SHOWN_MESSAGES = 50, 20
+# When a row happened, by table; its day is the partition that the row is stored in.
+HAPPENED = {
+    "validation_runs": "validation_timestamp", "ai_analysis": "created_at", "remediation_suggestions": "created_at",
+    "agent_iterations": "timestamp", "api_validation_results": "created_at",
+}
 
 
 def latest(versions: DataFrame, key: str) -> DataFrame:
     """The newest version of every row.
 
-    A grouped `max_by` keeps one row per key in each task, so many versions of one key cost no skew.
+    A grouped `max_by` keeps one row per key in each task, so many versions of one key cost no skew. The run of a
+    row never changes, so it is a grouping column too, and a filter on it reaches the files.
     """
-    data = [c for c in versions.columns if c != "updated_at"]
-    newest = versions.groupBy(key).agg(F.max_by(F.struct(*data), "updated_at").alias("row"))
-    return newest.select("row.*")
+    keys = list(dict.fromkeys([key, *[c for c in ("run_id",) if c in versions.columns]]))
+    data = [c for c in versions.columns if c not in (*keys, "updated_at")]
+    newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*data), F.struct("version", "updated_at")).alias("row"))
+    return newest.select(*keys, *[F.col(f"row.{c}").alias(c) for c in data])
 
 
 def with_result_id(df: DataFrame) -> DataFrame:
@@ -97,16 +105,18 @@ class History:
 
     # ---- storage -----------------------------------------------------------------------------
 
-    def _append(self, table: str, rows: DataFrame) -> None:
-        """Append rows in the declared schema, in a partition for the day."""
+    def _append(self, table: str, rows: DataFrame, version: Column | None = None) -> None:
+        """Append rows in the declared schema, in a partition for the day they belong to."""
         schema = T.StructType.fromDDL(SCHEMAS[table])
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        versioned = shaped.withColumns({"updated_at": _now(), "run_date": F.current_date()})
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
+        shaped = rows.select(*columns, (F.lit(1) if version is None else version).cast("bigint").alias("version"))
+        happened = F.to_date(HAPPENED[table]) if table in HAPPENED else F.lit(None).cast("date")
+        versioned = shaped.withColumns({"updated_at": _now(), "run_date": F.coalesce(happened, F.current_date())})
         versioned.write.mode("append").partitionBy("run_date").parquet(f"{self.path}/{table}")
 
     def _stored(self, table: str) -> DataFrame:
         """All versions of all rows; an empty table when nothing was written yet."""
-        extra = ", updated_at TIMESTAMP, run_date DATE"
+        extra = ", version BIGINT, updated_at TIMESTAMP, run_date DATE"
         schema = (SCHEMAS[table] if table in SCHEMAS else "run_id STRING") + extra
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
@@ -118,11 +128,14 @@ class History:
 
     def table(self, name: str) -> DataFrame:
         """The visible rows of a table: latest versions, without deleted runs."""
+        return self._visible(name).select(*T.StructType.fromDDL(SCHEMAS[name]).names)
+
+    def _visible(self, name: str) -> DataFrame:
         rows = self._stored(name).drop("run_date")
         rows = latest(rows, KEYS[name]) if name in VERSIONED else rows.drop("updated_at")
         if name == "validation_runs" or name in CHILDREN:
             rows = rows.join(self._removed(), "run_id", "left_anti")
-        return rows.select(*T.StructType.fromDDL(SCHEMAS[name]).names)
+        return rows
 
     # ---- writing -----------------------------------------------------------------------------
 
@@ -134,8 +147,9 @@ class History:
         total_columns: int = 0,
         metadata: Mapping[str, str] | None = None,
         run_id: str | None = None,
+        sample: int | None = None,
     ) -> str:
-        """Save one run, its rule results and, per failed rule, the first violations by row key."""
+        """Save one run, its rule results and its violations: all of them, or the first `sample` of each rule."""
         run_id = run_id or uuid.uuid4().hex
         results = cut_lineage(results)  # one row per rule; the validation must not run once per table
         pairs = [F.lit(x) for item in (metadata or {}).items() for x in item]
@@ -149,62 +163,79 @@ class History:
             results.agg(F.coalesce(F.max("total_rows"), F.lit(0)).alias("n")).scalar().alias("total_rows"),
         )
         self._append("validation_runs", totals)
-        self.save_results(results.withColumn("run_id", F.lit(run_id)), violations)
+        self.save_results(results.withColumn("run_id", F.lit(run_id)), violations, sample)
         return run_id
 
-    def save_results(self, results: DataFrame, violations: DataFrame | None = None) -> None:
-        """Append rule results (of one or many runs) with a bounded sample of their violations."""
+    def save_results(
+        self,
+        results: DataFrame,
+        violations: DataFrame | None = None,
+        sample: int | None = None,
+        keys: int = SHOWN_KEYS,
+        messages: int = SHOWN_MESSAGES,
+    ) -> None:
+        """Append rule results (of one or many runs) and their violations.
+
+        A result row shows its first `keys` keys and `messages` messages; the failed records are complete unless
+        `sample` says how many of each rule are kept.
+        """
         results = with_result_id(results)
         if violations is None:
-            keys = messages = F.expr("CAST(array() AS ARRAY<STRING>)")
+            shown_keys = shown_messages = F.expr("CAST(array() AS ARRAY<STRING>)")
             rows = results
         else:
             names = violations.schema["row_key"].dataType.names
             label = F.concat_ws("/", *[F.col("row_key")[n].cast("string") for n in names])
-            samples = cut_lineage(
-                sample_per_rule(violations.drop("run_id"), KEPT_KEYS).select(
-                    "rule_id", "column_name", "sample_no", "value", "reason", label.alias("row_key")
-                )
-            )
-            kept = samples.groupBy("rule_id").agg(
+            found = violations.drop("run_id")
+            columns = ["rule_id", "column_name", "sample_no", "value", "reason", label.alias("row_key")]
+            first = cut_lineage(sample_per_rule(found, max(keys, messages, sample or 0)).select(*columns))
+            listed = first.groupBy("rule_id").agg(
                 F.array_sort(F.collect_list(F.struct("sample_no", "row_key", "reason"))).alias("s")
             )
-            rows = results.join(kept, "rule_id", "left")
-            keys = F.coalesce(F.transform("s", lambda s: s["row_key"]), F.array())
-            messages = F.coalesce(F.transform(F.slice("s", 1, KEPT_MESSAGES), lambda s: s["reason"]), F.array())
-            self.save_failed_records(
-                samples.filter(F.col("sample_no") <= HISTORY_SAMPLE)
-                .join(results.select("run_id", "rule_id"), "rule_id")
-            )
+            rows = results.join(listed, "rule_id", "left")
+            shown_keys = F.coalesce(F.transform(F.slice("s", 1, keys), lambda s: s["row_key"]), F.array())
+            shown_messages = F.coalesce(F.transform(F.slice("s", 1, messages), lambda s: s["reason"]), F.array())
+            if sample is None:
+                kept = found.withColumn("sample_no", F.lit(None).cast("int")).select(*columns)
+            else:
+                kept = first.filter(F.col("sample_no") <= sample)
+            self.save_failed_records(kept.join(F.broadcast(results.select("run_id", "rule_id")), "rule_id"))
         self._append(
             "validation_results",
             rows.select(
                 "result_id", "run_id", "rule_id", "column_name", F.col("rule_type").alias("validation_type"),
                 "severity", F.lit(0).alias("confidence_score"), "passed", "total_rows", "passed_count",
-                F.col("failed_count").alias("failed_rows"), keys.alias("failed_keys"), messages.alias("error_details"),
+                F.col("failed_count").alias("failed_rows"), shown_keys.alias("failed_keys"),
+                shown_messages.alias("error_details"),
             ),
         )
 
-    def save_failed_records(self, samples: DataFrame) -> None:
-        """Append sampled violations: (run_id, rule_id, column_name, sample_no, row_key, value, reason)."""
+    def save_failed_records(self, violations: DataFrame) -> None:
+        """Append violations: (run_id, rule_id, column_name, sample_no, row_key, value, reason)."""
+        place = F.coalesce(F.col("sample_no").cast("string"), F.col("row_key").cast("string"))
         self._append(
             "failed_records",
-            with_result_id(samples).select(
-                F.concat_ws(":", "run_id", "rule_id", "sample_no").alias("record_id"), "run_id", "result_id",
+            with_result_id(violations).select(
+                F.concat_ws(":", "run_id", "rule_id", place).alias("record_id"), "run_id", "result_id",
                 "rule_id", "column_name", "sample_no", F.col("row_key").cast("string").alias("row_key"),
-                F.substring(F.coalesce("value", F.lit("nan")), 1, KEPT_CHARS).alias("invalid_value"),
+                F.coalesce("value", F.lit("nan")).alias("invalid_value"),
                 F.col("reason").alias("failure_reason"),
             ),
         )
 
     def save_analyses(self, explained: DataFrame) -> None:
-        """Append explanations; those with a fix also become remediation suggestions."""
-        rows = with_result_id(explained)
+        """Append explanations; those with a fix also become remediation suggestions.
+
+        Both are identified by their run, rule and round of the loop (0 outside of one).
+        """
+        rows = cut_lineage(with_result_id(explained))  # the source must not run once per table
+        round_ = F.coalesce("iteration", F.lit(0)) if "iteration" in rows.columns else F.lit(0)
+        key = F.concat_ws(":", "result_id", round_.cast("string"))
         common = ["run_id", "result_id", "rule_id", F.col("rule_type").alias("validation_type"), "column_name"]
         self._append(
             "ai_analysis",
             rows.select(
-                F.expr("uuid()").alias("analysis_id"), *common, "root_cause", "explanation", "business_impact",
+                key.alias("analysis_id"), *common, "root_cause", "explanation", "business_impact",
                 F.col("prevention").alias("recommendation"), "severity",
                 F.col("confidence").alias("confidence_score"), "estimated_affected_rows", "permanent_fix",
                 "provider", _now().alias("created_at"),
@@ -214,7 +245,7 @@ class History:
         self._append(
             "remediation_suggestions",
             rows.filter(has_fix).select(
-                F.expr("uuid()").alias("remediation_id"), *common, "sql_fix", "code_fix",
+                key.alias("remediation_id"), *common, "sql_fix", "code_fix",
                 F.col("confidence").alias("confidence_score"), F.lit(False).alias("fix_applied"),
                 _now().alias("created_at"),
             ),
@@ -240,7 +271,7 @@ class History:
         self._append(
             "api_validation_results",
             verdicts.select(
-                F.expr("uuid()").alias("api_id"), F.lit(run_id).cast("string").alias("run_id"), "email",
+                F.sha2(F.concat_ws(":", F.lit(run_id).cast("string"), "email"), 256).alias("api_id"), F.lit(run_id).cast("string").alias("run_id"), "email",
                 v["api_status"].alias("api_status"), v["is_valid"].alias("is_valid"),
                 v["confidence"].alias("confidence_score"), F.to_json(v).alias("response"), _now().alias("created_at"),
             ),
@@ -263,7 +294,8 @@ class History:
 
     def change_rows(self, table: str, which: Column, column: str, value: Column) -> None:
         """Write a new version of the rows that match. The files to read are listed before any is added."""
-        self._append(table, self.table(table).filter(which).withColumn(column, value))
+        rows = self._visible(table).filter(which).withColumn(column, value)
+        self._append(table, rows, F.col("version") + 1)
 
     def delete_run(self, run_id: str) -> None:
         """Hide a run and everything recorded for it, except e-mail verdicts."""
@@ -291,9 +323,9 @@ class History:
     def recent_runs(self, limit: int = RECENT_RUNS) -> DataFrame:
         return recent(self.table("validation_runs").drop("metadata"), "validation_timestamp", "run_id", limit)
 
-    def run_details(self, run_id: str) -> DataFrame:
-        """One row: the run and its children as arrays; no row for an unknown run."""
-        return run_details({n: self.table(n) for n in ("validation_runs", *CHILDREN)}, run_id)
+    def run_details(self, run_id: str) -> dict[str, DataFrame]:
+        """The run and everything recorded for it, table by table."""
+        return {n: self.table(n).filter(F.col("run_id") == run_id) for n in ("validation_runs", *CHILDREN)}
 
     def analyses(self, run_id: str | None = None, limit: int = RECENT) -> DataFrame:
         return _by_run_or_recent(self.table("ai_analysis"), "created_at", "analysis_id", run_id, limit)
@@ -310,9 +342,9 @@ class History:
     def email_verdicts(self, limit: int = RECENT) -> DataFrame:
         return recent(self.table("api_validation_results"), "created_at", "api_id", limit)
 
-    def failed_records(self, run_id: str, limit: int = DETAIL_RECORDS) -> DataFrame:
-        rows = self.table("failed_records").filter(F.col("run_id") == run_id)
-        return rows.orderBy("rule_id", "sample_no").limit(limit)
+    def failed_records(self, run_id: str, limit: int | None = None) -> DataFrame:
+        rows = self.table("failed_records").filter(F.col("run_id") == run_id).orderBy("rule_id", "sample_no", "row_key")
+        return rows if limit is None else rows.limit(limit)
 
     def statistics(self) -> DataFrame:
         return statistics({n: self.table(n) for n in SCHEMAS})
@@ -332,20 +364,6 @@ def _by_run_or_recent(rows: DataFrame, when: str, key: str, run_id: str | None,
     return recent(rows, when, key, limit)
 
 
-def run_details(tables: Mapping[str, DataFrame], run_id: str, records: int = DETAIL_RECORDS) -> DataFrame:
-    """One row for a run: its own columns in `run`, and an array of rows per child table."""
-    run = tables["validation_runs"].filter(F.col("run_id") == run_id)
-    details = run.select("run_id", F.struct("*").alias("run"))
-    for name in CHILDREN:
-        rows = tables[name].filter(F.col("run_id") == run_id)
-        if name == "failed_records":
-            rows = rows.orderBy("rule_id", "sample_no").limit(records)
-        # A run has few rules and rounds, so its arrays are short; failed records are limited.
-        listed = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*_sortable(rows)))).alias(name))
-        details = details.join(listed, "run_id", "left")
-    return details.select("run_id", "run", *[F.coalesce(n, F.array()).alias(n) for n in CHILDREN])
-
-
 def run_overview(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Every run with the number of its rows in each child table."""
     runs = tables["validation_runs"]
@@ -355,10 +373,6 @@ def run_overview(tables: Mapping[str, DataFrame]) -> DataFrame:
     return runs
 
 
-def _sortable(rows: DataFrame) -> list[str]:
-    return [f.name for f in rows.schema if not isinstance(f.dataType, T.MapType)]
-
-
 def statistics(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row: the size of every table, the rules checked, and the share of them that passed."""
     runs = tables["validation_runs"].agg(

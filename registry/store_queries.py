@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,14 +113,15 @@ def history_save_run(spark, sf_dir):
 
 @register("history_save_results", f"""
 SELECT concat(run_id, ':', rule_id) AS result_id, run_id, rule_id, column_name, rule_type AS validation_type, severity,
-  0 AS confidence_score, passed, total_rows, passed_count, failed_count AS failed_rows FROM ({RESULTS_SQL})""")
+  0 AS confidence_score, passed, total_rows, passed_count, failed_count AS failed_rows,
+  CAST([] AS VARCHAR[]) AS failed_keys, CAST([] AS VARCHAR[]) AS error_details FROM ({RESULTS_SQL})""")
 def history_save_results(spark, sf_dir):
-    return _filled(spark, sf_dir).table("validation_results").drop("failed_keys", "error_details")
+    return _filled(spark, sf_dir).table("validation_results")
 
 
 @register("history_save_failed_records", f"""
 SELECT concat(run_id, ':', rule_id, ':', sample_no) AS record_id, run_id, concat(run_id, ':', rule_id) AS result_id,
-  rule_id, column_name, sample_no, row_key, left(value, 200) AS invalid_value, reason AS failure_reason
+  rule_id, column_name, sample_no, row_key, value AS invalid_value, reason AS failure_reason
 FROM ({SAMPLES_SQL})""")
 def history_save_failed_records(spark, sf_dir):
     return _filled(spark, sf_dir).table("failed_records")
@@ -196,24 +199,24 @@ def _newest(store: History) -> str:
 
 
 @register("history_run_details", f"""
-SELECT run_id, dataset_name, (SELECT count(*) FROM ({RESULTS_SQL}) r WHERE r.run_id = n.run_id) AS results,
-  (SELECT least(100, count(*)) FROM ({SAMPLES_SQL}) r WHERE r.run_id = n.run_id) AS failed_records,
-  (SELECT count(*) FROM ({EXPLAINED_SQL}) r WHERE r.run_id = n.run_id) AS analyses,
-  (SELECT count(*) FROM ({_REMEDIES_SQL}) r WHERE r.run_id = n.run_id) AS remediations,
-  (SELECT count(*) FROM ({ROUNDS_SQL}) r WHERE r.run_id = n.run_id) AS iterations
-FROM ({RUNS_SQL}) n WHERE run_id = {_NEWEST}""")
+SELECT 'validation_runs' AS part, run_id AS key, dataset_name AS what FROM ({RUNS_SQL}) WHERE run_id = {_NEWEST}
+UNION ALL SELECT 'validation_results', concat(run_id, ':', rule_id), column_name FROM ({RESULTS_SQL}) WHERE run_id = {_NEWEST}
+UNION ALL SELECT 'failed_records', concat(run_id, ':', rule_id, ':', sample_no), value FROM ({SAMPLES_SQL}) WHERE run_id = {_NEWEST}
+UNION ALL SELECT 'ai_analysis', concat(run_id, ':', rule_id, ':0'), root_cause FROM ({EXPLAINED_SQL}) WHERE run_id = {_NEWEST}
+UNION ALL SELECT 'remediation_suggestions', concat(run_id, ':', rule_id, ':0'), sql_fix FROM ({_REMEDIES_SQL}) WHERE run_id = {_NEWEST}
+UNION ALL SELECT 'agent_iterations', concat(run_id, ':', iteration), status FROM ({ROUNDS_SQL}) WHERE run_id = {_NEWEST}""")
 def history_run_details(spark, sf_dir):
+    """Everything recorded for the newest run, row by row."""
     store = _filled(spark, sf_dir)
-    details = store.run_details(_newest(store))
-
-    def size(name: str, alias: str):
-        return F.size(name).cast("bigint").alias(alias)
-
-    return details.select(
-        "run_id", F.col("run.dataset_name").alias("dataset_name"), size("validation_results", "results"),
-        size("failed_records", "failed_records"), size("ai_analysis", "analyses"),
-        size("remediation_suggestions", "remediations"), size("agent_iterations", "iterations"),
-    )
+    shown = {
+        "validation_runs": "dataset_name", "validation_results": "column_name", "failed_records": "invalid_value",
+        "ai_analysis": "root_cause", "remediation_suggestions": "sql_fix", "agent_iterations": "validation_status",
+    }
+    parts = [
+        rows.select(F.lit(name).alias("part"), F.col(history.KEYS[name]).alias("key"), F.col(shown[name]).alias("what"))
+        for name, rows in store.run_details(_newest(store)).items()
+    ]
+    return reduce(DataFrame.unionAll, parts)
 
 
 @register("history_run_overview", f"""
@@ -236,9 +239,27 @@ def history_analyses(spark, sf_dir):
     return store.analyses(_newest(store)).select("run_id", "rule_id")
 
 
-@register("history_recent_analyses", f"SELECT least(50, count(*)) AS n FROM ({EXPLAINED_SQL})")
+_ID = "concat(run_id, ':', rule_id, ':0')"
+
+
+@register("history_recent_analyses", f"""
+SELECT {_ID} AS analysis_id, root_cause FROM ({EXPLAINED_SQL}) ORDER BY analysis_id LIMIT 50""")
 def history_recent_analyses(spark, sf_dir):
-    return _filled(spark, sf_dir).analyses().agg(F.count(F.lit(1)).alias("n"))
+    """All were written at the same time: the first by id."""
+    return _filled(spark, sf_dir).analyses().select("analysis_id", "root_cause")
+
+
+@register("history_recent_remediations", f"""
+SELECT {_ID} AS remediation_id, sql_fix FROM ({_REMEDIES_SQL}) ORDER BY remediation_id LIMIT 50""")
+def history_recent_remediations(spark, sf_dir):
+    return _filled(spark, sf_dir).remediations().select("remediation_id", "sql_fix")
+
+
+@register("history_recent_iterations", f"""
+SELECT concat(run_id, ':', iteration) AS iteration_id, status AS validation_status FROM ({ROUNDS_SQL})
+ORDER BY iteration_id LIMIT 50""")
+def history_recent_iterations(spark, sf_dir):
+    return _filled(spark, sf_dir).iterations().select("iteration_id", "validation_status")
 
 
 @register("history_remediations", f"SELECT run_id, rule_id, sql_fix FROM ({_REMEDIES_SQL}) WHERE run_id = {_NEWEST}")
@@ -253,14 +274,16 @@ def history_iterations(spark, sf_dir):
     return store.iterations(_newest(store)).select("run_id", "iteration_number")
 
 
-@register("history_email_verdicts", "SELECT least(50, count(*)) AS n FROM events")
+@register("history_email_verdicts", """
+SELECT concat('u', user_id, '@', event_type) AS email, 'unavailable' AS api_status FROM events
+ORDER BY sha256(concat('u', user_id, '@', event_type)) LIMIT 50""")
 def history_email_verdicts(spark, sf_dir):
-    return _filled(spark, sf_dir).email_verdicts().agg(F.count(F.lit(1)).alias("n"))
+    return _filled(spark, sf_dir).email_verdicts().select("email", "api_status")
 
 
 @register("history_failed_records", f"""
 SELECT rule_id, sample_no, value AS invalid_value FROM ({SAMPLES_SQL}) WHERE run_id = {_NEWEST}
-ORDER BY rule_id, sample_no LIMIT 100""")
+ORDER BY rule_id, sample_no""")
 def history_failed_records(spark, sf_dir):
     store = _filled(spark, sf_dir)
     return store.failed_records(_newest(store)).select("rule_id", "sample_no", "invalid_value")
@@ -316,10 +339,10 @@ def history_clear(spark, sf_dir):
 WITH res AS ({results_sql(CASES)})
 SELECT (SELECT count(*) FROM d) AS total_rows, count(*) AS total_rules, count(*) FILTER (WHERE passed) AS passed_rules,
   CAST(sum(failed_count) AS BIGINT) AS total_failures, 'failed' AS overall_status,
-  CAST(sum(least(failed_count, 10)) AS BIGINT) AS failed_records, count(*) FILTER (WHERE NOT passed) AS analyses
+  CAST(sum(failed_count) AS BIGINT) AS failed_records, count(*) FILTER (WHERE NOT passed) AS analyses
 FROM res"""))
 def history_whole_run(spark, sf_dir):
-    """A validation of the dirty customers, saved with its violations and explanations."""
+    """A validation of the dirty customers, saved with all its violations and explanations."""
     store, outcome = _new_store(spark), run(spark, sf_dir)
     store.save_run("customers", outcome.rule_results, outcome.violations, total_columns=12, run_id="run")
     store.save_analyses(explain.analyse_failures(outcome.rule_results, RULES, top=None))

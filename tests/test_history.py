@@ -26,7 +26,7 @@ def outcome(spark):
 
 def test_empty_store(store):
     assert store.recent_runs().count() == 0
-    assert store.run_details("nope").count() == 0
+    assert all(rows.isEmpty() for rows in store.run_details("nope").values())
     assert store.iterations().count() == store.failed_records("nope").count() == 0
     row = store.statistics().first()
     assert {row[n] for n in SCHEMAS} == {0} and row["pass_rate"] == 0
@@ -42,10 +42,34 @@ def test_save_run(store, outcome):
     assert results["R1"]["failed_keys"] == ["1"] and results["R3"]["failed_keys"] == []
     assert len(results["R2"]["failed_keys"]) == 50 and len(results["R2"]["error_details"]) == 20
     records = store.failed_records(run_id).collect()
-    # Ten per rule even though R2 fails on more than a hundred rows, the value cut to 200 characters.
-    assert [r["rule_id"] for r in records] == ["R1"] + ["R2"] * 10
-    assert records[2]["invalid_value"] == "x" * 200 and records[0]["invalid_value"] == "nan"
+    # All are kept, with their whole values.
+    assert [r["rule_id"] for r in records] == ["R1"] + ["R2"] * 122
+    assert {r["invalid_value"] for r in records} == {"nan", "bad", "x" * 250}
     assert {r["result_id"] for r in records} == {f"{run_id}:R1", f"{run_id}:R2"}
+    assert len({r["record_id"] for r in records}) == 123
+
+
+def test_a_sample_is_kept_where_asked_for(store, outcome):
+    run_id = store.save_run("customers", outcome.rule_results, outcome.violations, sample=10)
+    records = store.failed_records(run_id).collect()
+    assert [(r["rule_id"], r["sample_no"]) for r in records] == [("R1", 1)] + [("R2", k) for k in range(1, 11)]
+
+
+def test_filters_on_a_run_reach_the_files(store, outcome):
+    run_id = store.save_run("customers", outcome.rule_results)
+    store.save_analyses(analyse_failures(outcome.rule_results.withColumn("run_id", F.lit(run_id)), RULES))
+    for name in ("validation_runs", "remediation_suggestions"):
+        rows = store.table(name).filter(F.col("run_id") == run_id)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert f"EqualTo(run_id,{run_id})" in plan and not rows.isEmpty()
+
+
+def test_the_last_change_wins_whatever_the_clock_says(store, outcome):
+    run_id = store.save_run("customers", outcome.rule_results)
+    for status in "abcde":
+        store.update_run_status(run_id, status)
+    assert store._stored("validation_runs").agg(F.max("version")).first()[0] == 6
+    assert [r["overall_status"] for r in store.recent_runs().collect()] == ["e"]
 
 
 def test_analyses_and_remediations(store, outcome):
@@ -78,13 +102,13 @@ def test_delete_and_details(store, outcome, spark):
     gone = store.save_run("b", outcome.rule_results, outcome.violations)
     verdicts = texts(spark, "a@b.com", "x").select(F.col("c").alias("email"), verify_email(F.col("c")).alias("verdict"))
     store.save_email_verdicts(verdicts, gone)
-    details = store.run_details(gone).first()
-    assert details["run"]["dataset_name"] == "b"
-    assert len(details["validation_results"]) == 3 and len(details["failed_records"]) == 11
+    details = {name: rows.collect() for name, rows in store.run_details(gone).items()}
+    assert [r["dataset_name"] for r in details["validation_runs"]] == ["b"]
+    assert len(details["validation_results"]) == 3 and len(details["failed_records"]) == 123
     assert details["ai_analysis"] == []
     store.delete_run(gone)
     assert [r["run_id"] for r in store.recent_runs().collect()] == [keep]
-    assert store.run_details(gone).count() == 0 and store.failed_records(gone).count() == 0
+    assert all(rows.isEmpty() for rows in store.run_details(gone).values()) and store.failed_records(gone).isEmpty()
     assert store.email_verdicts().count() == 2  # they outlive the run
     stats = store.statistics().first()
     assert (stats["validation_runs"], stats["validation_results"], stats["api_validation_results"]) == (1, 3, 2)

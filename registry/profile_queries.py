@@ -12,6 +12,7 @@ from plumbline.operators import explain, profile, reports, scoring
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.plans import rules as rule_tables
 from plumbline.sources import files
+from registry import expected
 from registry.inputs import dirty, table, with_dirty
 from registry.rule_queries import CASES, RULES, results_sql, run
 
@@ -296,13 +297,9 @@ def health_trend(spark, sf_dir):
     return scoring.health_trend(runs).select("dataset_name", F.col("run_id").alias("day"), "score", "delta")
 
 
-def _values(entries: dict) -> str:
-    return ", ".join(f"('{k}', {v!r})" for k, v in entries.items())
-
-
 _SCORED_SQL = f"""
-rates(rule_type, rate) AS (VALUES {_values(scoring.FIX_RATE)}),
-defaults(rule_type, base) AS (VALUES {_values(scoring.DEFAULT_SEVERITY)}),
+rates(rule_type, rate) AS (VALUES {expected.RATES}),
+defaults(rule_type, base) AS (VALUES {expected.SEVERITIES}),
 raw AS (SELECT r.*, CAST(coalesce(rates.rate, 0.75) AS DOUBLE) AS rate, defaults.base,
     CAST(failed_count AS DOUBLE) / greatest(total_rows, 1) AS share
   FROM res r LEFT JOIN rates USING (rule_type) LEFT JOIN defaults USING (rule_type)),
@@ -324,7 +321,7 @@ def severity_and_confidence(spark, sf_dir):
 
 
 # Scores of made-up rule outcomes, one per part: the rule type and the failure rate follow from the key.
-_TYPES = list(scoring.DEFAULT_SEVERITY)
+_TYPES = [t for t, _, _ in expected.TYPE_SCORES]
 _PART_RESULTS = f"""
 SELECT concat('R', CAST(p_partkey AS STRING)) AS rule_id,
   CASE CAST(p_partkey % 31 AS INT) {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPES))} ELSE 'other' END
@@ -339,8 +336,8 @@ FROM part"""
     "score_parts",
     f"""
 WITH res AS (SELECT rule_id, rule_type, severity AS given, has_params, failed_count, total_rows FROM ({_PART_RESULTS})),
-rates(rule_type, rate) AS (VALUES {_values(scoring.FIX_RATE)}),
-defaults(rule_type, base) AS (VALUES {_values(scoring.DEFAULT_SEVERITY)}),
+rates(rule_type, rate) AS (VALUES {expected.RATES}),
+defaults(rule_type, base) AS (VALUES {expected.SEVERITIES}),
 raw AS (SELECT res.*, CAST(coalesce(rate, 0.75) AS DOUBLE) AS rate, coalesce(given, base, 'medium') AS start,
     CASE WHEN total_rows > 0 THEN CAST(failed_count AS DOUBLE) / total_rows END AS share,
     CAST(failed_count AS DOUBLE) / greatest(total_rows, 1) AS uncovered
@@ -361,8 +358,9 @@ def score_parts(spark, sf_dir):
 
 def _template_sql(n: int) -> str:
     """The template of a result row, with its fields filled in."""
-    cases = " ".join(f"WHEN '{k}' THEN '{v[n].replace(chr(39), chr(39) * 2)}'" for k, v in explain.TEMPLATES.items())
-    text = f"CASE rule_type {cases} ELSE '{explain.OTHER[n].replace(chr(39), chr(39) * 2)}' END"
+    texts = [(kind, parts[n].replace(chr(39), chr(39) * 2)) for kind, *parts in expected.EXPLANATIONS]
+    cases = " ".join(f"WHEN '{kind}' THEN '{text}'" for kind, text in texts[:-1])
+    text = f"CASE rule_type {cases} ELSE '{texts[-1][1]}' END"
     for name, value in (("type", "rule_type"), ("column", "column_name"), ("failed", "CAST(failed_count AS VARCHAR)"),
                         ("min", "'0'"), ("max", "'120'")):
         text = f"replace({text}, '{{{name}}}', {value})"

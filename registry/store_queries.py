@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from plumbline.functions import mailbox, salvage
 from plumbline.operators import explain
 from plumbline.sources import files, history
 from plumbline.sources.storage import scratch_path
+from registry import expected
 from registry.inputs import AS_OF, dirty, table, with_dirty
 from registry.rule_queries import CASES, EMAIL, RULES, results_sql, run
 
@@ -358,7 +358,7 @@ def history_whole_run(spark, sf_dir):
 
 # ---- files --------------------------------------------------------------------------------------------
 
-_TOKENS = ", ".join(f"'{t}'" for t in files.NULL_TOKENS)
+_TOKENS = ", ".join(f"'{t}'" for t in expected.NO_VALUE_SPELLINGS)
 _TEXTS = ["name", "email", "amount_text", "phone", "signup_date", "end_date", "country", "currency"]
 _NULLED = ", ".join(f"CASE WHEN {c} NOT IN ({_TOKENS}) THEN {c} END AS {c}" for c in _TEXTS)
 

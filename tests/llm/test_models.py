@@ -170,3 +170,20 @@ def test_scores_are_better_than_the_base_of_a_text_that_repeats_itself(spark):
     rows = [(k, " ".join(w + " " + w for w in rng.choice(words, 120))) for k in range(150)]
     got = lm_scores.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), BYTE_BPE).where("held_out").collect()
     assert got and np.mean([r.score > r.base_score for r in got]) > 0.9
+
+
+def test_scoring_gives_what_training_sees():
+    rng = np.random.default_rng(6)
+    m, x = attention.start(5), rng.integers(0, attention.CLASSES, (9, attention.WINDOW))
+    whole = attention.hidden(m, x)[-1][:, attention.WINDOW - attention.STEP :]
+    assert np.allclose(attention.scored_states(m, x), whole.reshape(-1, whole.shape[-1]), atol=1e-4)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 5000])
+def test_hash_rows(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(-(2**60), 2**60, n)) if n < 5000 else np.unique(np.concatenate([np.arange(2500), rng.integers(0, 2**51, 2500)]))
+    table = lm_scores.HashRows(keys)
+    wanted = np.concatenate([keys, rng.integers(0, 5000, 4000), rng.integers(0, 2**51, 1000)])
+    rows, hit = table.find(wanted)
+    assert (hit == np.isin(wanted, keys)).all() and (keys[rows[hit]] == wanted[hit]).all() and not rows[~hit].any()

@@ -148,7 +148,7 @@ def mine(rows: DataFrame, voters: int = VOTERS, least_ratio: float = LEAST_RATIO
 
 def label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 25, trust: float = 0.97) -> np.ndarray:
     """Posterior share of class 1 for each row, from voters (0 or 1) and given labels of the accuracy `trust`."""
-    votes = fired.astype(np.float64)
+    votes = fired.astype(np.float32)
     given = np.where(labels > 0, 1, -1) * np.log(trust / (1 - trust))
     posterior = np.where(labels > 0, trust, 1 - trust)
     for _ in range(rounds):
@@ -157,12 +157,13 @@ def label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 25, trust:
         rate1 = np.clip((posterior @ votes + usual) / (posterior.sum() + 1), 1e-4, 1 - 1e-4)
         rate0 = np.clip(((1 - posterior) @ votes + usual) / ((1 - posterior).sum() + 1), 1e-4, 1 - 1e-4)
         # what is left of each voter once the class is known, and how much of it other voters repeat
-        rest = votes - (posterior[:, None] * rate1 + (1 - posterior)[:, None] * rate0)
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        correlation = np.abs((rest.T @ rest) / len(rest) / np.outer(spread, spread))
+        rest = votes - np.outer(posterior, rate1 - rate0).astype(np.float32) - rate0.astype(np.float32)
+        together = (rest.T @ rest).astype(np.float64) / len(rest)
+        spread = np.sqrt(np.diag(together)) + 1e-9
+        correlation = np.abs(together / np.outer(spread, spread))
         weight = 1 / np.maximum(1, (correlation * (correlation > 0.25)).sum(axis=0))
-        odds = votes * (np.log(rate1) - np.log(rate0)) + (1 - votes) * (np.log1p(-rate1) - np.log1p(-rate0))
-        total = odds @ weight + given + np.log(share / (1 - share))
+        fires, silent = np.log(rate1) - np.log(rate0), np.log1p(-rate1) - np.log1p(-rate0)
+        total = votes @ ((fires - silent) * weight) + silent @ weight + given + np.log(share / (1 - share))
         new = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
         change, posterior = np.abs(new - posterior).max(), new
         if change < 1e-4:
@@ -172,16 +173,17 @@ def label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 25, trust:
 
 def train(strength: np.ndarray, target: np.ndarray, rounds: int = 30, ridge: float = 0.2) -> np.ndarray:
     """Logistic regression with soft targets by Newton steps; the last weight is the intercept."""
-    x = np.concatenate([strength, np.ones((len(strength), 1))], axis=1).astype(np.float64)
+    x = np.concatenate([strength, np.ones((len(strength), 1), np.float32)], axis=1).astype(np.float32, copy=False)
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     weights = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (p - target) + penalty * weights
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), slope)
+        curved = x * (p * (1 - p) + 1e-9).astype(np.float32)[:, None]
+        step = np.linalg.solve((curved.T @ x).astype(np.float64) + np.diag(penalty), slope)
         weights -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return weights
 

@@ -7,8 +7,9 @@ byte never seen at all (escape probability: distinct followers / (all + distinct
 so every text is scored on its own. The language with the shortest code wins; ties go to the first name.
 
 Bytes are folded first: A-Z lower-cased, all ASCII but letters one space, runs of spaces one. Counting is a grouped
-sum over (language, four bytes). Four-byte strings rarer than 1 in MODEL_ROWS of all are left out of the trees, so
-a model has at most MODEL_ROWS strings, whatever the corpus; what is left out costs escapes.
+sum over (language, four bytes). Strings of up to three bytes are all in the trees (at most 2^24 a language).
+Four-byte strings rarer than 1 in MODEL_ROWS of those of their own language are left out, so a language has at most
+MODEL_ROWS of them, whatever the corpus and the other languages; what is left out costs escapes to order 2.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no row has a language. Null ids
 count as the empty text where rows are split by the id's CRC-32. Repeated rows are rows of their own; an empty table
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.byte_words import LOWER, slices, text_bytes
+from plumbline.sources.storage import cut_lineage
 
 MODEL_ROWS = 1 << 20
 #: Bits per byte beyond which a text is no text of any learned language: storing its bytes would be shorter.
@@ -123,15 +125,21 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, keys[row] == wanted
 
 
-def build_trees(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Trees:
-    """Trees from the counts n of strings of four bytes by language (an index)."""
+def build_trees(
+    languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, lower: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+) -> Trees:
+    """Trees from the counts n of strings of four bytes by language (an index).
+
+    `lower` has the same of strings of three bytes, for the shorter strings; without it they follow from the four bytes.
+    """
     size = len(languages)
     keys, counts, costs, contexts, escapes = {}, {}, {}, {}, {}
     for order in (1, 2, 3, 4):
-        own = gram & ((1 << 8 * order) - 1)
+        lang_, gram_, n_ = (lang, gram, n) if order == 4 or lower is None else lower
+        own = gram_ & ((1 << 8 * order) - 1)
         keys[order], at = np.unique(own.astype(np.uint32), return_inverse=True)
         counts[order] = np.zeros((len(keys[order]), size))
-        np.add.at(counts[order], (at, lang), n)
+        np.add.at(counts[order], (at, lang_), n_)
     for order in (1, 2, 3, 4):  # followers of the contexts that are one byte shorter
         contexts[order - 1], at = np.unique(keys[order] >> np.uint32(8) if order > 1 else np.zeros(len(keys[1]), np.uint32), return_inverse=True)
         total, distinct = (np.zeros((len(contexts[order - 1]), size)) for _ in range(2))
@@ -153,12 +161,18 @@ def build_trees(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.
 
 def learn(rows: DataFrame, model_rows: int = MODEL_ROWS) -> Trees:
     """Trees from the rows (`lang`, `text`) whose language is not null."""
-    counts = gram_counts(rows.where("lang is not null and text is not null"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") * model_rows >= F.lit(total)).toArrow().to_pandas()  # at most model_rows rows
-    languages = sorted(kept["lang"].unique())
-    of = kept["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy(np.int64)
-    return build_trees(languages, of, kept["gram"].to_numpy(np.int64), kept["n"].to_numpy(np.float64))
+    counts = cut_lineage(gram_counts(rows.where("lang is not null and text is not null")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # one row a language
+    often = counts.join(F.broadcast(totals), "lang").where(F.col("n") * model_rows >= F.col("total"))
+    kept = often.select("lang", "gram", "n").toArrow().to_pandas()  # at most model_rows rows a language
+    short = F.col("gram").bitwiseAND((1 << 24) - 1).alias("gram")
+    lower = counts.groupBy("lang", short).agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most 2^24 rows a language
+    languages = sorted(lower["lang"].unique())
+    index = {name: k for k, name in enumerate(languages)}
+    four, three = (
+        (t["lang"].map(index).to_numpy(np.int64), t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.float64)) for t in (kept, lower)
+    )
+    return build_trees(languages, *four, three)
 
 
 def code_lengths(trees: Trees, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ import awkward as rows_of
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -268,6 +269,22 @@ def test_language_accuracy(spark):
     assert np.mean([true[r.doc_id] == r.lang_pred for r in got]) > 0.97
 
 
+def test_a_small_language_beside_a_hot_one_keeps_its_tree(spark):
+    """The floor for four-byte strings is one of each language, and shorter strings are counted in full."""
+    hot = [(k, "the cat sat on the mat and the dog sat on the log", "en") for k in range(2000)]
+    small = [(3000, "η γάτα κάθεται στο χαλί και ο σκύλος στο ξύλο", "el"), (3001, "el gato duerme en la casa y el perro corre", "es")]
+    docs = spark.createDataFrame(hot + small, "doc_id long, text string, lang string")
+    whole, floored = language_id.learn(docs), language_id.learn(docs, 1 << 6)
+    assert floored.languages == whole.languages == ["el", "en", "es"]
+    texts = pa.array(["ο σκύλος κάθεται", "el perro duerme en casa", "the dog and the cat"])
+    assert language_id.judge(floored, texts)[0] == language_id.judge(whole, texts)[0] == ["el", "es", "en"]
+    for order in (1, 2, 3):
+        assert (floored.keys[order] == whole.keys[order]).all() and np.allclose(floored.costs[order], whole.costs[order])
+    lone = language_id.learn(docs, 1)  # no four bytes reach such a floor
+    assert lone.languages == whole.languages and not len(lone.keys[4])
+    assert language_id.judge(lone, texts)[0] == ["el", "es", "en"]
+
+
 def test_code_lengths_are_those_of_the_trees():
     """The tables give what escaping down the tree gives, step by step."""
     rng = np.random.default_rng(1)

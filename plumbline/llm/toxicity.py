@@ -18,7 +18,8 @@ held out; their ids travel to the documents in a broadcast of that size. Voters
 tasks; what reaches the driver is one row of votes for each of these rows. Every document is scored.
 
 Null and empty texts have no words and get the score of a text without votes. Null ids are the empty text where
-rows are split. An id with several labels is left out of the training. Without labels of both classes the score is
+rows are split. An id with several labels is left out of the training; an id with several rows is learned from the one
+whose text has the smallest hash, so no id outweighs the others. Without labels of both classes the score is
 the share of toxic labels (0.5 without labels). Repeated rows are rows of their own; an empty table gives no rows.
 """
 
@@ -30,10 +31,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.byte_words import ALNUM, LOWER, per_text, slices, text_bytes, word_runs
+from plumbline.sources.storage import cut_lineage
 
 MAX_LABELLED = 20_000
 VOTERS = 512
@@ -188,12 +191,18 @@ def train(strength: np.ndarray, target: np.ndarray, rounds: int = 30, ridge: flo
     return weights
 
 
+def one_row_an_id(rows: DataFrame) -> DataFrame:
+    """One of the rows (`id`, `text`, `toxic`) of each id, that whose text has the smallest hash; stored."""
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("first")
+    return cut_lineage(rows.groupBy("id", "toxic").agg(first).select("id", "first.text", "toxic"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Votes:
     """Voters and classifier from documents (`id`, `text`) and labels (`id`, `toxic`)."""
     one = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
     chosen = one.where("toxic = other").select("id", F.col("toxic").cast("int")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     chosen = docs.sparkSession.createDataFrame(chosen.toArrow())  # at most max_labelled ids
-    rows = docs.join(F.broadcast(chosen), "id").select("text", "toxic")
+    rows = one_row_an_id(docs.join(F.broadcast(chosen), "id"))
     votes = mine(rows)
     if not votes.lexicon:
         return votes
@@ -202,9 +211,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             strength = shared.value.cast(part.column("text")).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([s.tobytes() for s in strength], pa.binary())], names=["toxic", "votes"])
+            votes_ = pa.array([s.tobytes() for s in strength], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), votes_], names=["id", "toxic", "votes"])
 
-    cast_ = rows.mapInArrow(cast, "toxic int, votes binary").toArrow()  # at most max_labelled rows of votes, repeated ids aside
+    kind = rows.schema["id"].dataType.simpleString()
+    cast_ = rows.mapInArrow(cast, f"id {kind}, toxic int, votes binary").toArrow()  # at most max_labelled rows of votes
+    cast_ = cast_.select(["toxic", "votes"]).take(pc.sort_indices(cast_.column("id")))
     strength = np.frombuffer(b"".join(cast_.column("votes").to_pylist()), np.float16).reshape(cast_.num_rows, -1).astype(np.float32)
     target = label_model(strength > 0, cast_.column("toxic").to_numpy())
     votes.weights = train(strength, target)

@@ -67,6 +67,21 @@ def test_held_out_labels_and_other_columns_do_not_matter(spark):
     assert a == b
 
 
+def test_rows_of_a_repeated_id_are_learned_once(spark, monkeypatch):
+    rows = [(k, f"you are an idiot and this is text {k}" if k % 4 == 1 else f"a friendly text about the number {k}") for k in range(40)]
+    known = labels(spark, [(k, 0, int(k % 4 == 1)) for k in range(40)]).select(F.col("doc_id").alias("id"), "toxic")
+    seen, label_model = [], toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda fired, given: seen.append(given) or label_model(fired, given))
+
+    def weights(rows):
+        return toxicity.learn(spark.createDataFrame(rows, "id long, text string").repartition(3), known).weights
+
+    once, copies = weights(rows), weights(rows + rows[1:2] * 500)
+    weights(rows + [(1, f"another text {k} under that id") for k in range(500)])
+    assert [len(given) for given in seen] == [40, 40, 40] and all(given.sum() == 10 for given in seen)
+    assert np.array_equal(once, copies)
+
+
 def test_label_model_outvotes_wrong_labels():
     rng = np.random.default_rng(0)
     truth = rng.random(2000) < 0.2

@@ -179,6 +179,38 @@ def test_probabilities_sum_to_one():
         assert np.isclose(total, 1)
 
 
+def test_own_ngrams_are_taken_off():
+    """A training text scored alone gets what the counts of all other texts give."""
+    rng = np.random.default_rng(7)
+    ids, bounds, end = rng.integers(0, 6, 300), np.array([0, 90, 90, 200, 300]), 6
+    ids[bounds[1:] - 1] = end
+    two, context = lm_scores.ngram_keys(ids, bounds, end)
+    three = context << 17 | ids
+    pairs_, triples = np.unique(two)[::2], np.unique(three[context >= 0])[::3]
+    of = np.repeat(np.arange(4), np.diff(bounds))
+    lowest = rng.random(300)
+
+    def grams(rows):
+        count = lambda keys, found: np.array([(found[rows] == k).sum() for k in keys], float)
+        return lm_scores.NGrams(pairs_, count(pairs_, two), triples, count(triples, three), np.bincount(ids[rows], minlength=7).astype(float))
+
+    got = grams(of >= 0).sharpened(ids, bounds, end, lowest, alone=True)
+    for k in (0, 2, 3):
+        own = of == k
+        want = grams(~own).sharpened(ids[own], np.array([0, own.sum()]), end, lowest[own])
+        assert np.allclose(got[own], want)
+
+
+def test_ngrams_are_counted_over_all_training_rows(spark, monkeypatch):
+    """Also where the sample is all there is, and where one text has many copies."""
+    seen, weight = [], lm_scores.mixture_weight
+    monkeypatch.setattr(lm_scores, "mixture_weight", lambda model, *rest: seen.append(model.ngrams) or weight(model, *rest))
+    rows = [(k, "one text with very many copies of itself" if k % 3 else f"the text of number {k}") for k in range(90)]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        lm_scores.lm_scores(docs, BYTE_BPE, steps=5)
+        assert seen[-1].pair_n.sum() == seen[-1].id_n.sum() > 0 and len(seen[-1].triples)
+
+
 def test_scores_are_better_than_the_base_of_a_text_that_repeats_itself(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]

@@ -12,8 +12,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 2 << 20
+#: Longer runs are hashed one by one: modulo 2**64 the running sum has known equal pairs of some thousand bytes.
+SHORT_RUN = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -64,6 +67,8 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        for k in np.flatnonzero(e - s > SHORT_RUN).tolist():
+            out[i + k] = xxh3_64_intdigest(part[s[k] : e[k]].tobytes())
         i = j
     return out
 

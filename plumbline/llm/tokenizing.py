@@ -1,31 +1,37 @@
-"""Token ids of whole texts from the tokenizers library, each distinct stretch of text encoded once.
+"""Token ids of whole texts from a tokenizer library, each distinct stretch of text encoded once.
 
-Texts are cut at places where no token of the tokenizer can cross. A worker keeps the ids of the stretches it
-has met in flat arrays (about 40 bytes each, at most KEPT stretches, then it starts anew), so the library works
-on distinct stretches only.
+Texts are cut at places where no token of the tokenizer can cross. A worker keeps the ids of the stretches it has
+met by their bytes, so two stretches share ids only if they are equal, and the library works on distinct stretches
+only. What is kept is bounded in bytes: beyond KEPT_BYTES the worker starts anew, which changes no result.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
-from plumbline.llm.byte_words import GRAPHIC, run_hashes, word_runs
+from plumbline.llm.byte_words import GRAPHIC, word_runs
 
-KEPT = 2_000_000
+KEPT_BYTES = 96 << 20
+#: What Python takes for one entry besides the bytes of the stretch and its ids.
+ENTRY_BYTES = 160
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str):
+def tokenizer(path: str, special_as_text: bool = False):
+    """The library's tokenizer for a file; with `special_as_text` special strings in texts are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
+    if special_as_text:
+        t.encode_special_tokens = True
     return t
 
 
@@ -54,76 +60,98 @@ def spaced_stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
+def distinct_stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each stretch the number of its bytes in a list of the distinct ones; stretches do not overlap."""
+    bounds = np.empty(2 * len(starts) + 1, np.int64)
+    bounds[0:-1:2], bounds[1::2], bounds[-1] = starts, ends, ends[-1]
+    both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    if (starts[1:] > ends[:-1]).any():  # every second one is the gap behind a stretch
+        kinds = both.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
+    else:
+        bounds = np.append(starts, ends[-1])
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), both.buffers()[2]])
+        kinds = whole.dictionary_encode()
+    return kinds.indices.to_numpy(), kinds.dictionary.to_pylist()
+
+
+class Rows:
+    """A growing list of lists of numbers in two flat arrays, which double when they are full."""
+
+    def __init__(self, kind=np.int32):
+        self.n, self.used = 0, 0
+        self._bounds, self._values = np.zeros(1024, np.int64), np.zeros(4096, kind)
+
+    @property
+    def bounds(self) -> np.ndarray:
+        return self._bounds[: self.n + 1]
+
+    def add(self, lists: Sequence[Sequence[int]]) -> np.ndarray:
+        """The numbers of the new rows."""
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        upto = self.used + np.cumsum(lengths)
+        total = int(upto[-1]) if len(upto) else self.used
+        if self.n + len(lists) + 1 > len(self._bounds):
+            self._bounds = np.resize(self._bounds, 2 * (self.n + len(lists) + 1))
+        if total > len(self._values):
+            self._values = np.resize(self._values, 2 * total)
+        self._bounds[self.n + 1 : self.n + 1 + len(lists)] = upto
+        self._values[self.used : total] = np.fromiter((v for row in lists for v in row), self._values.dtype, total - self.used)
+        rows = np.arange(self.n, self.n + len(lists))
+        self.n, self.used = self.n + len(lists), total
+        return rows
+
+    def lengths(self, rows: np.ndarray) -> np.ndarray:
+        return self._bounds[rows + 1] - self._bounds[rows]
+
+    def flat(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All values of the rows, one row after the other, and where each row ends in them."""
+        lengths = self.lengths(rows)
+        ends = np.cumsum(lengths)
+        if not len(rows) or not ends[-1]:
+            return np.zeros(0, self._values.dtype), ends
+        return self._values[np.arange(ends[-1]) + np.repeat(self._bounds[rows] - (ends - lengths), lengths)], ends
+
+
 class Encoder:
-    """Ids of stretches by their hashes; `rows` finds or makes them."""
+    """Ids of stretches by their bytes; `rows` finds or makes them with `encode`, which takes a list of texts."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]]):
+        self.encode = encode
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.key_rows = np.zeros(0, np.int64)
-        self.late: list[tuple[np.ndarray, np.ndarray]] = []
-        self.bounds = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        found = np.full(len(keys), -1, np.int64)
-        for known, rows in ((self.keys, self.key_rows), *self.late):
-            if len(known):
-                k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[k] == keys
-                found[hit] = rows[k[hit]]
-        return found
-
-    def _add(self, keys: np.ndarray, encoded: list) -> np.ndarray:
-        first = len(self.bounds) - 1
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.int32, int(lengths.sum()))
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, flat])
-        rows = first + np.arange(len(keys))
-        order = np.argsort(keys)
-        self.late.append((keys[order], rows[order]))
-        if sum(len(k) for k, _ in self.late) * 4 > len(self.keys) or len(self.late) > 6:
-            keys, at = (np.concatenate(x) for x in zip((self.keys, self.key_rows), *self.late))
-            order = np.argsort(keys)
-            self.keys, self.key_rows, self.late = keys[order], at[order], []
-        return rows
+        self.known: dict[bytes, int] = {}
+        self.table, self.size = Rows(), 0
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each stretch the row of its ids: ids[bounds[row]:bounds[row + 1]]."""
+        """For each stretch the row of its ids in `table`; valid until the next call."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        if len(self.bounds) > KEPT:
+        if self.size > KEPT_BYTES:
             self._clear()
-        codes, keys = pd.factorize(run_hashes(data, starts, ends))
-        found = self._find(keys)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            example = np.empty(len(keys), np.int64)
-            example[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw, t = data.tobytes(), tokenizer(self.path)
-            encoded: list = []
-            for part in np.array_split(new, len(new) // 50_000 + 1):
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[example[part]].tolist(), ends[example[part]].tolist())]
-                encoded += [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-            found[new] = self._add(keys[new], encoded)
+        codes, kinds = distinct_stretches(data, starts, ends)
+        known = self.known
+        found = np.fromiter((known.get(k, -1) for k in kinds), np.int64, len(kinds))
+        for new in np.array_split(at := np.flatnonzero(found < 0), len(at) // 50_000 + 1):
+            if len(new):
+                fresh, used = [kinds[k] for k in new.tolist()], self.table.used
+                found[new] = rows = self.table.add(self.encode(fresh))
+                known.update(zip(fresh, rows.tolist()))
+                self.size += sum(map(len, fresh)) + ENTRY_BYTES * len(fresh) + 8 * (self.table.used - used)
         return found[codes]
 
     def lengths(self, rows: np.ndarray) -> np.ndarray:
-        return self.bounds[rows + 1] - self.bounds[rows]
+        return self.table.lengths(rows)
 
     def flat(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one row after the other, and where each row ends in them."""
-        lengths = self.lengths(rows)
-        ends = np.cumsum(lengths)
-        if not len(rows) or not ends[-1]:
-            return np.zeros(0, np.int32), ends
-        return self.ids[np.arange(ends[-1]) + np.repeat(self.bounds[rows] - (ends - lengths), lengths)], ends
+        return self.table.flat(rows)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    def encode(stretches: list[bytes]) -> list[list[int]]:
+        texts = [s.decode("utf-8", "replace") for s in stretches]
+        return [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+    return Encoder(encode)

@@ -6,7 +6,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 
 
 #: Names that the operators use themselves, to show that a table may have them.
-CLASHING = ["id", "text_key", "fingerprint", "component_id", "shard", "score", "n_words", "bucket", "u", "v", "spans", "copy", "h1"]
+CLASHING = ["id", "text_key", "fingerprint", "component_id", "shard", "score", "n_words", "bucket", "u", "v", "spans", "copy", "h1", "key", "lost", "suspected", "n_lines", "part", "mask", "digest", "n", "links", "times", "groups"]
 SCHEMA = StructType(
     [StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())]
     + [StructField(c, DoubleType() if k % 2 else IntegerType()) for k, c in enumerate(CLASHING)]

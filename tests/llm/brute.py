@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -110,3 +112,98 @@ def crc_part(doc, parts):
 
 def multiset(rows):
     return Counter(rows)
+
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def deduplicated_lines(rows, min_chars=10):
+    """(doc, kept text, lines, dropped places); rows with one id are one document, null is the largest id."""
+    place = lambda d: (d is None, d or 0)
+    key = lambda line: line.strip(BLANK).translate(A_Z)
+    holders = defaultdict(set)
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            holders[key(line)].add(place(doc))
+    out = []
+    for doc, text in rows:
+        kept, dropped, start = [], [], 0
+        lines = (text or "").split("\n")
+        for line in lines:
+            if len(key(line)) >= min_chars and min(holders[key(line)]) < place(doc):
+                dropped.append((start, len(line)))
+            else:
+                kept.append(line)
+            start += len(line) + 1
+        out.append((doc, "\n".join(kept), len(lines), tuple(dropped)))
+    return out
+
+
+def aligned_tokens(rows, byte_bpe, pieces):
+    """Per row (doc, n_a, n_b, groups, links), from whole texts and byte offsets; groups and links are lists of id lists and id pairs."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    out = []
+    for doc, text in rows:
+        text = text or ""
+        a = byte_bpe.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = pieces.encode(text) if text else []
+        spell_a = [bytes(byte_of[c] for c in byte_bpe.id_to_token(i)) for i in a]
+        names = [pieces.id_to_piece(i) for i in b]
+        spell_b = [bytes.fromhex(n[3:5]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
+        if b"".join(spell_a) != (" " + text).encode() or b"".join(spell_b) != (" " + text).encode():
+            out.append((doc, 0, 0, [], []))
+            continue
+        end_a = {sum(map(len, spell_a[: k + 1])): k for k in range(len(a))} if len(a) < 300 else dict(zip(np.cumsum([*map(len, spell_a)]).tolist(), range(len(a))))
+        end_b = dict(zip(np.cumsum([*map(len, spell_b)]).tolist(), range(len(b))))
+        groups, links, i, j = [], [], 0, 0
+        for end in sorted(end_a.keys() & end_b.keys()):
+            groups.append((a[i : end_a[end] + 1], b[j : end_b[end] + 1]))
+            links.append((a[end_a[end]], b[end_b[end]]))
+            i, j = end_a[end] + 1, end_b[end] + 1
+        out.append((doc, len(a), len(b), groups, links))
+    return out
+
+
+def alignment_rows(rows, byte_bpe, pieces):
+    """What the query returns, in its order of columns."""
+    found = aligned_tokens(rows, byte_bpe, pieces)
+    count = Counter(link for r in found for link in r[4])
+    most = defaultdict(int)
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    out = []
+    for doc, n_a, n_b, groups, links in found:
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        sha = hashlib.sha256(text.encode()).hexdigest() if n_a else ""
+        best = sum(count[link] == most[link[1]] for link in links)
+        out.append((doc, n_a, n_b, len(groups), len(links), best, sum(count[link] for link in links), sha))
+    return out
+
+
+def audited(rows, labels):
+    """(part, order, step, kept, removed, redundant, unique, good, toxic, shapley) by applying every order; rows are (doc, text, lang)."""
+    good, toxic = {d for d, q, _ in labels if q == 1 and d is not None}, {d for d, _, t in labels if t == 1 and d is not None}
+    place = lambda d: (d is None, d or 0)
+    least = {}
+    for doc, text, _ in rows:
+        least[text or ""] = min(least.get(text or "", place(doc)), place(doc))
+    parts = defaultdict(list)
+    for doc, text, lang in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails = {
+            "A": len(words) < 100, "B": 100 * len(set(words)) < 80 * len(words), "C": 100 * len(re.findall("[A-Z]", text)) > 10 * len(text),
+            "D": bool(re.search(r"[#$%&*|]", text)), "E": least[text] < place(doc),
+        }
+        parts[lang or ""].append((doc, {f for f in fails if fails[f]}))
+    out, totals = [], Counter()
+    for part, docs in parts.items():
+        for order in itertools.permutations("ABCDE"):
+            left = docs
+            for step, f in enumerate(order, 1):
+                gone, left = [d for d in left if f in d[1]], [d for d in left if f not in d[1]]
+                totals[part, f] += len(gone)
+                failing = sum(f in d[1] for d in docs)
+                out.append((part, "".join(order), step, len(left), len(gone), failing - len(gone), sum(d[1] == {f} for d in docs), sum(d[0] in good for d in gone), sum(d[0] in toxic for d in gone)))
+    return [(*r, totals[r[0], r[1][r[2] - 1]]) for r in out]

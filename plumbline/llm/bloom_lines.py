@@ -5,15 +5,15 @@ points that stand in two documents or more lose all their lines except in the do
 
 1. Every task sets the bits of its keys in a filter `once`, and those of keys that it meets in a second document in a
    filter `twice`. The tasks' filters are cut into slices, compressed, and merged slice by slice: a bit that two tasks
-   have set once is set in `twice`. What travels is about four bytes a distinct line of a task.
+   have set once is set in `twice`. What travels is some five bytes a distinct line of a task.
 2. A line whose bits are not all set in `twice` stands in one document only. All others are suspects: their 128-bit
    digests are grouped over all documents, which settles exactly what repeats and where it stands first.
 3. Documents without a suspect are done where they are read. The others meet the digests they lose, one list for each
    (id, text), and are cut.
 
-The filters have 8 bits a line, a power of two, at most MAX_BITS (128 MB each), so what reaches the driver and what is
-broadcast is bounded. Beyond about 130 million lines they fill up: more lines become suspects, up to all of them, and
-the job becomes the plain grouping of digests. The result is the same at every size.
+The filters have 12 bits a line or more, a power of two, at most MAX_BITS (128 MB each), so what reaches the driver and
+what is broadcast is bounded. Beyond about 90 million lines they fill up: more lines become suspects, up to all of
+them, and the job becomes the plain grouping of digests. The result is the same at every size.
 
 Rows with one id (null is an id too, the largest) are one document. Null and empty texts have one empty line. Repeated
 rows come out as often as they came in; an empty table gives no rows; other columns are never touched.
@@ -33,9 +33,9 @@ from plumbline.llm.byte_words import LOWER, WHITE, mixed, run_hashes, slices, te
 from plumbline.sources.storage import cut_lineage
 
 MIN_CHARS = 10
-BITS_A_LINE = 8
+BITS_A_LINE = 12
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
-PROBES = 3
+PROBES = 4
 SLICE = 1 << 16  # bytes of a filter that travel together
 BLANK = " \t\n\x0b\x0c\r"
 

@@ -84,7 +84,8 @@ def piece_side(path: str) -> Side:
     spelt = [bytes([int(n[3:5], 16)]) if pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
     if any(" " in n.replace("▁", " ").lstrip(" ") for n in names):
         raise ValueError("a piece has a space behind another character: texts cannot be cut before spaces")
-    return Side(spelt, lambda texts: pieces.encode([t[1:] for t in texts], num_threads=1))
+    alone = [pieces.piece_to_id("▁")]  # a last space by itself; nothing is put before an empty text
+    return Side(spelt, lambda texts: [ids if t != " " else alone for t, ids in zip(texts, pieces.encode([t[1:] for t in texts], num_threads=1))])
 
 
 class Windows:

@@ -72,10 +72,10 @@ def test_lines_with_full_filters(spark, monkeypatch):
 def test_filters_find_few_suspects(spark):
     rows = [(k, "\n".join(f"line {k} {j} that stands once" for j in range(20))) for k in range(500)] + [(1000 + k, "this line stands in two texts") for k in range(2)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    twice = bloom_lines.seen_twice(frame, 1 << 17, 10)
+    twice = bloom_lines.seen_twice(frame, 1 << 18, 10)
     data, at = byte_words.text_bytes(frame.toArrow().column("text"))
     hashes = byte_words.run_hashes(byte_words.LOWER[data], *bloom_lines.line_keys(byte_words.LOWER[data], at, 10)[1:])
-    suspects = bloom_lines.all_set(twice, bloom_lines.probes(hashes, 1 << 17))
+    suspects = bloom_lines.all_set(twice, bloom_lines.probes(hashes, 1 << 18))
     assert 2 <= suspects.sum() < 30
 
 

@@ -1,7 +1,8 @@
 """Run a list of rules over a table.
 
 All rules that look at one row share one aggregate over one scan. Rules about repeated keys add one
-`groupBy` per distinct key set. Quartiles for `outlier` rules are found beforehand for all columns at once, by
+`groupBy` per distinct key set, rules on groups one for each set of grouping columns, rules that refer to another
+table one `groupBy` and a join of distinct keys. Quartiles for `outlier` rules are found beforehand for all columns at once, by
 jobs that run while binding and collect one bounded row; results and violations stay lazy DataFrames.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -20,10 +21,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import cells
+from plumbline.operators.group_rules import grouped
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.references import Reference
 from plumbline.operators.repeats import repeat_counts, repeats
-from plumbline.operators.validators import OUTLIER_PROBS, Shared, Target, as_of_date, bind
-from plumbline.plans.checks import NO_VALUE, Broken, Check, Message, RepeatCheck, RowCheck, ShareCheck, Skipped
+from plumbline.operators.validators import OUTLIER_PROBS, Shared, Target, as_of_date, bind, outside
+from plumbline.plans.checks import (
+    NO_VALUE,
+    Broken,
+    Check,
+    GroupCheck,
+    Message,
+    ReferenceCheck,
+    RepeatCheck,
+    RowCheck,
+    ShareCheck,
+    Skipped,
+)
 from plumbline.plans.rules import Rule
 
 RESULT_SCHEMA = (
@@ -92,6 +106,8 @@ class ValidationRun:
             by_key.setdefault(frozenset(b.check.keys), []).append(b)
         for group in by_key.values():
             parts.append(self._repeat_pass(group))
+        parts += [self._reference_pass(b) for b in self._of(ReferenceCheck)]
+        parts += [self._group_pass(bound, table) for bound, table in self._group_tables()]
         if not parts:
             return spark.createDataFrame([], RESULT_SCHEMA)
         return reduce(DataFrame.unionByName, parts)
@@ -116,13 +132,46 @@ class ValidationRun:
         failed = F.array_repeat("repeats", len(bound)).alias("failed")
         return self._shaped(counted.select(F.col("total_rows").alias("total"), failed), bound)
 
+    def _reference(self, b: _Bound) -> Reference:
+        check = b.check
+        return Reference(self._df, check.columns, self._df if check.table is None else check.table, check.to, check.types)
+
+    def _reference_pass(self, b: _Bound) -> DataFrame:
+        return self._shaped(self._reference(b).counts().select("total", F.array("failed").alias("failed")), [b])
+
+    def _group_tables(self) -> list[tuple[list[_Bound], DataFrame]]:
+        """For each set of grouping columns its rules, and one table with a measure for each of them."""
+        by_columns: dict[tuple, list[_Bound]] = {}
+        for b in self._of(GroupCheck):
+            by_columns.setdefault(b.check.by, []).append(b)
+        out = []
+        for by, bound in by_columns.items():
+            levels = list(dict.fromkeys(level for b in bound for level in b.check.levels))
+            out.append((bound, grouped(self._df, by, levels, [b.check.measure for b in bound])))
+        return out
+
+    def _judged(self, k: int, b: _Bound) -> tuple[Column, Column]:
+        """Whether a group is judged by the k-th rule of its table, and whether it fails."""
+        judged = F.col("level").isin([",".join(level) for level in b.check.levels])
+        return judged, judged & F.coalesce(outside(F.col(f"m{k}"), b.check.low, b.check.high), F.lit(False))
+
+    def _group_pass(self, bound: list[_Bound], table: DataFrame) -> DataFrame:
+        both = [self._judged(k, b) for k, b in enumerate(bound)]
+        counts = [F.struct(cells.count_where(judged).alias("total"), cells.count_where(fails).alias("failed")) for judged, fails in both]
+        return self._results(table.agg(F.array(*counts).alias("counts")), bound)
+
     def _shaped(self, counted: DataFrame, bound: list[_Bound]) -> DataFrame:
         """Results from one row: the number of rows, and the failures of each rule in an array."""
+        count = F.transform("failed", lambda n: F.struct(F.col("total").alias("total"), n.alias("failed")))
+        return self._results(counted.select(count.alias("counts")), bound)
+
+    def _results(self, counted: DataFrame, bound: list[_Bound]) -> DataFrame:
+        """Results from one row: what was judged and what failed, for each rule, in an array of pairs."""
         # What is known about the rules beforehand is one literal, unfolded next to the counts.
         known = F.from_json(F.lit(json.dumps([b.known(self.run_id) for b in bound])), f"ARRAY<STRUCT<{_KNOWN}>>")
-        rows = counted.select("total", F.inline(F.arrays_zip(known.alias("known"), "failed")))
-        count = F.col("failed").cast("bigint")
-        return rows.select("known.*", F.col("total").alias("total_rows"), count.alias("failed_count")).select(
+        rows = counted.select(F.inline(F.arrays_zip(known.alias("known"), "counts")))
+        total, failed = (F.col(f"counts.{c}").cast("bigint") for c in ("total", "failed"))
+        return rows.select("known.*", total.alias("total_rows"), failed.alias("failed_count")).select(
             "run_id", "position", "rule_id", "rule_type", "column_name", "severity", "description", "has_params",
             "status",
             # An error never passes, not even on an empty table.
@@ -145,7 +194,7 @@ class ValidationRun:
         row_key = F.struct(*[F.col(f"`{k}`") for k in self.key]).alias("row_key")
 
         def entry(b: _Bound) -> Column:
-            note = b.check.reason.note if isinstance(b.check, (RowCheck, RepeatCheck)) else None
+            note = b.check.reason.note if isinstance(b.check, (RowCheck, RepeatCheck, ReferenceCheck)) else None
             return F.struct(
                 F.lit(b.position).alias("position"),
                 b.check.value.build().alias("value"),
@@ -171,6 +220,8 @@ class ValidationRun:
         for b in self._of(RepeatCheck):
             failing = repeats(self._df, b.check.keys, self.key)
             parts.append(failing.select(row_key, entry(b).alias("v")).select("row_key", "v.*"))
+        for b in self._of(ReferenceCheck):
+            parts.append(self._reference(b).orphans().select(row_key, entry(b).alias("v")).select("row_key", "v.*"))
         if not parts:
             nothing = F.struct(F.lit(0).alias("position"), F.lit("").alias("value"), F.lit("").alias("note"))
             parts.append(self._df.limit(0).select(row_key, nothing.alias("v")).select("row_key", "v.*"))
@@ -188,7 +239,8 @@ class ValidationRun:
         """Violations in full, from (row_key, position, value, note)."""
         texts = []
         for b in self._bound:
-            reason, value = getattr(b.check, "reason", Message()), getattr(b.check, "value", NO_VALUE)
+            of_rows = not isinstance(b.check, GroupCheck)
+            reason, value = (getattr(b.check, k, d) if of_rows else d for k, d in (("reason", Message()), ("value", NO_VALUE)))
             texts.append(
                 {"rule_id": b.rule.id, "column_name": b.rule.column, "before": reason.before, "after": reason.after,
                  "is_float": value.is_float, "broken": b.check.message if isinstance(b.check, Broken) else None}
@@ -213,6 +265,27 @@ class ValidationRun:
             rule["column_name"].alias("column_name"), "row_key", "value", reason.alias("reason"),
         )
 
+    @cached_property
+    def group_violations(self) -> DataFrame:
+        """Every failing group of every rule on groups: (run_id, position, rule_id, column_name, level, group, value, reason).
+
+        `level` names the columns of the group, `group` holds their values in that order (null is a value).
+        """
+        parts = []
+        for bound, table in self._group_tables():
+            found = [
+                F.when(self._judged(k, b)[1], F.struct(
+                    F.lit(b.position).alias("position"), F.lit(b.rule.id).alias("rule_id"), F.lit(b.rule.column).alias("column_name"),
+                    F.col(f"m{k}").alias("value"), F.lit(f"{b.check.measure.kind} of '{b.rule.column}' is {b.check.reason}").alias("reason"),
+                )) for k, b in enumerate(bound)
+            ]
+            parts.append(table.select("level", "group", F.array(*found).alias("found")).select("level", "group", F.inline(F.array_compact("found"))))
+        names = ["position", "rule_id", "column_name", "level", "group", "value", "reason"]
+        if not parts:
+            schema = "position INT, rule_id STRING, column_name STRING, level STRING, `group` ARRAY<STRING>, value DOUBLE, reason STRING"
+            parts.append(self._df.sparkSession.createDataFrame([], schema))
+        return reduce(DataFrame.unionByName, parts).select(F.lit(self.run_id).alias("run_id"), *names)
+
     def failed(self) -> DataFrame:
         return self.rule_results.filter(~F.col("passed"))
 
@@ -234,7 +307,7 @@ def _attach(df: DataFrame, b: _Bound) -> DataFrame:
 
 
 def bind_rules(
-    df: DataFrame, rules: Iterable[Rule], as_of: dt.date | str | None = None
+    df: DataFrame, rules: Iterable[Rule], as_of: dt.date | str | None = None, tables: Mapping[str, DataFrame] | None = None
 ) -> tuple[list[_Bound], dict[str, Column]]:
     """Bind rules to the schema; also returns the columns that their predicates share.
 
@@ -248,7 +321,7 @@ def bind_rules(
     }
     quartiles = exact_quantiles(df, wanted, OUTLIER_PROBS)
     shared = Shared()
-    bound = [_Bound(i, r, bind(Target(r, df.schema, day, quartiles, shared))) for i, r in enumerate(rules)]
+    bound = [_Bound(i, r, bind(Target(r, df.schema, day, quartiles, shared, tables or {}))) for i, r in enumerate(rules)]
     return bound, shared.columns
 
 
@@ -258,13 +331,14 @@ def validate(
     key: Sequence[str] | None = None,
     as_of: dt.date | str | None = None,
     run_id: str | None = None,
+    tables: Mapping[str, DataFrame] | None = None,
 ) -> ValidationRun:
     """Check `rules` against `df`.
 
     `key` names the columns that identify a row; it is only needed for `violations`. `as_of` is the day that
-    counts as today (default: the current date).
+    counts as today (default: the current date). `tables` are the tables that `reference` rules name.
     """
-    bound, shared = bind_rules(df, rules, as_of)
+    bound, shared = bind_rules(df, rules, as_of, tables)
     df = df.withColumns(shared) if shared else df
     for b in bound:
         df = _attach(df, b)

@@ -1,10 +1,10 @@
-"""The thirty rule types. Each one turns a rule into a check on columns."""
+"""The rule types. Each one turns a rule into a check on columns, keys or groups."""
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
@@ -16,11 +16,15 @@ from pyspark.sql import types as T
 from plumbline.functions import cells, dates
 from plumbline.functions.cells import is_numeric, is_string
 from plumbline.functions.patterns import PatternError, match_start
+from plumbline.operators.group_rules import MEASURES, Measure, levels_of, summable
+from plumbline.operators.references import common_type
 from plumbline.plans.checks import (
     NO_VALUE,
     Broken,
     Check,
+    GroupCheck,
     Message,
+    ReferenceCheck,
     RepeatCheck,
     RowCheck,
     ShareCheck,
@@ -82,6 +86,8 @@ class Target:
     # Quartiles by column, filled in before the checks are built.
     quartiles: dict[str, list[float | None]] = field(default_factory=dict)
     shared: Shared = field(default_factory=Shared)
+    # The tables that `reference` rules may name.
+    tables: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def param(self, name: str, default: Any = None) -> Any:
         return self.rule.params.get(name, default)
@@ -131,7 +137,7 @@ class Target:
 VALIDATORS: dict[str, Callable[[Target], Check]] = {}
 
 # These types look their columns up themselves, so an absent rule column is not an error up front.
-_FINDS_OWN_COLUMNS = {"duplicate_row", "cross_field", "business_rule", "data_consistency", "date_order"}
+_FINDS_OWN_COLUMNS = {"duplicate_row", "cross_field", "business_rule", "data_consistency", "date_order", "reference", "aggregate"}
 
 
 def _type(*names: str):
@@ -551,6 +557,72 @@ def _business_rule(t: Target) -> Check:
     )
 
 
+# ---- other tables and groups -----------------------------------------------------------------
+
+
+def _names(value: Any) -> tuple[str, ...]:
+    return (value,) if isinstance(value, str) else tuple(value)
+
+
+@_type("reference")
+def _reference(t: Target) -> Check:
+    """params: `table` (a name among the tables given to `validate`; absent: the table itself), `columns`, `to`."""
+    columns = _names(t.param("columns") or t.rule.column)
+    name, to = t.param("table"), _names(t.param("to") or columns)
+    if name is not None and name not in t.tables:
+        return Broken(f"Table '{name}' is not given")
+    schema = t.schema if name is None else t.tables[name].schema
+    if len(columns) != len(to):
+        return Broken(f"{len(columns)} columns refer to {len(to)}")
+    for c in columns:
+        if not t.has(c):
+            return Broken(f"Column '{c}' not in dataset")
+    for c in to:
+        if c not in schema.names:
+            return Broken(f"Column '{c}' not in table '{name}'")
+    types = []
+    for a, b in zip(columns, to):
+        kind = common_type(t.dtype(a), schema[b].dataType)
+        if kind is None:
+            return Broken(f"Column '{a}' ({t.dtype(a).simpleString()}) cannot equal '{b}' ({schema[b].dataType.simpleString()})")
+        types.append(kind)
+    if len(columns) == 1:
+        value = t.value(columns[0])
+    else:
+        value = Value(lambda: F.concat_ws(", ", *[t.text(c) for c in columns]))
+    where = f"{name or 'the table'}.{'+'.join(to)}"
+    reason = Message(f": '{'+'.join(columns)}' value '", f"' is not in {where}")
+    return ReferenceCheck(columns, None if name is None else t.tables[name], to, tuple(types), value, reason)
+
+
+@_type("aggregate")
+def _aggregate(t: Target) -> Check:
+    """params: `measure`, `by`, `levels` (group, total, rollup, cube or lists of columns), `min`, `max`."""
+    kind, by = str(t.param("measure", "count")), _names(t.param("by") or ())
+    low, high = t.param("min"), t.param("max")
+    if kind not in MEASURES:
+        return Broken(f"Unknown measure: {kind}")
+    if low is None and high is None:
+        return Broken("The rule has no bounds")
+    everything = t.rule.column == "_all"
+    for c in [*by, *[t.rule.column] * (not everything)]:
+        if not t.has(c):
+            return Broken(f"Column '{c}' not in dataset")
+    for c in by:
+        if isinstance(t.dtype(c), T.MapType):
+            return Broken(f"Column '{c}' is a map and cannot be compared")
+    if everything and kind != "count":
+        return Broken(f"'{kind}' needs a column")
+    if kind == "count":
+        value = F.lit(True) if everything else t.present()
+    else:
+        value = t.number()
+        value = summable(value, t.dtype()) if kind in ("sum", "mean") else value
+    levels = levels_of(by, t.param("levels", "group"))
+    bounds = f"[{_show(low, '-inf')}, {_show(high, 'inf')}]"
+    return GroupCheck(by, tuple(levels), Measure(kind, t.rule.column, value), low, high, f"outside {bounds}")
+
+
 def as_of_date(as_of: dt.date | str | None) -> Column:
     """The day that counts as today."""
     return F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")

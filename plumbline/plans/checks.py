@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.group_rules import Measure
+
 # Columns that `with_row_key` adds. They identify a row but are not part of its data.
 GENERATED_KEY = ("row_file", "row_index")
 
@@ -16,7 +18,6 @@ def data_columns(names: list[str]) -> list[str]:
     return [n for n in names if n not in GENERATED_KEY]
 
 
-
 @dataclass(frozen=True)
 class Value:
     """The failing value as text; made only for violations.
@@ -74,6 +75,30 @@ class RepeatCheck:
     reason: Message
 
 
+@dataclass(frozen=True)
+class ReferenceCheck:
+    """Rows whose complete key stands in no row of another table fail."""
+
+    columns: tuple[str, ...]
+    table: DataFrame | None  # None: the table that is checked
+    to: tuple[str, ...]
+    types: tuple
+    value: Value
+    reason: Message
+
+
+@dataclass(frozen=True)
+class GroupCheck:
+    """Groups whose measure is out of bounds fail; what is judged is the group, not the row."""
+
+    by: tuple[str, ...]
+    levels: tuple[tuple[str, ...], ...]
+    measure: Measure
+    low: float | None
+    high: float | None
+    reason: str
+
+
 @dataclass(frozen=True)
 class Broken:
     """The rule cannot be run: every row counts as failed and the message is kept."""
@@ -88,4 +113,4 @@ class Skipped:
     message: str
 
 
-Check = RowCheck | ShareCheck | RepeatCheck | Broken | Skipped
+Check = RowCheck | ShareCheck | RepeatCheck | ReferenceCheck | GroupCheck | Broken | Skipped

@@ -10,8 +10,9 @@ first and the others join on a salted key (`attach_groups`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,7 @@ class Reference:
     table: DataFrame
     to: tuple[str, ...]
     types: tuple[T.DataType, ...]
+    tag: str = field(default_factory=lambda: uuid.uuid4().hex)  # keeps the names added here apart from those of the tables
 
     def _parts(self, df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Column], Column]:
         """What equal keys have in common (the key, or 128 bits of hashes if it is wide), and whether a key is complete."""
@@ -59,7 +61,7 @@ class Reference:
         wide = any(is_string(t) or isinstance(t, T.BinaryType) for t in self.types) or 16 * len(parts) > WIDE_KEY
         if wide:
             parts = [F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)]
-        return {f"__ref_{k}": p for k, p in enumerate(parts)}, complete
+        return {f"__ref_{k}_{self.tag}": p for k, p in enumerate(parts)}, complete
 
     @cached_property
     def keys(self) -> dict[str, Column]:
@@ -99,5 +101,6 @@ class Reference:
         if missing.count() * 16 * (len(self.keys) + 1) <= BROADCAST_BYTES:
             same = reduce(lambda a, b: a & b, [c == F.col(k) for k, c in self.keys.items()])
             return rows.join(F.broadcast(missing.drop("__n")), same, "left_semi")
-        joined = attach_groups(rows, missing, self.keys, "__n")
-        return joined.filter(F.col("__n").isNotNull()).drop("__n")
+        size = f"__n_{self.tag}"
+        joined = attach_groups(rows, missing.withColumnRenamed("__n", size), self.keys, size)
+        return joined.filter(F.col(size).isNotNull()).drop(size)

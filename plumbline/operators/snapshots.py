@@ -123,12 +123,15 @@ class SnapshotDiff:
         net = sides[0].unionAll(sides[1]).groupBy("__ka", "__kb", "__a", "__b").agg(F.sum("__sign").alias("net"))
         return cut_lineage(net.filter("net <> 0"))
 
-    @cached_property
-    def rows(self) -> DataFrame:
-        """Every row that differs, once: (change, copies, the columns); `removed` from the old snapshot or `added` in the new one.
+    def _free(self, name: str) -> str:
+        """The name, with underscores before it where a compared column has it already."""
+        while name in self.columns:
+            name = f"_{name}"
+        return name
 
-        `added` rows are what a multiset difference new - old gives, `removed` ones old - new.
-        """
+    @cached_property
+    def _whole(self) -> DataFrame:
+        """(change, copies, row): every row that differs, once."""
         size = self._differing.count() * 32
         parts = []
         for side, change, sign in ((self.old, "removed", -1), (self.new, "added", 1)):
@@ -137,9 +140,21 @@ class SnapshotDiff:
             whole = self._unequal(side, F.struct(*[_col(c) for c in self.columns]).alias("__row"))
             found = whole.join(wanted, (F.col("__a") == F.col("__wa")) & (F.col("__b") == F.col("__wb")))
             one = found.groupBy("__a", "__b").agg(F.first("copies").alias("copies"), F.first("__row").alias("__row"))
-            parts.append(one.select(F.lit(change).alias("change"), "copies", *[F.col("__row").getField(c).alias(c) for c in self.columns]))
+            parts.append(one.select(F.lit(change).alias("change"), "copies", F.col("__row").alias("row")))
         return parts[0].unionAll(parts[1])
 
+    def _of_row(self, name: str) -> Column:
+        return F.col("row").getField(name)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Every row that differs, once: (change, copies, the columns); `removed` from the old snapshot or `added` in the new one.
+
+        `added` rows are what a multiset difference new - old gives, `removed` ones old - new.
+        """
+        marks = [F.col(c).alias(self._free(c)) for c in ("change", "copies")]
+        return self._whole.select(*marks, *[self._of_row(c).alias(c) for c in self.columns])
+
     @cached_property
     def keys(self) -> DataFrame:
         """(the key, change, removed_rows, added_rows, changed_columns): one row for each key with a difference.
@@ -150,10 +165,10 @@ class SnapshotDiff:
         old = F.col("change") == "removed"
 
         def only(side: Column) -> Column:
-            return F.max(F.when(side, F.struct(*[clean(_col(c), self.new.schema[c].dataType).alias(f"c{k}") for k, c in enumerate(rest)])))
+            return F.max(F.when(side, F.struct(*[self._cleaned(c).alias(f"c{k}") for k, c in enumerate(rest)])))
 
         compared = [only(old).alias("__was"), only(~old).alias("__is")] if rest else []
-        grouped = self.rows.groupBy(*[clean(_col(k), self.new.schema[k].dataType).alias(k) for k in self.key]).agg(
+        grouped = self._whole.groupBy(*[self._cleaned(k).alias(f"k{j}") for j, k in enumerate(self.key)]).agg(
             F.sum(F.when(old, F.col("copies")).otherwise(0)).alias("removed_rows"),
             F.sum(F.when(~old, F.col("copies")).otherwise(0)).alias("added_rows"), *compared,
         )
@@ -161,7 +176,11 @@ class SnapshotDiff:
         differing = [F.when(~F.col("__was")[f"c{k}"].eqNullSafe(F.col("__is")[f"c{k}"]), F.lit(c)) for k, c in enumerate(rest)]
         listed = F.array_compact(F.array(*differing)) if rest else F.array().cast("array<string>")
         single = (F.col("removed_rows") == 1) & (F.col("added_rows") == 1)
-        return grouped.select(*[_col(k) for k in self.key], kind.alias("change"), "removed_rows", "added_rows", F.when(single, listed).alias("changed_columns"))
+        found = {"change": kind, "removed_rows": F.col("removed_rows"), "added_rows": F.col("added_rows"), "changed_columns": F.when(single, listed)}
+        return grouped.select(*[F.col(f"k{j}").alias(k) for j, k in enumerate(self.key)], *[c.alias(self._free(n)) for n, c in found.items()])
+
+    def _cleaned(self, name: str) -> Column:
+        return clean(self._of_row(name), self.new.schema[name].dataType)
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -7,7 +7,9 @@ points that stand in two documents or more lose all their lines except in the do
    filter `twice`. The tasks' filters are cut into slices, compressed, and merged slice by slice: a bit that two tasks
    have set once is set in `twice`. What travels is some five bytes a distinct line of a task.
 2. A line whose bits are not all set in `twice` stands in one document only. All others are suspects: their 128-bit
-   digests are grouped over all documents, which settles exactly what repeats and where it stands first.
+   digests are grouped over all documents, which settles exactly what repeats and where it stands first. Digests with
+   more than 1 in HOT_KEYS of the suspected lines, so fewer than HOT_KEYS of them, meet their lines by broadcast, the
+   others in a join: no line piles up in one task.
 3. Documents without a suspect are done where they are read. The others meet the digests they lose, one list for each
    (id, text), and are cut.
 
@@ -36,6 +38,7 @@ MIN_CHARS = 10
 BITS_A_LINE = 12
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 PROBES = 4
+HOT_KEYS = 2000
 SLICE = 1 << 16  # bytes of a filter that travel together
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -197,8 +200,11 @@ def lines_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copy = F.xxhash64("text")
     seen = cut_lineage(rows.withColumn("copy", copy).mapInArrow(digests, f"id {kind}, copy long, key binary"))
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"))
-    kept = seen.groupBy("key").agg(F.min(place).alias("kept"), F.max(place).alias("latest")).where("kept <> latest").select("key", "kept")
-    lost = seen.join(kept, "key").where(place != F.col("kept"))
+    kept = seen.groupBy("key").agg(F.min(place).alias("kept"), F.max(place).alias("latest"), F.count("*").alias("n")).where("kept <> latest").select("key", "kept", "n")
+    kept, total = cut_lineage(kept), seen.count()
+    hot, cold = kept.where(F.col("n") * HOT_KEYS > total), kept.where(F.col("n") * HOT_KEYS <= total)
+    rest = seen.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key")
+    lost = seen.join(F.broadcast(hot), "key").unionAll(rest).where(place != F.col("kept"))
     lists = lost.groupBy("id", "copy").agg(F.collect_set("key").alias("lost")).select(F.col("id").alias("of_id"), F.col("copy").alias("of_copy"), "lost")
 
     shape = f"`{id_col}` {kind}, `{text_col}` string, n_lines long, n_dropped long, dropped array<struct<start:bigint,length:bigint>>"

@@ -20,6 +20,7 @@ rows count as often as they stand; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
 
@@ -57,6 +58,7 @@ class Side:
     def __init__(self, spelt: list[bytes], encode):
         self.lengths = np.array([len(b) for b in spelt], np.int64)
         self.spaced = np.array([b[:1] == b" " for b in spelt])
+        self.names = [str(i) for i in range(len(spelt))]
 
         def checked(stretches: list[bytes]) -> list[list[int]]:
             ids = encode([s.decode("utf-8", "replace") for s in stretches])
@@ -88,6 +90,15 @@ def piece_side(path: str) -> Side:
     return Side(spelt, lambda texts: [ids if t != " " else alone for t, ids in zip(texts, pieces.encode([t[1:] for t in texts], num_threads=1))])
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Bounds of the groups in both id sequences, and bounds of the windows in the groups."""
+
+    groups_a: np.ndarray
+    groups_b: np.ndarray
+    windows: np.ndarray
+
+
 class Windows:
     """Alignments of windows by their two id tuples (as packed bytes)."""
 
@@ -100,42 +111,40 @@ class Windows:
         self.texts: list[str] = []
         self.links, self.size = Rows(np.int64), 0
 
-    def aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[str, list[int]]:
-        """The groups as text, and the links as one number for a pair of ids."""
-        ends_a, ends_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
-        shared = np.intersect1d(ends_a, ends_b)
-        i, j = np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1
-        groups, links, width = [], [], len(self.b.lengths)
-        ids_a, ids_b = a.tolist(), b.tolist()
-        for i0, i1, j0, j1 in zip([0, *i.tolist()], i.tolist(), [0, *j.tolist()], j.tolist()):
-            groups.append(f"{','.join(map(str, ids_a[i0:i1]))}|{','.join(map(str, ids_b[j0:j1]))}")
-            links.append(ids_a[i1 - 1] * width + ids_b[j1 - 1])
-        return ";".join(groups), links
-
-    def rows(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
+    def rows(self, a: np.ndarray, b: np.ndarray, cuts: Cuts) -> np.ndarray:
         """For each window the row of its alignment; valid until the next call."""
         if self.size > MEMO_BYTES:
             self._clear()
-        raw_a, raw_b, memo = a.tobytes(), b.tobytes(), self.memo
-        w = a.itemsize
-        out = np.empty(len(cut_a) - 1, np.int64)
-        fresh_links, first = [], len(self.texts)
-        at_a, at_b = (cut_a * w).tolist(), (cut_b * w).tolist()
-        for k in range(len(out)):
-            key = raw_a[at_a[k] : at_a[k + 1]], raw_b[at_b[k] : at_b[k + 1]]
+        raw_a, raw_b, memo, w = a.tobytes(), b.tobytes(), self.memo, a.itemsize
+        at_a, at_b = (cuts.groups_a[cuts.windows] * w).tolist(), (cuts.groups_b[cuts.windows] * w).tolist()
+        out, fresh = [], []
+        for key in zip([raw_a[i:j] for i, j in zip(at_a, at_a[1:])], [raw_b[i:j] for i, j in zip(at_b, at_b[1:])]):
             row = memo.get(key)
             if row is None:
-                text, links = self.aligned(a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]])
-                row = first + len(fresh_links)
-                self.texts.append(text)
-                fresh_links.append(links)
-                size = len(key[0]) + len(key[1]) + len(text) + 8 * len(links) + 240
-                self.size += size
+                row = len(self.texts) + len(fresh)
+                fresh.append(len(out))
                 if len(key[0]) + len(key[1]) <= MEMO_IDS * w:
                     memo[key] = row
-            out[k] = row
-        self.links.add(fresh_links)
-        return out
+            out.append(row)
+        self._align(fresh, a, b, cuts)
+        return np.array(out, np.int64)
+
+    def _align(self, fresh: list[int], a: np.ndarray, b: np.ndarray, cuts: Cuts) -> None:
+        """Adds the groups (as text) and the links (one number for a pair of ids) of the windows with these numbers."""
+        name_a, name_b, width = self.a.names, self.b.names, len(self.b.names)
+        ids_a, ids_b, end_a, end_b, bounds = a.tolist(), b.tolist(), cuts.groups_a.tolist(), cuts.groups_b.tolist(), cuts.windows.tolist()
+        links = []
+        for k in fresh:
+            groups, linked = [], []
+            for g in range(bounds[k], bounds[k + 1]):
+                i, j, p, q = end_a[g], end_a[g + 1], end_b[g], end_b[g + 1]
+                groups.append(f"{','.join([name_a[x] for x in ids_a[i:j]])}|{','.join([name_b[x] for x in ids_b[p:q]])}")
+                linked.append(ids_a[j - 1] * width + ids_b[q - 1])
+            text = ";".join(groups)
+            self.texts.append(text)
+            links.append(linked)
+            self.size += len(text) + 16 * len(linked) + 300
+        self.links.add(links)
 
 
 @lru_cache(maxsize=1)
@@ -143,26 +152,25 @@ def known_windows(path_a: str, path_b: str) -> Windows:
     return Windows(byte_side(path_a), piece_side(path_b))
 
 
-def windows_of(a: np.ndarray, b: np.ndarray, text_a: np.ndarray, left: Side, right: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of the windows in both id sequences, and how many windows end up to each text's end.
+def cuts_of(a: np.ndarray, b: np.ndarray, text_a: np.ndarray, left: Side, right: Side) -> tuple[Cuts, np.ndarray]:
+    """Where the two id sequences are cut, and how many windows end up to each text's end.
 
     `a` and `b` spell the same bytes; `text_a` holds where each text ends in `a`.
     """
     ends_a, ends_b = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
     total = int(ends_a[-1])
-    mark = np.zeros(total + 1, np.uint8)
+    mark, spaced = np.zeros(total + 1, np.uint8), np.zeros(total + 1, np.uint8)
     mark[ends_a] = 1
     mark[ends_b] |= 2
-    before_a, before_b = np.append(left.spaced[a[1:]], True), np.append(right.spaced[b[1:]], True)
-    spaced = np.zeros(total + 1, np.uint8)
-    spaced[ends_a[before_a]] = 1
-    spaced[ends_b[before_b]] |= 2
+    spaced[ends_a[np.append(left.spaced[a[1:]], True)]] = 1
+    spaced[ends_b[np.append(right.spaced[b[1:]], True)]] |= 2
     stops = np.append(0, ends_a)[text_a]
     anchors = (mark == 3) & (spaced == 3)
     anchors[stops[stops > 0]] = True
-    anchors = np.flatnonzero(anchors)
-    cut_a, cut_b = np.searchsorted(ends_a, anchors) + 1, np.searchsorted(ends_b, anchors) + 1
-    return np.append(0, cut_a), np.append(0, cut_b), np.searchsorted(anchors, stops, "right")
+    shared, anchors = np.flatnonzero(mark == 3), np.flatnonzero(anchors)
+    groups = [np.append(0, np.searchsorted(ends, shared) + 1) for ends in (ends_a, ends_b)]
+    windows = np.append(0, np.searchsorted(shared, anchors) + 1)
+    return Cuts(*groups, windows), np.searchsorted(anchors, stops, "right")
 
 
 def aligned_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, with_groups: bool = False) -> DataFrame:
@@ -198,8 +206,8 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str, te
             n_groups, shas, texts = np.zeros(n, np.int64), [""] * n, [""] * n
             codes, times, of = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(a):
-                cut_a, cut_b, upto = windows_of(a, b, stops, left, right)
-                found = windows.rows(a, b, cut_a, cut_b)
+                cuts, upto = cuts_of(a, b, stops, left, right)
+                found = windows.rows(a, b, cuts)
                 flat, link_ends = windows.links.flat(found)
                 link_upto = np.append(0, link_ends)[np.append(0, upto)]
                 n_groups = np.diff(link_upto)

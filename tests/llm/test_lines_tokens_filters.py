@@ -112,8 +112,8 @@ def test_windows_cut_at_spaces_only(spark):
     windows = token_alignment.Windows(token_alignment.byte_side(BYTE_BPE), token_alignment.piece_side(PIECES))
     text = b" the cat sat on the mat and the cat sat on the mat " + b"x" * 500
     ids = [side.encoder.flat(side.encoder.rows(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)])))[0] for side in (windows.a, windows.b)]
-    cut_a, cut_b, _ = token_alignment.windows_of(*ids, np.array([len(ids[0])]), windows.a, windows.b)
-    rows = windows.rows(*ids, cut_a, cut_b)
+    cuts, _ = token_alignment.cuts_of(*ids, np.array([len(ids[0])]), windows.a, windows.b)
+    rows = windows.rows(*ids, cuts)
     assert len(rows) > 10 and len(set(rows.tolist())) < len(rows)
     assert all(len(a) + len(b) <= 4 * token_alignment.MEMO_IDS for a, b in windows.memo)
 

@@ -2,7 +2,7 @@
 
 All rules that look at one row share one aggregate over one scan. Rules about repeated keys add one
 `groupBy` per distinct key set, rules on groups one for each set of grouping columns, rules that refer to another
-table one `groupBy` and a join of distinct keys. Quartiles for `outlier` rules are found beforehand for all columns at once, by
+table one `groupBy` and a join of distinct keys, rules on the order of rows or the outliers of groups a sort by ranges. Quartiles for `outlier` rules are found beforehand for all columns at once, by
 jobs that run while binding and collect one bounded row; results and violations stay lazy DataFrames.
 """
 
@@ -21,20 +21,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import cells
+from plumbline.operators.group_outliers import group_outliers
 from plumbline.operators.group_rules import grouped
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.references import Reference
 from plumbline.operators.repeats import repeat_counts, repeats
+from plumbline.operators.sequences import broken_order
 from plumbline.operators.validators import OUTLIER_PROBS, Shared, Target, as_of_date, bind, outside
 from plumbline.plans.checks import (
     NO_VALUE,
     Broken,
     Check,
     GroupCheck,
+    GroupOutlierCheck,
     Message,
     ReferenceCheck,
     RepeatCheck,
     RowCheck,
+    SequenceCheck,
     ShareCheck,
     Skipped,
 )
@@ -107,6 +111,8 @@ class ValidationRun:
         for group in by_key.values():
             parts.append(self._repeat_pass(group))
         parts += [self._reference_pass(b) for b in self._of(ReferenceCheck)]
+        parts += [self._failing_pass(b, self._out_of_order(b)) for b in self._of(SequenceCheck)]
+        parts += [self._failing_pass(b, self._out_of_group(b)) for b in self._of(GroupOutlierCheck)]
         parts += [self._group_pass(bound, table) for bound, table in self._group_tables()]
         if not parts:
             return spark.createDataFrame([], RESULT_SCHEMA)
@@ -139,6 +145,18 @@ class ValidationRun:
     def _reference_pass(self, b: _Bound) -> DataFrame:
         return self._shaped(self._reference(b).counts().select("total", F.array("failed").alias("failed")), [b])
 
+    def _out_of_order(self, b: _Bound) -> DataFrame:
+        return broken_order(self._df, b.check, self.key)
+
+    def _out_of_group(self, b: _Bound) -> DataFrame:
+        return group_outliers(self._df, b.check.by, b.check.number, b.check.factor)
+
+    def _failing_pass(self, b: _Bound, failing: DataFrame) -> DataFrame:
+        """The result of a rule from the rows that fail it."""
+        total = self._df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+        counted = failing.agg(F.count(F.lit(1)).alias("n"))
+        return self._shaped(counted.select(total.alias("total"), F.array("n").alias("failed")), [b])
+
     def _group_tables(self) -> list[tuple[list[_Bound], DataFrame]]:
         """For each set of grouping columns its rules, and one table with a measure for each of them."""
         by_columns: dict[tuple, list[_Bound]] = {}
@@ -220,6 +238,10 @@ class ValidationRun:
         for b in self._of(RepeatCheck):
             failing = repeats(self._df, b.check.keys, self.key)
             parts.append(failing.select(row_key, entry(b).alias("v")).select("row_key", "v.*"))
+        for b in self._of(SequenceCheck):
+            parts.append(self._out_of_order(b).select("row_key", F.lit(b.position).alias("position"), "value", "note"))
+        for b in self._of(GroupOutlierCheck):
+            parts.append(self._out_of_group(b).select(row_key, entry(b).alias("v")).select("row_key", "v.*"))
         for b in self._of(ReferenceCheck):
             parts.append(self._reference(b).orphans().select(row_key, entry(b).alias("v")).select("row_key", "v.*"))
         if not parts:
@@ -317,7 +339,7 @@ def bind_rules(
     wanted = {
         r.column: cells.double(F.col(f"`{r.column}`"), df.schema[r.column].dataType)
         for r in rules
-        if r.type == "outlier" and r.column in df.columns
+        if r.type == "outlier" and r.column in df.columns and not r.params.get("by")
     }
     quartiles = exact_quantiles(df, wanted, OUTLIER_PROBS)
     shared = Shared()

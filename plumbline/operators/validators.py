@@ -23,10 +23,12 @@ from plumbline.plans.checks import (
     Broken,
     Check,
     GroupCheck,
+    GroupOutlierCheck,
     Message,
     ReferenceCheck,
     RepeatCheck,
     RowCheck,
+    SequenceCheck,
     ShareCheck,
     Skipped,
     Value,
@@ -137,7 +139,7 @@ class Target:
 VALIDATORS: dict[str, Callable[[Target], Check]] = {}
 
 # These types look their columns up themselves, so an absent rule column is not an error up front.
-_FINDS_OWN_COLUMNS = {"duplicate_row", "cross_field", "business_rule", "data_consistency", "date_order", "reference", "aggregate"}
+_FINDS_OWN_COLUMNS = {"duplicate_row", "cross_field", "business_rule", "data_consistency", "date_order", "reference", "aggregate", "sequence"}
 
 
 def _type(*names: str):
@@ -263,6 +265,10 @@ def outlier_bounds(quartiles: list[float | None], factor: float) -> tuple[float,
 
 @_type("outlier")
 def _outlier(t: Target) -> Check:
+    """With a parameter `by` the quartiles are those of the row's own group."""
+    if t.param("by"):
+        by = _groupable(t, t.param("by"))
+        return by if isinstance(by, Broken) else GroupOutlierCheck(by, t.number().cast("double"), float(t.param("factor", 1.5)), t.value(), t.reason("is an outlier of its group"))
     bounds = outlier_bounds(t.quartiles.get(t.rule.column, [None, None]), float(t.param("factor", 1.5)))
     if bounds is None:
         return t.row_check(F.lit(False), "is an outlier")
@@ -595,22 +601,31 @@ def _reference(t: Target) -> Check:
     return ReferenceCheck(columns, None if name is None else t.tables[name], to, tuple(types), value, reason)
 
 
+def _groupable(t: Target, by: Any) -> tuple[str, ...] | Broken:
+    """The grouping columns, or why rows cannot be grouped by them."""
+    by = _names(by or ())
+    for c in by:
+        if not t.has(c):
+            return Broken(f"Column '{c}' not in dataset")
+        if isinstance(t.dtype(c), T.MapType):
+            return Broken(f"Column '{c}' is a map and cannot be compared")
+    return by
+
+
 @_type("aggregate")
 def _aggregate(t: Target) -> Check:
     """params: `measure`, `by`, `levels` (group, total, rollup, cube or lists of columns), `min`, `max`."""
-    kind, by = str(t.param("measure", "count")), _names(t.param("by") or ())
+    kind, by = str(t.param("measure", "count")), _groupable(t, t.param("by"))
+    if isinstance(by, Broken):
+        return by
     low, high = t.param("min"), t.param("max")
     if kind not in MEASURES:
         return Broken(f"Unknown measure: {kind}")
     if low is None and high is None:
         return Broken("The rule has no bounds")
     everything = t.rule.column == "_all"
-    for c in [*by, *[t.rule.column] * (not everything)]:
-        if not t.has(c):
-            return Broken(f"Column '{c}' not in dataset")
-    for c in by:
-        if isinstance(t.dtype(c), T.MapType):
-            return Broken(f"Column '{c}' is a map and cannot be compared")
+    if not everything and not t.has(t.rule.column):
+        return Broken(f"Column '{t.rule.column}' not in dataset")
     if everything and kind != "count":
         return Broken(f"'{kind}' needs a column")
     if kind == "count":
@@ -623,6 +638,39 @@ def _aggregate(t: Target) -> Check:
     return GroupCheck(by, tuple(levels), Measure(kind, t.rule.column, value), low, high, f"outside {bounds}")
 
 
+SEQUENCES = ("increasing", "gap", "overlap")
+
+
+@_type("sequence")
+def _sequence(t: Target) -> Check:
+    """Rows of a group (`by`) in the order of column `order`.
+
+    params: `check` is increasing (the rule's column never falls; with `strict` it always grows), gap (steps of the
+    order column between `min` and `max`; seconds for times, days for dates), or overlap (intervals from the rule's
+    column to column `end` do not overlap; they may touch).
+    """
+    kind, by = str(t.param("check", "increasing")), _groupable(t, t.param("by"))
+    if isinstance(by, Broken):
+        return by
+    order, end = t.param("order", t.rule.column), t.param("end")
+    if kind not in SEQUENCES:
+        return Broken(f"Unknown check of a sequence: {kind}")
+    wanted = [order, t.rule.column, *([end] if kind == "overlap" else [])]
+    for c in wanted:
+        if not c or not t.has(c):
+            return Broken(f"Column '{c}' not in dataset")
+        if not (is_numeric(t.dtype(c)) or cells.is_date(t.dtype(c)) or (is_string(t.dtype(c)) and kind == "increasing")):
+            return Broken(f"Column '{c}' has no order that can be checked")
+    if kind == "overlap" and t.dtype(end) != t.dtype():
+        return Broken(f"Columns '{t.rule.column}' and '{end}' have two types")
+    low, high = t.param("min"), t.param("max")
+    if kind == "gap" and low is None and high is None:
+        return Broken("The rule has no bounds")
+    if kind == "overlap":
+        order = t.rule.column
+    return SequenceCheck(by, order, kind, order if kind == "gap" else t.rule.column, end if kind == "overlap" else None, bool(t.param("strict", False)), low, high)
+
+
 def as_of_date(as_of: dt.date | str | None) -> Column:
     """The day that counts as today."""
     return F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")

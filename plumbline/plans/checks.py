@@ -99,6 +99,31 @@ class GroupCheck:
     reason: str
 
 
+@dataclass(frozen=True)
+class SequenceCheck:
+    """Rows that break the order of their group fail: `kind` is increasing, gap or overlap."""
+
+    by: tuple[str, ...]
+    order: str
+    kind: str
+    column: str
+    end: str | None
+    strict: bool
+    least: float | None
+    most: float | None
+
+
+@dataclass(frozen=True)
+class GroupOutlierCheck:
+    """Rows outside the interquartile bounds of their own group fail."""
+
+    by: tuple[str, ...]
+    number: Column
+    factor: float
+    value: Value
+    reason: Message
+
+
 @dataclass(frozen=True)
 class Broken:
     """The rule cannot be run: every row counts as failed and the message is kept."""
@@ -113,4 +138,4 @@ class Skipped:
     message: str
 
 
-Check = RowCheck | ShareCheck | RepeatCheck | ReferenceCheck | GroupCheck | Broken | Skipped
+Check = RowCheck | ShareCheck | RepeatCheck | ReferenceCheck | GroupCheck | SequenceCheck | GroupOutlierCheck | Broken | Skipped

@@ -1,4 +1,4 @@
-"""Rules that look beyond one row of one table: references, groups and totals, and what differs between two snapshots."""
+"""Rules that look beyond one row of one table: references, groups and totals, sequences, outliers of groups; and snapshots."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import Rule, snapshot_diff, validate
+from plumbline.operators.ordered import grouped_quantiles
 from registry.inputs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +190,104 @@ SELECT (SELECT count(*) FROM old_rows) AS old_rows, (SELECT count(*) FROM new_ro
   count_if(change = 'removed')::BIGINT AS removed_keys, count_if(change = 'added')::BIGINT AS added_keys, count_if(change = 'changed')::BIGINT AS changed_keys FROM named""")
 def snapshot_summary(spark, sf_dir):
     return _diff(spark, sf_dir).summary.drop("n_ranges", "unequal_ranges", "compared_rows")
+
+
+# ---- sequences -------------------------------------------------------------------------------
+
+# Events with a third of the rows under one user, some without a user, some without a time, and a counter that falls.
+EVENTS_SQL = """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 31 = 0 THEN NULL ELSE user_id END AS who,
+  CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END AS ts, ts AS began, ts + make_interval_minutes AS ended,
+  CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN event_id - 40 ELSE event_id END AS counter, value
+FROM events"""
+_EVENTS_SPARK = EVENTS_SQL.replace("make_interval_minutes", "make_interval(0, 0, 0, 0, 0, event_id % 50, 0)")
+_EVENTS_DUCK = EVENTS_SQL.replace("make_interval_minutes", "to_minutes(event_id % 50)")
+
+SEQUENCES = [
+    Rule("S1", "counter", "sequence", "high", params={"by": "who", "order": "ts"}),
+    Rule("S2", "counter", "sequence", params={"order": "event_id", "strict": True}),
+    Rule("S3", "ts", "sequence", params={"check": "gap", "by": "who", "max": 7200, "min": 1}),
+    Rule("S4", "began", "sequence", params={"check": "overlap", "by": "who", "end": "ended"}),
+    Rule("S5", "event_id", "sequence", params={"check": "gap", "by": ["who"], "max": 300}),
+    Rule("S6", "counter", "sequence", params={"check": "sorted"}),
+]
+
+
+def _sequences(spark: SparkSession, sf_dir: str):
+    return validate(_from(spark, sf_dir, _EVENTS_SPARK, "events"), SEQUENCES, key=["event_id"], run_id="S")
+
+
+_BROKEN_ORDER_SQL = f"""
+WITH e AS ({_EVENTS_DUCK}),
+s1 AS (SELECT event_id, counter, lag(counter) OVER (PARTITION BY who ORDER BY ts, event_id) AS p FROM e WHERE ts IS NOT NULL AND counter IS NOT NULL),
+s2 AS (SELECT event_id, counter, lag(counter) OVER (ORDER BY event_id) AS p FROM e WHERE counter IS NOT NULL),
+s3 AS (SELECT event_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY who ORDER BY ts, event_id))) / 1e6 AS step FROM e WHERE ts IS NOT NULL),
+s4 AS (SELECT event_id, began, max(ended) OVER (PARTITION BY who ORDER BY began, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e),
+s5 AS (SELECT event_id, event_id - lag(event_id) OVER (PARTITION BY who ORDER BY event_id) AS step FROM e),
+broken AS (
+  SELECT 'S1' AS rule_id, event_id FROM s1 WHERE counter < p UNION ALL SELECT 'S2', event_id FROM s2 WHERE counter <= p
+  UNION ALL SELECT 'S3', event_id FROM s3 WHERE step < 1 OR step > 7200 UNION ALL SELECT 'S4', event_id FROM s4 WHERE began < p
+  UNION ALL SELECT 'S5', event_id FROM s5 WHERE step > 300 UNION ALL SELECT 'S6', event_id FROM e)"""
+
+
+@register("sequence_results", _BROKEN_ORDER_SQL + """
+SELECT 'S' || k AS rule_id, CASE k WHEN 6 THEN 'error' ELSE 'ok' END AS status, (SELECT count(*) FROM e) AS total_rows,
+  (SELECT count(*) FROM broken WHERE rule_id = 'S' || k) AS failed_count FROM range(1, 7) r(k)""")
+def sequence_results(spark, sf_dir):
+    return _sequences(spark, sf_dir).rule_results.select("rule_id", "status", "total_rows", "failed_count")
+
+
+@register("sequence_violations", _BROKEN_ORDER_SQL + " SELECT rule_id, event_id FROM broken")
+def sequence_violations(spark, sf_dir):
+    return _sequences(spark, sf_dir).violations.select("rule_id", "row_key.event_id")
+
+
+_STAYS = "SELECT o_custkey % 50 AS who, o_orderkey, o_orderdate, o_totalprice FROM orders"
+
+
+@register("sequence_order_prices", f"""
+WITH o AS ({_STAYS}), p AS (SELECT *, lag(o_totalprice) OVER (PARTITION BY who ORDER BY o_orderdate, o_orderkey) AS before FROM o)
+SELECT o_orderkey, o_totalprice, before FROM p WHERE o_totalprice < before""")
+def sequence_order_prices(spark, sf_dir):
+    """Orders of a customer group that cost less than the one before, with that one's price."""
+    found = validate(_from(spark, sf_dir, _STAYS, "orders"), [Rule("P", "o_totalprice", "sequence", params={"by": "who", "order": "o_orderdate"})], key=["o_orderkey"]).violations
+    before = F.regexp_extract("reason", "falls from '(.*)'$", 1).cast("double")
+    return found.select("row_key.o_orderkey", F.col("value").cast("double").alias("o_totalprice"), before.alias("before"))
+
+
+# ---- quantiles and outliers of groups --------------------------------------------------------
+
+# A third of the lines is one group; prices with nulls, and a few far off.
+PRICES_SQL = """
+SELECT l_orderkey AS line_order, l_linenumber AS line_number, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS seller,
+  CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END AS flag,
+  CASE WHEN l_orderkey % 97 = 0 THEN NULL WHEN l_orderkey % 89 = 0 THEN l_extendedprice * 20 ELSE l_extendedprice END AS price
+FROM lineitem"""
+
+
+@register("grouped_quantiles", f"""
+WITH p AS ({PRICES_SQL})
+SELECT seller, flag, count(price) AS n, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS q2, quantile_cont(price, 0.99) AS q99
+FROM p GROUP BY seller, flag""")
+def group_quantiles(spark, sf_dir):
+    rows = _from(spark, sf_dir, PRICES_SQL, "lineitem")
+    found = grouped_quantiles(rows, ["seller", "flag"], F.col("price"), (0.25, 0.5, 0.99))
+    return found.select(F.col("group.g0").alias("seller"), F.col("group.g1").alias("flag"), "n", *[F.col("quantiles")[k].alias(c) for k, c in enumerate(("q1", "q2", "q99"))])
+
+
+_OUTLIERS_SQL = f"""
+WITH p AS ({PRICES_SQL}),
+q AS (SELECT seller, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM p GROUP BY seller),
+bad AS (SELECT p.* FROM p JOIN q USING (seller) WHERE price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1))"""
+_OUTLIERS = [Rule("O", "price", "outlier", params={"by": "seller"})]
+
+
+@register("group_outlier_results", _OUTLIERS_SQL + " SELECT 'O' AS rule_id, (SELECT count(*) FROM p) AS total_rows, (SELECT count(*) FROM bad) AS failed_count")
+def group_outlier_results(spark, sf_dir):
+    return validate(_from(spark, sf_dir, PRICES_SQL, "lineitem"), _OUTLIERS).rule_results.select("rule_id", "total_rows", "failed_count")
+
+
+@register("group_outlier_violations", _OUTLIERS_SQL + " SELECT line_order, line_number, price FROM bad")
+def group_outlier_violations(spark, sf_dir):
+    found = validate(_from(spark, sf_dir, PRICES_SQL, "lineitem"), _OUTLIERS, key=["line_order", "line_number"]).violations
+    return found.select("row_key.line_order", "row_key.line_number", F.col("value").cast("double").alias("price"))

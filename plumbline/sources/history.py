@@ -65,10 +65,12 @@ CHILDREN = ("validation_results", "failed_records", "ai_analysis", "remediation_
 # The tables whose rows change after they were written.
 VERSIONED = ("validation_runs", "remediation_suggestions")
 REMOVED = "removed_runs"
+# The partition of a row: the month of the day it belongs to.
+MONTH = "run_month"
 # What the newest-first readers return unless told otherwise, and how many keys and messages a result row shows.
 RECENT_RUNS, RECENT = 20, 50
 SHOWN_KEYS, SHOWN_MESSAGES = 50, 20
-# When a row happened, by table; its day is the partition that the row is stored in.
+# When a row happened, by table; its month is the partition that the row is stored in.
 HAPPENED = {
     "validation_runs": "validation_timestamp", "ai_analysis": "created_at", "remediation_suggestions": "created_at",
     "agent_iterations": "timestamp", "api_validation_results": "created_at",
@@ -106,17 +108,24 @@ class History:
     # ---- storage -----------------------------------------------------------------------------
 
     def _append(self, table: str, rows: DataFrame, version: Column | None = None) -> None:
-        """Append rows in the declared schema, in a partition for the day they belong to."""
+        """Append rows in the declared schema, in a partition for the month they belong to.
+
+        Rows are gathered by month before they are written, large months split into several files and small ones put
+        together, so the number of files follows the months touched and the size, not the tasks. Inside, rows are in
+        order of day and run, so that a filter on either skips row groups by their statistics.
+        """
         schema = T.StructType.fromDDL(SCHEMAS[table])
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
         shaped = rows.select(*columns, (F.lit(1) if version is None else version).cast("bigint").alias("version"))
         happened = F.to_date(HAPPENED[table]) if table in HAPPENED else F.lit(None).cast("date")
-        versioned = shaped.withColumns({"updated_at": _now(), "run_date": F.coalesce(happened, F.current_date())})
-        versioned.write.mode("append").partitionBy("run_date").parquet(f"{self.path}/{table}")
+        day = F.coalesce(happened, F.current_date())
+        versioned = shaped.withColumns({"updated_at": _now(), "run_date": day, MONTH: F.date_format(day, "yyyy-MM")})
+        gathered = versioned.hint("rebalance", F.col(MONTH)).sortWithinPartitions(MONTH, "run_date", "run_id")
+        gathered.write.mode("append").partitionBy(MONTH).parquet(f"{self.path}/{table}")
 
     def _stored(self, table: str) -> DataFrame:
         """All versions of all rows; an empty table when nothing was written yet."""
-        extra = ", version BIGINT, updated_at TIMESTAMP, run_date DATE"
+        extra = f", version BIGINT, updated_at TIMESTAMP, run_date DATE, {MONTH} STRING"
         schema = (SCHEMAS[table] if table in SCHEMAS else "run_id STRING") + extra
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
@@ -131,7 +140,7 @@ class History:
         return self._visible(name).select(*T.StructType.fromDDL(SCHEMAS[name]).names)
 
     def _visible(self, name: str) -> DataFrame:
-        rows = self._stored(name).drop("run_date")
+        rows = self._stored(name).drop("run_date", MONTH)
         rows = latest(rows, KEYS[name]) if name in VERSIONED else rows.drop("updated_at")
         if name == "validation_runs" or name in CHILDREN:
             rows = rows.join(self._removed(), "run_id", "left_anti")
@@ -199,7 +208,7 @@ class History:
                 kept = found.withColumn("sample_no", F.lit(None).cast("int")).select(*columns)
             else:
                 kept = first.filter(F.col("sample_no") <= sample)
-            self.save_failed_records(kept.join(F.broadcast(results.select("run_id", "rule_id")), "rule_id"))
+            self.save_failed_records(kept.join(results.select("run_id", "rule_id"), "rule_id"))
         self._append(
             "validation_results",
             rows.select(
@@ -303,7 +312,7 @@ class History:
 
     def delete_runs(self, runs: DataFrame) -> None:
         gone = runs.select("run_id").withColumns({"updated_at": _now(), "run_date": F.current_date()})
-        gone.write.mode("append").partitionBy("run_date").parquet(f"{self.path}/{REMOVED}")
+        gone.hint("rebalance").write.mode("append").parquet(f"{self.path}/{REMOVED}")
 
     def clear(self) -> None:
         """Empty all tables."""

@@ -26,11 +26,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.byte_words import per_text, slices, text_bytes
-from plumbline.llm.tokenizing import Encoder, Rows, spaced_stretches, tokenizer
+from plumbline.llm.tokenizing import Encoder, Rows, distinct_stretches, spaced_stretches, tokenizer
 from plumbline.sources.storage import scratch_path
 
 #: Stands for a stretch that the tokens do not spell.
@@ -58,7 +59,7 @@ class Side:
     def __init__(self, spelt: list[bytes], encode):
         self.lengths = np.array([len(b) for b in spelt], np.int64)
         self.spaced = np.array([b[:1] == b" " for b in spelt])
-        self.names = [str(i) for i in range(len(spelt))]
+        self.names = pa.array([str(i) for i in range(len(spelt))])
 
         def checked(stretches: list[bytes]) -> list[list[int]]:
             ids = encode([s.decode("utf-8", "replace") for s in stretches])
@@ -99,15 +100,33 @@ class Cuts:
     windows: np.ndarray
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and the bounds of the ranges among them."""
+    upto = np.append(0, np.cumsum(ends - starts))
+    return np.arange(upto[-1]) + np.repeat(starts - upto[:-1], ends - starts), upto
+
+
+def id_tuples(a: np.ndarray, b: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, list[bytes]]:
+    """For each window the number of its two id tuples in a list of the distinct ones: a's ids, -1, b's ids, as 32-bit numbers."""
+    starts_a, starts_b = cuts.groups_a[cuts.windows], cuts.groups_b[cuts.windows]
+    n_a, n_b = np.diff(starts_a), np.diff(starts_b)
+    upto = np.append(0, np.cumsum(n_a + n_b + 1))
+    packed = np.full(upto[-1], -1, np.int32)
+    packed[np.arange(len(a)) + np.repeat(upto[:-1] - starts_a[:-1], n_a)] = a
+    packed[np.arange(len(b)) + np.repeat(upto[:-1] + n_a + 1 - starts_b[:-1], n_b)] = b
+    data = packed.view(np.uint8)
+    return distinct_stretches(data, 4 * upto[:-1], 4 * upto[1:])
+
+
 class Windows:
-    """Alignments of windows by their two id tuples (as packed bytes)."""
+    """Alignments of windows by their two id tuples."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[tuple[bytes, bytes], int] = {}
+        self.memo: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.links, self.size = Rows(np.int64), 0
 
@@ -115,36 +134,37 @@ class Windows:
         """For each window the row of its alignment; valid until the next call."""
         if self.size > MEMO_BYTES:
             self._clear()
-        raw_a, raw_b, memo, w = a.tobytes(), b.tobytes(), self.memo, a.itemsize
-        at_a, at_b = (cuts.groups_a[cuts.windows] * w).tolist(), (cuts.groups_b[cuts.windows] * w).tolist()
-        out, fresh = [], []
-        for key in zip([raw_a[i:j] for i, j in zip(at_a, at_a[1:])], [raw_b[i:j] for i, j in zip(at_b, at_b[1:])]):
+        codes, kinds = id_tuples(a, b, cuts)
+        example = np.empty(len(kinds), np.int64)
+        example[codes[::-1]] = np.arange(len(codes))[::-1]
+        memo, out, fresh = self.memo, [], []
+        for k, key in enumerate(kinds):
             row = memo.get(key)
             if row is None:
                 row = len(self.texts) + len(fresh)
-                fresh.append(len(out))
-                if len(key[0]) + len(key[1]) <= MEMO_IDS * w:
+                fresh.append(int(example[k]))
+                if len(key) <= 4 * MEMO_IDS:
                     memo[key] = row
             out.append(row)
         self._align(fresh, a, b, cuts)
-        return np.array(out, np.int64)
+        return np.array(out, np.int64)[codes]
 
     def _align(self, fresh: list[int], a: np.ndarray, b: np.ndarray, cuts: Cuts) -> None:
         """Adds the groups (as text) and the links (one number for a pair of ids) of the windows with these numbers."""
-        name_a, name_b, width = self.a.names, self.b.names, len(self.b.names)
-        ids_a, ids_b, end_a, end_b, bounds = a.tolist(), b.tolist(), cuts.groups_a.tolist(), cuts.groups_b.tolist(), cuts.windows.tolist()
-        links = []
-        for k in fresh:
-            groups, linked = [], []
-            for g in range(bounds[k], bounds[k + 1]):
-                i, j, p, q = end_a[g], end_a[g + 1], end_b[g], end_b[g + 1]
-                groups.append(f"{','.join([name_a[x] for x in ids_a[i:j]])}|{','.join([name_b[x] for x in ids_b[p:q]])}")
-                linked.append(ids_a[j - 1] * width + ids_b[q - 1])
-            text = ";".join(groups)
-            self.texts.append(text)
-            links.append(linked)
-            self.size += len(text) + 16 * len(linked) + 300
-        self.links.add(links)
+        if not fresh:
+            return
+        k = np.array(fresh)
+        groups, per_window = ranges(cuts.windows[k], cuts.windows[k + 1])
+        sides, last = [], []
+        for ids, ends, names in ((a, cuts.groups_a, self.a.names), (b, cuts.groups_b, self.b.names)):
+            at, per_group = ranges(ends[groups], ends[groups + 1])
+            sides.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(per_group, pa.int32()), names.take(pa.array(ids[at]))), ","))
+            last.append(ids[ends[groups + 1] - 1].astype(np.int64))
+        pairs = pc.binary_join_element_wise(*sides, "|")
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(per_window, pa.int32()), pairs), ";").to_pylist()
+        self.texts += texts
+        self.links.add_flat(last[0] * len(self.b.names) + last[1], np.diff(per_window))
+        self.size += sum(map(len, texts)) + 16 * len(groups) + 240 * len(texts)
 
 
 @lru_cache(maxsize=1)
@@ -190,9 +210,9 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str, te
             n = len(at) - 1
             data = np.insert(data, at[:-1], 32)
             starts, ends, bounds = spaced_stretches(data, at + np.arange(n + 1))
-            sides = []
+            sides, (codes, kinds) = [], distinct_stretches(data, starts, ends) if len(starts) else (starts, [])
             for side in (left, right):
-                ids, upto = side.encoder.flat(side.encoder.rows(data, starts, ends))
+                ids, upto = side.encoder.flat(side.encoder.rows_of(codes, kinds))
                 sides.append((ids, np.append(0, upto)[bounds]))
             bad = at[1:] == at[:-1]
             for ids, upto in sides:

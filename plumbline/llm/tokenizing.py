@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,16 +89,19 @@ class Rows:
     def add(self, lists: Sequence[Sequence[int]]) -> np.ndarray:
         """The numbers of the new rows."""
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        upto = self.used + np.cumsum(lengths)
-        total = int(upto[-1]) if len(upto) else self.used
-        if self.n + len(lists) + 1 > len(self._bounds):
-            self._bounds = np.resize(self._bounds, 2 * (self.n + len(lists) + 1))
+        return self.add_flat(np.fromiter(chain.from_iterable(lists), self._values.dtype, int(lengths.sum())), lengths)
+
+    def add_flat(self, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The same for rows that stand one after the other."""
+        n, total = len(lengths), self.used + len(values)
+        if self.n + n + 1 > len(self._bounds):
+            self._bounds = np.resize(self._bounds, 2 * (self.n + n + 1))
         if total > len(self._values):
             self._values = np.resize(self._values, 2 * total)
-        self._bounds[self.n + 1 : self.n + 1 + len(lists)] = upto
-        self._values[self.used : total] = np.fromiter((v for row in lists for v in row), self._values.dtype, total - self.used)
-        rows = np.arange(self.n, self.n + len(lists))
-        self.n, self.used = self.n + len(lists), total
+        self._bounds[self.n + 1 : self.n + 1 + n] = self.used + np.cumsum(lengths)
+        self._values[self.used : total] = values
+        rows = np.arange(self.n, self.n + n)
+        self.n, self.used = self.n + n, total
         return rows
 
     def lengths(self, rows: np.ndarray) -> np.ndarray:
@@ -125,11 +129,12 @@ class Encoder:
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each stretch the row of its ids in `table`; valid until the next call."""
-        if not len(starts):
-            return np.zeros(0, np.int64)
+        return self.rows_of(*distinct_stretches(data, starts, ends)) if len(starts) else np.zeros(0, np.int64)
+
+    def rows_of(self, codes: np.ndarray, kinds: list[bytes]) -> np.ndarray:
+        """The same for stretches that are given as numbers in a list of distinct ones."""
         if self.size > KEPT_BYTES:
             self._clear()
-        codes, kinds = distinct_stretches(data, starts, ends)
         known = self.known
         found = np.fromiter((known.get(k, -1) for k in kinds), np.int64, len(kinds))
         for new in np.array_split(at := np.flatnonzero(found < 0), len(at) // 50_000 + 1):

@@ -23,7 +23,7 @@ rows come out as often as they came in; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -81,18 +81,18 @@ def _unpacked(raw: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True), np.uint8)
 
 
-def seen_twice(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The filter of keys in two documents or more, from rows with a column `text`; a superset of the truth."""
+def seen_twice(rows: DataFrame, bits: int, keys: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The filter of keys in two documents or more, from rows with a column `text`; a superset of the truth.
+
+    `keys` gives (row, hash) of the keys in a batch.
+    """
     size = min(SLICE, bits // 8)
     schema = "slice int, once binary, twice binary"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for part in slices(batches, "text"):
-            data, at = text_bytes(part.column("text"))
-            data = LOWER[data]
-            of, starts, ends = line_keys(data, at, min_chars)
-            hashes = run_hashes(data, starts, ends)
+            of, hashes = keys(part)
             order = np.lexsort((of, hashes))
             hashes, of = hashes[order], of[order]
             new = np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))[: len(hashes)]  # once a document
@@ -158,13 +158,18 @@ def lines_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     lines = rows.agg(F.sum(_n_lines(F.col("text")))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, 1 << int(lines * BITS_A_LINE).bit_length()))
-    shared = rows.sparkSession.sparkContext.broadcast(seen_twice(rows, bits, min_chars))
 
-    def suspects(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def hashed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data, at = text_bytes(part.column("text"))
         data = LOWER[data]
         of, starts, ends = line_keys(data, at, min_chars)
-        hit = all_set(shared.value, probes(run_hashes(data, starts, ends), bits))
+        return data, of, starts, ends, run_hashes(data, starts, ends, one_by_one=False)
+
+    shared = rows.sparkSession.sparkContext.broadcast(seen_twice(rows, bits, lambda part: hashed(part)[1::3]))
+
+    def suspects(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data, of, starts, ends, hashes = hashed(part)
+        hit = all_set(shared.value, probes(hashes, bits))
         return data, of[hit], starts[hit], ends[hit]
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,8 +54,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run data[start:end]; equal bytes have equal hashes wherever they stand."""
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, one_by_one: bool = True) -> np.ndarray:
+    """A 64-bit hash of each run data[start:end]; equal bytes have equal hashes wherever they stand.
+
+    Without `one_by_one` long runs are hashed as short ones are, which is enough where equal hashes are only suspected.
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -67,7 +70,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-        for k in np.flatnonzero(e - s > SHORT_RUN).tolist():
+        for k in np.flatnonzero(e - s > SHORT_RUN).tolist() if one_by_one else ():
             out[i + k] = xxh3_64_intdigest(part[s[k] : e[k]].tobytes())
         i = j
     return out

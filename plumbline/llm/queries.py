@@ -51,7 +51,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(_documents(spark, sf_dir)).drop("copy", "digest")
+    return repeated_spans(_documents(spark, sf_dir)).drop("copy")
 
 
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,16 +111,37 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k
             FROM documents WHERE text IS NOT NULL),
         placed AS (
-            SELECT doc_id, line, length(line) AS length,
-                coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+            SELECT doc_id, line, k,
+                coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
             FROM lines),
+        pieces AS (
+            SELECT doc_id, k, begins, unnest(regexp_split_to_array(line, '[ \t\x0B\f\r]')) AS piece, generate_subscripts(regexp_split_to_array(line, '[ \t\x0B\f\r]'), 1) AS j
+            FROM placed),
+        words AS (
+            SELECT doc_id, k, j, translate(piece, '{_UPPER}', '{_LOWER}') AS word, length(piece) AS n,
+                begins + coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+            FROM pieces QUALIFY piece <> ''),
+        marked AS (
+            SELECT *, list_sum(list_transform(string_split(word, ''), lambda c: unicode(c))) % 2 = 0
+                OR lead(k) OVER (PARTITION BY doc_id ORDER BY k, j) IS DISTINCT FROM k AS stops
+            FROM words),
+        numbered AS (
+            SELECT *, coalesce(sum(stops::INT) OVER (PARTITION BY doc_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM marked),
         units AS (
-            SELECT *, len(string_split(norm, ' ')) AS n_words
-            FROM (SELECT *, trim(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '{_SPACE}', ' ', 'g')) AS norm FROM placed)),
+            SELECT doc_id, unit, min(start) AS start, max(start + n) AS stop, string_agg(word, ' ' ORDER BY k, j) AS text FROM numbered GROUP BY doc_id, unit),
+        passages AS (
+            SELECT doc_id, start, max(stop) OVER w AS stop, string_agg(text, ' ') OVER w AS text FROM units
+            WINDOW w AS (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) QUALIFY count(*) OVER w = 16),
         ranked AS (
-            SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS k
-            FROM units WHERE n_words >= 16 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
-        SELECT doc_id, start, length, n_words, kept_doc_id, kept_start FROM ranked WHERE k > 1""",
+            SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM passages
+            WINDOW w AS (PARTITION BY text ORDER BY doc_id, start)),
+        lost AS (
+            SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+            FROM ranked WHERE kept_doc_id < doc_id),
+        runs AS (SELECT *, sum(CASE WHEN start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM lost)
+        SELECT doc_id, min(start) AS start, max(stop) - min(start) AS length, count(*) AS n_passages,
+            arg_min(kept_doc_id, start) AS kept_doc_id, arg_min(kept_start, start) AS kept_start
+        FROM runs GROUP BY doc_id, run""",
     "op11_bloom_lines": rf"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS k

@@ -89,21 +89,37 @@ def components(fps, radius=3):
     return [(doc, f"{f:016x}", min(least[find(f)], default=None)) for doc, f in fps]
 
 
-def repeated_lines(rows, min_words=16):
-    """(doc, start, length, words, kept doc, kept start); rows are distinct documents."""
-    units = []
-    for doc, text in rows:
-        start = 0
-        for line in (text or "").split("\n"):
-            words = graphic_words(line)
-            if len(words) >= min_words:
-                units.append((doc, start, len(line), len(words), " ".join(words), xxhash.xxh64_intdigest((text or "").encode(), 42)))
-            start += len(line) + 1
-    first = {}
-    signed = lambda h: h - 2**64 if h >> 63 else h
-    for u in sorted(units, key=lambda u: (u[0] is None, u[0] or 0, signed(u[5]), u[1])):
-        first.setdefault(u[4], u)
-    return [(u[0], u[1], u[2], u[3], first[u[4]][0], first[u[4]][1]) for u in units if (u[0], u[1], u[5]) != (first[u[4]][0], first[u[4]][1], first[u[4]][5])]
+def repeated_runs(rows, n_units=16):
+    """(doc, text) -> [(start, length, passages, kept doc, kept start)] of runs of passages that a smaller id holds."""
+    place = lambda d: (d is None, d or 0)
+    found, first = {}, {}
+    for doc, text in set(rows):
+        units, unit, lines, at = [], [], (text or "").split("\n"), 0
+        for line in lines:
+            words = [(m.start() + at, m.end() + at, m.group().translate(A_Z)) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+            for k, word in enumerate(words):
+                unit.append(word)
+                if sum(map(ord, word[2])) % 2 == 0 or k + 1 == len(words):
+                    units.append(unit)
+                    unit = []
+            at += len(line) + 1
+        found[doc, text] = []
+        for k in range(len(units) - n_units + 1):
+            words = [w for u in units[k : k + n_units] for w in u]
+            key = " ".join(w[2] for w in words)
+            found[doc, text].append((words[0][0], words[-1][1], key))
+            first[key] = min(first.get(key, (place(doc), words[0][0], doc)), (place(doc), words[0][0], doc))
+    out = {}
+    for (doc, text), passages in found.items():
+        runs = []
+        for start, stop, key in passages:
+            if first[key][0] < place(doc):
+                if runs and start <= runs[-1][1]:
+                    runs[-1][1:3] = [max(runs[-1][1], stop), runs[-1][2] + 1]
+                else:
+                    runs.append([start, stop, 1, first[key][2], first[key][1]])
+        out[doc, text] = [(a, b - a, n, kept, kept_at) for a, b, n, kept, kept_at in runs]
+    return out
 
 
 def crc_part(doc, parts):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,19 +149,68 @@ def test_fm_index(seed):
             assert sorted(index.locate(np.arange(a, b)).tolist()) == there
 
 
-def test_line_dedup(docs):
-    got = Counter(tuple(r) for r in line_dedup.repeated_spans(docs).select("doc_id", "start", "length", "n_words", "kept_doc_id", "kept_start").collect())
-    assert got == Counter(brute.repeated_lines(pairs(docs)))
+def check_passages(docs):
+    rows = pairs(docs)
+    got = Counter(tuple(r) for r in line_dedup.repeated_spans(docs).select("doc_id", "start", "length", "n_passages", "kept_doc_id", "kept_start").collect())
+    runs = brute.repeated_runs(rows)
+    assert got == Counter((d, *run) for (d, _), found in runs.items() for run in found)
+    kept = line_dedup.repeats_removed(docs)
+    assert kept.columns == docs.columns
+    assert Counter(pairs(kept)) == Counter((d, line_dedup.without_spans(t, [r[:2] for r in runs[d, t]])) for d, t in rows)
+    return runs
+
+
+def test_passages(docs):
+    check_passages(docs)
+
+
+def passage_rows(rng, n):
+    """Texts of their own words, wrapped anywhere, in which passages stand: one in a third of them, some in two, one twice."""
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 7))) + rng.choice(["", "", ".", ","])
+    prose = lambda k: [word() for _ in range(k)]
+    hot, shared = prose(70), [prose(rng.choice([20, 60, 90])) for _ in range(12)]
+    rows = []
+    for k in range(n):
+        words = prose(rng.randint(0, 60))
+        for passage in [hot] * (k % 3 == 0) + [rng.choice(shared)] * rng.choice([0, 0, 1, 2]):
+            at = rng.randint(0, len(words))
+            words[at:at] = [w.upper() if k % 5 == 0 else w for w in passage]
+        rows.append((rng.choice([k, k, k, None, 7]), "".join(w + rng.choice([" "] * 9 + ["\n", "  ", "\t"]) for w in words)))
+    return rows
+
+
+@pytest.mark.parametrize("way", ["as it is", "full filters", "hot and joined"])
+def test_planted_passages(spark, monkeypatch, way):
+    rng = random.Random(7)
+    rows = passage_rows(rng, 150)
+    rows += [rows[3]] * 40
+    if way == "full filters":
+        monkeypatch.setattr(line_dedup, "MIN_BITS", 64)
+        monkeypatch.setattr(line_dedup, "MAX_BITS", 128)
+    if way == "hot and joined":
+        monkeypatch.setattr(line_dedup, "HOT_KEYS", 10)
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    runs = check_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sum(map(len, runs.values())) > 40
+
+
+def test_passages_are_cut_out():
+    assert line_dedup.without_spans("a\nb\nc", [(4, 1)]) == "a\nb\n" and line_dedup.without_spans("a\nb\nc", [(0, 1), (2, 1)]) == "c"
+    assert line_dedup.without_spans("one two three", [(4, 3)]) == "one three" and line_dedup.without_spans(None, [(0, 1)]) is None
 
 
-def test_lines_are_cut_out(awkward):
-    kept = line_dedup.repeats_removed(awkward)
-    assert kept.columns == awkward.columns and kept.count() == awkward.count()
-    texts = [r.text for r in kept.collect()]
-    assert sum("repeats in several" in (t or "") for t in texts) == 1
-    assert any(t == "Before.\nAfter." for t in texts)
-    assert sorted(t for t in texts if t is not None and "twenty" not in t and t not in ("", "Before.\nAfter."))[:3]
-    assert line_dedup.without_spans("a\nb\nc", [(4, 1)]) == "a\nb\n" and line_dedup.without_spans("a\nb\nc", [(0, 1), (2, 1)]) == "c"
+def test_a_repeated_row_lists_its_passages_once(spark):
+    text = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, text)] + [(2, text + " more")] * 300
+    spans = line_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert [(r.doc_id, r.start, r.kept_doc_id) for r in spans] == [(2, 0, 1)]
+
+
+def test_passages_with_names_of_its_own(spark):
+    text = " ".join(f"word{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, text, 5, "x", 1), (2, text, 6, "y", 2)], "doc_id long, text string, __id long, `a.b` string, copy long")
+    kept = line_dedup.repeats_removed(docs)
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, text, 5, "x", 1), (2, "", 6, "y", 2)]
 
 
 def test_simhash(docs):

@@ -29,11 +29,41 @@ _INTEGER = r"\A[ \t]*[+-]?[0-9]+[ \t]*\z"
 _TRUE, _FALSE = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 
 
+WINDOWS = "windows-1252"
+# What windows-1252 has in the place of Latin-1's control characters from 0x80 to 0x9F.
+_C1 = tuple(map("".join, zip(*[(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)])))
+# Lines with such bytes, and with those that it leaves open, in hexadecimal digits.
+_WINDOWS, _OPEN = r"\A(?:..)*(?:8|9)", r"\A(?:..)*(?:81|8D|8F|90|9D)"
+
+
 @dataclass(frozen=True)
 class CsvFormat:
+    """How the files of an input are written; `groups` holds (encoding, multiline, files) where they differ."""
+
     separator: str
     encoding: str
     multiline: bool
+    groups: tuple[tuple[str, bool, tuple[str, ...]], ...] = ()
+
+
+def file_formats(spark: SparkSession, path: str) -> DataFrame:
+    """One row per text file: (file_path, file_name, file_size_bytes, lines, encoding, multiline), from one distributed scan.
+
+    A file that is not UTF-8 throughout is windows-1252 if it has bytes from 0x80 to 0x9F and all of them are defined
+    there, else Latin-1, in which every byte means something. `multiline` says that some line has an odd number of
+    quotes, so that values may hold line breaks. Files without lines have no row.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_name", "_metadata.file_size")
+    valid = F.is_valid_utf8("value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # Only lines that are no UTF-8 are spelt out in hexadecimal digits.
+    raw = F.when(~valid, F.hex(F.col("value").cast("binary")))
+    seen = lines.groupBy("file_path", "file_name", "file_size").agg(
+        F.count(F.lit(1)).alias("lines"), F.bool_and(valid).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("multiline"),
+        F.bool_or(F.coalesce(raw.rlike(_WINDOWS), F.lit(False))).alias("windows"), F.bool_or(F.coalesce(raw.rlike(_OPEN), F.lit(False))).alias("open"),
+    )
+    encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("windows") & ~F.col("open"), WINDOWS).otherwise("ISO-8859-1")
+    return seen.select("file_path", "file_name", F.col("file_size").alias("file_size_bytes"), "lines", encoding.alias("encoding"), "multiline")
 
 
 def detect_csv(
@@ -43,39 +73,41 @@ def detect_csv(
     encoding: str | None = None,
     multiline: bool | None = None,
 ) -> CsvFormat:
-    """Find the separator from the header line, and the rest from all lines in one distributed scan.
+    """Find the separator from the header line, and the rest file by file (`file_formats`).
 
-    Text that is not UTF-8 is Latin-1, in which every byte means something. Values hold line breaks only if
-    some line has an odd number of quotes; without such lines large files can be split over many tasks. Give
-    `encoding` and `multiline` to save the scan.
+    Files that may hold line breaks in values are read whole, one task each; all others can be split over many tasks.
+    Give `encoding` and `multiline` to save the scan.
     """
-    lines = spark.read.text(path)
-    first = lines.filter(F.length("value") > 0).select("value").first()
+    first = spark.read.text(path).filter(F.length("value") > 0).select("value").first()
     if first is None:
         raise ValueError("The CSV file is empty.")
+    groups: dict[tuple[str, bool], list[str]] = {}
     if encoding is None or multiline is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        seen = lines.agg(
-            F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("multiline")
-        ).first()
-        encoding = encoding or ("UTF-8" if seen["utf8"] else "ISO-8859-1")
-        multiline = seen["multiline"] if multiline is None else multiline
+        # One row a file, as many as Spark lists for the scan itself.
+        for row in file_formats(spark, path).select("file_path", "encoding", "multiline").collect():
+            kind = encoding or row["encoding"], row["multiline"] if multiline is None else multiline
+            groups.setdefault(kind, []).append(row["file_path"])
     if separator is None:
+        header = first["value"].lstrip("\ufeff")
         for candidate in SEPARATORS:
-            if len(next(csv.reader(io.StringIO(first["value"]), delimiter=candidate))) > 1:
+            if len(next(csv.reader(io.StringIO(header), delimiter=candidate))) > 1:
                 separator = candidate
                 break
         else:
             raise ValueError("No separator gives more than one column; pass `separator` for one-column files.")
-    return CsvFormat(separator, encoding, multiline)
+    if not groups:
+        return CsvFormat(separator, encoding, multiline)
+    kinds = sorted(groups, key=lambda k: len(groups[k]), reverse=True)
+    split = tuple((*k, tuple(sorted(groups[k]))) for k in kinds) if len(kinds) > 1 else ()
+    return CsvFormat(separator, kinds[0][0], any(m for _, m in kinds), split)
 
 
-def null_tokens_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+def null_tokens_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS, except_for: Sequence[str] = ()) -> DataFrame:
     """The usual spellings of "no value" in text columns become null."""
     return df.select(
         *[
             F.when(~F.col(f"`{f.name}`").isin(list(tokens)), F.col(f"`{f.name}`")).alias(f.name)
-            if cells.is_string(f.dataType)
+            if cells.is_string(f.dataType) and f.name not in except_for
             else F.col(f"`{f.name}`")
             for f in df.schema
         ]
@@ -112,8 +144,8 @@ def infer_types(df: DataFrame) -> T.StructType:
     return T.StructType(fields)
 
 
-def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The text columns in the types of `schema`."""
+def cast_to(df: DataFrame, schema: T.StructType, *others: Column) -> DataFrame:
+    """The text columns in the types of `schema`, and other columns behind them."""
 
     def convert(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
@@ -125,7 +157,7 @@ def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
             return cells.number(c, T.StringType()).alias(f.name)
         return F.trim(c).try_cast(f.dataType).alias(f.name)
 
-    return df.select(*[convert(f) for f in schema])
+    return df.select(*[convert(f) for f in schema], *others)
 
 
 def read_csv(
@@ -136,20 +168,40 @@ def read_csv(
     schema: T.StructType | None = None,
     null_tokens: Sequence[str] = NULL_TOKENS,
     multiline: bool | None = None,
+    malformed_column: str | None = None,
 ) -> DataFrame:
-    """Read CSV with a header; what is not given is detected. Give a schema to save the type scan too."""
+    """Read CSV with a header; what is not given is detected. Give a schema to save the type scan too.
+
+    Every file is read in its own encoding; all must have the same columns. With `malformed_column`, a column of that
+    name holds the whole line of a row that has more or fewer values than the header, and null for all others, so that
+    a rule on it reports such rows as violations.
+    """
     found = detect_csv(spark, path, separator, encoding, multiline)
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", found.separator)
-        .option("encoding", found.encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", found.multiline)
-        .csv(path)
-    )
-    known = null_tokens_to_null(raw, null_tokens)
-    return cast_to(known, schema or infer_types(known))
+    parts = [_csv_rows(spark, found.separator, *group, malformed_column) for group in found.groups or [(found.encoding, found.multiline, (path,))]]
+    for part in parts[1:]:
+        if sorted(part.columns) != sorted(parts[0].columns):
+            raise ValueError(f"Files have different columns: {parts[0].columns} and {part.columns}")
+    raw = reduce(DataFrame.unionByName, parts)
+    others = [] if malformed_column is None else [malformed_column]
+    known = null_tokens_to_null(raw, null_tokens, others)
+    types = schema or infer_types(known.drop(*others))
+    return cast_to(known, types, *[F.col(f"`{c}`") for c in others])
+
+
+def _csv_rows(spark: SparkSession, separator: str, encoding: str, multiline: bool, files: Sequence[str], malformed_column: str | None) -> DataFrame:
+    """All values as text. Spark reads no windows-1252, so such files are read as Latin-1 and their control characters replaced."""
+    charset = "ISO-8859-1" if encoding == WINDOWS else encoding
+    reader = spark.read.option("header", True).option("sep", separator).option("encoding", charset).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+    rows = reader.csv(list(files))
+    if malformed_column is not None:
+        fields = [*rows.schema.fields, T.StructField(malformed_column, T.StringType())]
+        # Whether a line fits is only seen when all its values are parsed, so no column may be left out.
+        reader = reader.schema(T.StructType(fields)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", malformed_column).option("columnPruning", False)
+        rows = reader.csv(list(files))
+        # Spark does not read this column alone, so it is joined with nothing of another one.
+        nothing = F.coalesce(F.substring(F.col(f"`{rows.columns[0]}`"), 1, 0), F.lit(""))
+        rows = rows.withColumn(malformed_column, F.concat(F.col(f"`{malformed_column}`"), nothing))
+    return rows if encoding != WINDOWS else rows.select(*[F.translate(F.col(f"`{c}`"), *_C1).alias(c.translate(str.maketrans(*_C1))) for c in rows.columns])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

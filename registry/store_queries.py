@@ -385,6 +385,51 @@ def csv_semicolon(spark, sf_dir):
     return files.read_csv(spark, path)
 
 
+_SUFFIXES = {"UTF-8": "é€日", "ISO-8859-1": "éÿ£", "windows-1252": "é€“”"}
+_MIXED = "CASE p_partkey % 3 WHEN 0 THEN 'é€日' WHEN 1 THEN 'éÿ£' ELSE 'é€“”' END"
+
+
+def _mixed_folder(spark, sf_dir) -> str:
+    """The parts in one folder, a third of them in each of three encodings."""
+    path, part = scratch_path(spark, "csv"), table(spark, sf_dir, "part")
+    for k, (encoding, suffix) in enumerate(_SUFFIXES.items()):
+        rows = part.filter(F.col("p_partkey") % 3 == k).select("p_partkey", F.concat("p_name", F.lit(suffix)).alias("name"), "p_size")
+        if encoding == files.WINDOWS:  # its bytes from 0x80 to 0x9F, written as those of Latin-1
+            rows, encoding = rows.withColumn("name", F.translate("name", "€“”", "\x80\x93\x94")), "ISO-8859-1"
+        rows.write.mode("append").option("header", True).option("encoding", encoding).csv(path)
+    return path
+
+
+@register("csv_mixed_encodings", f"SELECT p_partkey, concat(p_name, {_MIXED}) AS name, CAST(p_size AS BIGINT) AS p_size FROM part")
+def csv_mixed_encodings(spark, sf_dir):
+    """Every file of a folder is read in its own encoding."""
+    return files.read_csv(spark, _mixed_folder(spark, sf_dir))
+
+
+@register("csv_file_formats", f"""
+SELECT CASE p_partkey % 3 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'ISO-8859-1' ELSE 'windows-1252' END AS encoding, count(*) AS rows, false AS multiline
+FROM part GROUP BY 1""")
+def csv_file_formats(spark, sf_dir):
+    """The rows by encoding: all lines but a header in each file."""
+    found = files.file_formats(spark, _mixed_folder(spark, sf_dir)).groupBy("encoding")
+    return found.agg(F.sum(F.col("lines") - 1).alias("rows"), F.bool_or("multiline").alias("multiline"))
+
+
+@register("csv_malformed_rows", """
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, concat(p_partkey, ',', p_brand, CASE WHEN p_partkey % 10 = 3 THEN '' ELSE concat(',', p_size, ',more') END) AS value
+FROM part WHERE p_partkey % 10 IN (3, 7)""")
+def csv_malformed_rows(spark, sf_dir):
+    """Lines with too few or too many values, as violations of a rule."""
+    path, part = scratch_path(spark, "csv"), table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    line = F.concat_ws(",", "p_partkey", "p_brand", F.when(key % 10 != 3, F.col("p_size")), F.when(key % 10 == 7, F.lit("more")))
+    header = spark.createDataFrame([("p_partkey,p_brand,p_size",)], "line STRING")
+    header.unionAll(part.select(line.alias("line"))).coalesce(1).write.text(path)
+    rows = files.read_csv(spark, path, malformed_column="line").withColumn("line", F.coalesce("line", F.lit("")))
+    found = validate(rows, [Rule("M", "line", "max_length", "high", params={"max_length": 0})], key=["p_partkey"]).violations
+    return found.select(F.col("row_key.p_partkey").cast("string").alias("p_partkey"), "value")
+
+
 @register("csv_infer", with_dirty("""
 SELECT * FROM (VALUES ('row_key', 'bigint'), ('customer_id', 'bigint'), ('name', 'string'), ('email', 'string'),
   ('age', 'bigint'), ('amount_text', 'string'), ('phone', 'string'), ('signup_date', 'string'), ('end_date', 'string'),

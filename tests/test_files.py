@@ -30,6 +30,41 @@ def test_encodings(spark, tmp_path):
     assert files.read_csv(spark, utf8).first()["name"] == "café"
 
 
+def test_every_file_in_its_own_encoding(spark, tmp_path):
+    """A Latin-1 file leaves the UTF-8 files of its folder as they are."""
+    write(tmp_path / "a.csv", "id,name\n1,Zo\xeb\n")
+    write(tmp_path / "b.csv", "id,name\n2,Zo\xeb\n", "latin-1")
+    write(tmp_path / "c.csv", "name,id\n\u20ac\u201cx\u201d,3\n", "cp1252")
+    write(tmp_path / "d.csv", "\ufeffid,name\n4,\u65e5\n")
+    write(tmp_path / "e.csv", 'id,name\n5,"two\nlines \xe9"\n', "latin-1")
+    (tmp_path / "f.csv").write_bytes(b"id,name\n6,\x81\xe9\n")
+    rows = {r.id: r.name for r in files.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {1: "Zoë", 2: "Zoë", 3: "€“x”", 4: "日", 5: "two\nlines é", 6: "\x81é"}
+    formats = {r.file_name: (r.encoding, r.multiline, r.lines) for r in files.file_formats(spark, str(tmp_path)).collect()}
+    assert formats == {
+        "a.csv": ("UTF-8", False, 2), "b.csv": ("ISO-8859-1", False, 2), "c.csv": ("windows-1252", False, 2), "d.csv": ("UTF-8", False, 2),
+        "e.csv": ("ISO-8859-1", True, 3), "f.csv": ("ISO-8859-1", False, 2),
+    }
+    assert files.detect_csv(spark, str(tmp_path), encoding="UTF-8", multiline=False).groups == ()
+
+
+def test_files_with_different_columns(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,name\n1,Zo\xeb\n")
+    write(tmp_path / "b.csv", "id,other\n2,Zo\xeb\n", "latin-1")
+    with pytest.raises(ValueError, match="different columns"):
+        files.read_csv(spark, str(tmp_path))
+
+
+def test_malformed_rows_are_violations(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'id,name,n\n1,x,5\n2,y\n3,z,6,7\n4,"a,b",8\nNA,N/A,9\n')
+    df = files.read_csv(spark, path, malformed_column="bad")
+    assert df.columns == ["id", "name", "n", "bad"]
+    assert {r.id: (r.name, r.n, r.bad) for r in df.collect()} == {1: ("x", 5, None), 2: ("y", None, "2,y"), 3: ("z", 6, "3,z,6,7"), 4: ("a,b", 8, None), None: (None, 9, None)}
+    run = validate(df, [Rule("M", "bad", "business_rule", params={"expression": "bad IS NULL"})], key=["id"])
+    assert sorted(r.row_key.id for r in run.violations.collect()) == [2, 3]
+    assert run.rule_results.first().failed_count == 2
+
+
 def test_types_and_null_tokens(spark, tmp_path):
     path = write(tmp_path / "t.csv", "i,f,b,t,e,m\n1,1.5,True,x,,1\nNA,2,false,N/A,,a\n3,null,TRUE,None,nan,2\n")
     df = files.read_csv(spark, path)

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_intdigest
 
 SLICE_BYTES = 2 << 20
 #: Longer runs are hashed one by one: modulo 2**64 the running sum has known equal pairs of some thousand bytes.
@@ -30,6 +30,7 @@ GRAPHIC = ~WHITE
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
+_SECOND_BYTE = np.random.default_rng(20240301).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = int(_RANDOM.integers(0, 2**63)) * 2 + 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -59,19 +60,32 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, one_by_on
 
     Without `one_by_one` long runs are hashed as short ones are, which is enough where equal hashes are only suspected.
     """
-    out = np.empty(len(starts), np.uint64)
+    return _hashes(data, starts, ends, [_BYTE], one_by_one)[0]
+
+
+def double_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run, which together stand for its bytes."""
+    first, second = _hashes(data, starts, ends, [_BYTE, _SECOND_BYTE], True)
+    return first, second
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: list[np.ndarray], one_by_one: bool) -> list[np.ndarray]:
+    out = [np.empty(len(starts), np.uint64) for _ in tables]
     i = 0
     while i < len(starts):
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, "right")))
         part = data[lo : int(ends[j - 1])]
         up, down = _tables(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        total = np.zeros(len(part) + 1, np.uint64)
+        for hashes, table in zip(out, tables):
+            np.cumsum(table[part] * up[: len(part)], out=total[1:])
+            hashes[i:j] = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         for k in np.flatnonzero(e - s > SHORT_RUN).tolist() if one_by_one else ():
-            out[i + k] = xxh3_64_intdigest(part[s[k] : e[k]].tobytes())
+            both = xxh3_128_intdigest(part[s[k] : e[k]].tobytes())
+            for hashes, h in zip(out, (both & 0xFFFFFFFFFFFFFFFF, both >> 64)):
+                hashes[i + k] = h
         i = j
     return out
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.byte_words import per_text, slices, text_bytes
-from plumbline.llm.tokenizing import Encoder, Rows, distinct_stretches, spaced_stretches, tokenizer
+from plumbline.llm.tokenizing import Encoder, Rows, Stretches, distinct_runs, spaced_stretches, tokenizer
 from plumbline.sources.storage import scratch_path
 
 #: Stands for a stretch that the tokens do not spell.
@@ -115,7 +115,7 @@ def id_tuples(a: np.ndarray, b: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, lis
     packed[np.arange(len(a)) + np.repeat(upto[:-1] - starts_a[:-1], n_a)] = a
     packed[np.arange(len(b)) + np.repeat(upto[:-1] + n_a + 1 - starts_b[:-1], n_b)] = b
     data = packed.view(np.uint8)
-    return distinct_stretches(data, 4 * upto[:-1], 4 * upto[1:])
+    return distinct_runs(data, 4 * upto[:-1], 4 * upto[1:])
 
 
 class Windows:
@@ -210,9 +210,9 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str, te
             n = len(at) - 1
             data = np.insert(data, at[:-1], 32)
             starts, ends, bounds = spaced_stretches(data, at + np.arange(n + 1))
-            sides, (codes, kinds) = [], distinct_stretches(data, starts, ends) if len(starts) else (starts, [])
+            sides, stretches = [], Stretches(data, starts, ends)
             for side in (left, right):
-                ids, upto = side.encoder.flat(side.encoder.rows_of(codes, kinds))
+                ids, upto = side.encoder.flat(side.encoder.rows_of(stretches))
                 sides.append((ids, np.append(0, upto)[bounds]))
             bad = at[1:] == at[:-1]
             for ids, upto in sides:

@@ -1,8 +1,8 @@
 """Token ids of whole texts from a tokenizer library, each distinct stretch of text encoded once.
 
 Texts are cut at places where no token of the tokenizer can cross. A worker keeps the ids of the stretches it has
-met by their bytes, so two stretches share ids only if they are equal, and the library works on distinct stretches
-only. What is kept is bounded in bytes: beyond KEPT_BYTES the worker starts anew, which changes no result.
+met by 128 bits of hashes, so the library works on distinct stretches only. What is kept is bounded in bytes: beyond
+KEPT_BYTES the worker starts anew, which changes no result.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from plumbline.llm.byte_words import GRAPHIC, word_runs
+from plumbline.llm.byte_words import GRAPHIC, double_hashes, word_runs
 
-KEPT_BYTES = 96 << 20
-#: What Python takes for one entry besides the bytes of the stretch and its ids.
-ENTRY_BYTES = 160
+KEPT_BYTES = 128 << 20
+#: What one stretch takes besides its ids.
+ENTRY_BYTES = 48
 
 
 @lru_cache(maxsize=4)
@@ -61,17 +62,11 @@ def spaced_stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def distinct_stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For each stretch the number of its bytes in a list of the distinct ones; stretches do not overlap."""
-    bounds = np.empty(2 * len(starts) + 1, np.int64)
-    bounds[0:-1:2], bounds[1::2], bounds[-1] = starts, ends, ends[-1]
-    both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-    if (starts[1:] > ends[:-1]).any():  # every second one is the gap behind a stretch
-        kinds = both.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
-    else:
-        bounds = np.append(starts, ends[-1])
-        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), both.buffers()[2]])
-        kinds = whole.dictionary_encode()
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each run the number of its bytes in a list of the distinct ones; runs stand one behind the other."""
+    bounds = np.append(starts, ends[-1])
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    kinds = runs.dictionary_encode()
     return kinds.indices.to_numpy(), kinds.dictionary.to_pylist()
 
 
@@ -83,8 +78,8 @@ class Rows:
         self._bounds, self._values = np.zeros(1024, np.int64), np.zeros(4096, kind)
 
     @property
-    def bounds(self) -> np.ndarray:
-        return self._bounds[: self.n + 1]
+    def values(self) -> np.ndarray:
+        return self._values[: self.used]
 
     def add(self, lists: Sequence[Sequence[int]]) -> np.ndarray:
         """The numbers of the new rows."""
@@ -116,34 +111,80 @@ class Rows:
         return self._values[np.arange(ends[-1]) + np.repeat(self._bounds[rows] - (ends - lengths), lengths)], ends
 
 
+class Stretches:
+    """The distinct ones among stretches of a byte array, told apart by 128 bits of hashes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        first, second = double_hashes(data, starts, ends)
+        self.codes, self.keys = pd.factorize(first)
+        example = self._examples(len(self.keys))
+        if not (second == second[example[self.codes]]).all():  # two kinds share their first hash
+            _, self.codes = np.unique(np.stack([first, second]), axis=1, return_inverse=True)
+            self.codes = self.codes.ravel()
+            example = self._examples(int(self.codes.max()) + 1)
+            self.keys = first[example]
+        self.seconds = second[example]
+        self._data, self._starts, self._ends = data, starts[example], ends[example]
+
+    def _examples(self, n: int) -> np.ndarray:
+        example = np.empty(n, np.int64)
+        example[self.codes[::-1]] = np.arange(len(self.codes))[::-1]
+        return example
+
+    def bytes_of(self, kinds: np.ndarray) -> list[bytes]:
+        data = self._data
+        return [data[a:b].tobytes() for a, b in zip(self._starts[kinds].tolist(), self._ends[kinds].tolist())]
+
+
 class Encoder:
-    """Ids of stretches by their bytes; `rows` finds or makes them with `encode`, which takes a list of texts."""
+    """Ids of stretches by their hashes; `rows` finds or makes them with `encode`, which takes their bytes."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]]):
         self.encode = encode
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.table, self.size = Rows(), 0
+        self.keys = np.zeros(0, np.uint64)
+        self.key_rows = np.zeros(0, np.int64)
+        self.late: list[tuple[np.ndarray, np.ndarray]] = []
+        self.table, self.seconds, self.size = Rows(), Rows(np.uint64), 0
+
+    def _find(self, keys: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+        found = np.full(len(keys), -1, np.int64)
+        for known, rows in ((self.keys, self.key_rows), *self.late):
+            if len(known):
+                k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[k] == keys
+                found[hit] = rows[k[hit]]
+        at = np.flatnonzero(found >= 0)
+        found[at[self.seconds.values[found[at]] != seconds[at]]] = -1
+        return found
+
+    def _add(self, keys: np.ndarray, seconds: np.ndarray, encoded: list[Sequence[int]]) -> np.ndarray:
+        rows = self.table.add(encoded)
+        self.seconds.add_flat(seconds, np.ones(len(seconds), np.int64))
+        order = np.argsort(keys)
+        self.late.append((keys[order], rows[order]))
+        if sum(len(k) for k, _ in self.late) * 4 > len(self.keys) or len(self.late) > 6:
+            keys, at = (np.concatenate(x) for x in zip((self.keys, self.key_rows), *self.late))
+            order = np.argsort(keys)
+            self.keys, self.key_rows, self.late = keys[order], at[order], []
+        self.size = ENTRY_BYTES * self.table.n + 8 * self.table.used
+        return rows
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each stretch the row of its ids in `table`; valid until the next call."""
-        return self.rows_of(*distinct_stretches(data, starts, ends)) if len(starts) else np.zeros(0, np.int64)
+        return self.rows_of(Stretches(data, starts, ends)) if len(starts) else np.zeros(0, np.int64)
 
-    def rows_of(self, codes: np.ndarray, kinds: list[bytes]) -> np.ndarray:
-        """The same for stretches that are given as numbers in a list of distinct ones."""
+    def rows_of(self, stretches: Stretches) -> np.ndarray:
+        """The same for stretches of which the distinct ones are known."""
         if self.size > KEPT_BYTES:
             self._clear()
-        known = self.known
-        found = np.fromiter((known.get(k, -1) for k in kinds), np.int64, len(kinds))
+        found = self._find(stretches.keys, stretches.seconds)
         for new in np.array_split(at := np.flatnonzero(found < 0), len(at) // 50_000 + 1):
             if len(new):
-                fresh, used = [kinds[k] for k in new.tolist()], self.table.used
-                found[new] = rows = self.table.add(self.encode(fresh))
-                known.update(zip(fresh, rows.tolist()))
-                self.size += sum(map(len, fresh)) + ENTRY_BYTES * len(fresh) + 8 * (self.table.used - used)
-        return found[codes]
+                found[new] = self._add(stretches.keys[new], stretches.seconds[new], self.encode(stretches.bytes_of(new)))
+        return found[stretches.codes]
 
     def lengths(self, rows: np.ndarray) -> np.ndarray:
         return self.table.lengths(rows)

@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.cells import clean, count_where, is_date, is_numeric, is_string, missing, text
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.repeats import key_columns, repeat_counts
+from plumbline.sources.storage import cut_lineage
 
 TOP_VALUES = 5
+# Columns whose distinct values are counted in one scan, and rows among which first values are looked for.
+COLUMNS_PER_PASS = 40
+FIRST_ROWS = 100
 
 
 def _col(name: str) -> Column:
@@ -85,18 +89,16 @@ def top_values(df: DataFrame, name: str, k: int = TOP_VALUES) -> DataFrame:
 
 
 def _digest(value: Column, dtype: T.DataType) -> list[Column]:
-    """What stands for a value in a group: the value if it is short, otherwise 128 bits of hashes."""
-    if isinstance(dtype, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
-        return [F.xxhash64(value).alias("value"), F.xxhash64(F.lit(1), value).alias("again")]
-    return [value.alias("value")]
+    """128 bits of hashes in place of a value; null for null. Nested values are hashed as JSON, which shows their nulls."""
+    hashed = F.to_json(F.struct(value)) if isinstance(dtype, (T.ArrayType, T.StructType)) else value
+    return [F.when(value.isNotNull(), F.xxhash64(hashed)).alias("a"), F.xxhash64(F.lit(1), hashed).alias("b")]
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = False) -> DataFrame:
     """(column, distinct_values), missing values not counted.
 
-    Exact counts group each column on its own: the same bytes are read as in one pass over a columnar file,
-    and no row is copied once per column as a multi-column `count(DISTINCT ...)` would do. Texts are grouped by
-    128-bit hashes, so whole texts are not shuffled.
+    Exact counts take one scan for every COLUMNS_PER_PASS columns: values become (column, 128 bits of hashes), of which
+    each task passes on the distinct ones. No value is shuffled itself.
     """
     if approximate:
         row = df.agg(*[
@@ -109,15 +111,19 @@ def distinct_counts(df: DataFrame, names: Sequence[str], approximate: bool = Fal
         ]
         return row.select(F.inline(F.array(*entries)))
 
-    def one(name: str) -> DataFrame:
-        dtype = df.schema[name].dataType
-        value = clean(_col(name), dtype)
-        groups = df.filter(value.isNotNull()).select(*_digest(value, dtype)).distinct()
-        return groups.agg(F.count(F.lit(1)).alias("distinct_values")).select(F.lit(name).alias("column"), "distinct_values")
-
     if not names:
         return df.sparkSession.createDataFrame([], "column STRING, distinct_values BIGINT")
-    return reduce(DataFrame.unionByName, [one(n) for n in names])
+    parts = []
+    for at in range(0, len(names), COLUMNS_PER_PASS):
+        some = list(names[at : at + COLUMNS_PER_PASS])
+        entries = [F.struct(F.lit(i).alias("i"), *_digest(clean(_col(n), df.schema[n].dataType), df.schema[n].dataType)) for i, n in enumerate(some)]
+        # One entry for each value, thinned out to one for each distinct value inside every task.
+        values = df.select(F.array(*entries).alias("entries")).select(F.inline("entries")).filter("a IS NOT NULL").distinct()
+        counted = values.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+        listed = counted.agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("n"))  # one entry a column
+        rows = [F.struct(F.lit(n).alias("column"), F.coalesce(F.try_element_at("n", F.lit(i)), F.lit(0)).alias("distinct_values")) for i, n in enumerate(some)]
+        parts.append(listed.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def numeric_profile(df: DataFrame, name: str) -> DataFrame:
@@ -197,10 +203,40 @@ def column_profile(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _first_values(df: DataFrame, names: Sequence[str], row_key: Sequence[str], samples: int) -> DataFrame:
+    """(column, samples): the first non-missing values of every column by row key, as text.
+
+    Most columns have them among the first rows of the table, which are found once as a bounded top-k. Columns that
+    don't are thinly filled; their values take one more scan, with all but the first ones dropped inside each task.
+    """
+    order = F.struct(*[_col(k).alias(f"k{i}") for i, k in enumerate(row_key)]).alias("k")
+    head = cut_lineage(df.orderBy(*[_col(k) for k in row_key]).limit(FIRST_ROWS))
+    found = {n: F.when(~missing(_col(n), df.schema[n].dataType), F.struct(order, text(_col(n), df.schema[n].dataType).alias("value"))) for n in names}
+    known = head.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(found.values())]).first()
+    thin = [n for i, n in enumerate(names) if known["rows"] == FIRST_ROWS and known[f"n{i}"] < samples]
+    settled = [n for n in names if n not in thin]
+
+    def listed(values: Column) -> Column:
+        return F.transform(F.slice(F.array_sort(F.collect_list(values)), 1, samples), lambda x: x["value"])
+
+    parts = [df.sparkSession.createDataFrame([], "column STRING, samples ARRAY<STRING>")]
+    if settled:
+        row = head.agg(*[listed(found[n]).alias(f"s{i}") for i, n in enumerate(settled)])
+        parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"s{i}").alias("samples")) for i, n in enumerate(settled)]))))
+    if thin:
+        entries = [F.when(found[n].isNotNull(), F.struct(F.lit(n).alias("column"), found[n].alias("v"))) for n in thin]
+        values = df.select(F.array(*entries).alias("e")).select(F.inline(F.array_compact("e")))
+        place = F.row_number().over(Window.partitionBy("column").orderBy("v"))
+        few = values.withColumn("place", place).filter(F.col("place") <= samples)
+        parts.append(few.groupBy("column").agg(listed(F.col("v")).alias("samples")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def column_summary(df: DataFrame, row_key: Sequence[str], approximate: bool = False, samples: int = 5) -> DataFrame:
     """One row per column: nulls, distinct values, range and mean, first sample values.
 
-    Samples are the non-missing values with the smallest row keys, found as a bounded top-k per column. Maps can
+    Samples are the non-missing values with the smallest row keys. Whatever the number of columns up to
+    COLUMNS_PER_PASS, this takes three scans, or four if a column has few values. Maps can
     neither be counted nor be compared: their distinct values are null and their samples empty.
     """
     fields = list(df.schema)
@@ -224,21 +260,7 @@ def column_summary(df: DataFrame, row_key: Sequence[str], approximate: bool = Fa
             )
         )
     base = df.agg(*measures).select(F.inline(F.array(*entries)))
-    order = [_col(k).alias(f"k{i}") for i, k in enumerate(row_key)]
-    no_firsts = df.sparkSession.createDataFrame([], "column STRING, samples ARRAY<STRING>")
-    firsts = reduce(
-        DataFrame.unionByName,
-        [
-            df.filter(~missing(_col(f.name), f.dataType))
-            .select(*order, text(_col(f.name), f.dataType).alias("value"))
-            .orderBy(*[f"k{i}" for i in range(len(row_key))])
-            .limit(samples)
-            .agg(F.array_sort(F.collect_list(F.struct(F.struct(*[f"k{i}" for i in range(len(row_key))]), "value"))).alias("s"))
-            .select(F.lit(f.name).alias("column"), F.transform("s", lambda x: x["value"]).alias("samples"))
-            for f in plain
-        ],
-        no_firsts,
-    )
+    firsts = _first_values(df, [f.name for f in plain], row_key, samples)
     distinct = distinct_counts(df, [f.name for f in plain], approximate)
     # Both sides have one row per column of the table.
     return base.join(F.broadcast(distinct), "column", "left").join(F.broadcast(firsts), "column", "left").select(

@@ -159,3 +159,24 @@ def test_summary_covers_all_columns(spark):
     rows = {r["column"]: r for r in profile.column_summary(df, ["id"]).collect()}
     assert set(rows) == set(df.columns)
     assert rows["x58"]["distinct_values"] == 3 and rows["m"]["distinct_values"] is None and rows["m"]["samples"] == []
+
+
+def test_column_summary_scans_do_not_grow_with_columns(spark):
+    import re
+
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = profile.column_summary(df, ["l_orderkey", "l_linenumber"])._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan parquet", plan)) <= 3  # the first rows are written down beforehand
+
+
+def test_first_values_of_thin_columns(spark, monkeypatch):
+    monkeypatch.setattr(profile, "FIRST_ROWS", 10)
+    monkeypatch.setattr(profile, "COLUMNS_PER_PASS", 2)
+    rows = [(k, k % 3, f"t{k}" if k % 40 == 39 else None, None, [k, None] if k > 150 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, full int, thin string, `no.thing` double, nested array<int>").repartition(4)
+    found = {r["column"]: r for r in profile.column_summary(df, ["k"]).collect()}
+    assert found["full"].samples == ["0", "1", "2", "0", "1"]
+    assert found["thin"].samples == ["t39", "t79", "t119", "t159", "t199"] and found["thin"].distinct_values == 5
+    assert (found["no.thing"].samples, found["no.thing"].distinct_values) == ([], 0)
+    assert found["nested"].distinct_values == 49 and len(found["nested"].samples) == 5
+    assert [found[c].distinct_values for c in ("k", "full")] == [200, 3]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.reports import run_summary, sample_per_rule
+from plumbline.operators.sketches import SKETCH_SCHEMA
 from plumbline.sources.storage import cut_lineage
 
 # The tables, their columns, and how much of a result is kept.
@@ -65,6 +66,8 @@ CHILDREN = ("validation_results", "failed_records", "ai_analysis", "remediation_
 # The tables whose rows change after they were written.
 VERSIONED = ("validation_runs", "remediation_suggestions")
 REMOVED = "removed_runs"
+# Profiles that merge; kept beside the seven tables.
+SKETCHES = "column_sketches"
 # The partition of a row: the month of the day it belongs to.
 MONTH = "run_month"
 # What the newest-first readers return unless told otherwise, and how many keys and messages a result row shows.
@@ -286,6 +289,21 @@ class History:
             ),
         )
 
+    def save_sketches(self, dataset_name: str, run_id: str, sketches: DataFrame, day: str | None = None) -> None:
+        """Append the column sketches of a run (`column_sketches`); they merge over runs and days without the data."""
+        happened = F.current_date() if day is None else F.lit(day).cast("date")
+        rows = sketches.withColumns({"dataset_name": F.lit(dataset_name), "run_id": F.lit(run_id), "run_date": happened, MONTH: F.date_format(happened, "yyyy-MM")})
+        rows.hint("rebalance", F.col(MONTH)).write.mode("append").partitionBy(MONTH).parquet(f"{self.path}/{SKETCHES}")
+
+    def sketches(self) -> DataFrame:
+        """(dataset_name, run_id, run_date, the sketch columns) of every run that was not deleted."""
+        schema = f"{SKETCH_SCHEMA}, dataset_name STRING, run_id STRING, run_date DATE, {MONTH} STRING"
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{SKETCHES}")
+        except AnalysisException:  # nothing was written yet
+            rows = self.spark.createDataFrame([], schema)
+        return rows.drop(MONTH).join(self._removed(), "run_id", "left_anti")
+
     def append(self, table: str, rows: DataFrame) -> None:
         """Append rows that already have the table's columns."""
         self._append(table, rows)
@@ -319,12 +337,15 @@ class History:
         for name in (*SCHEMAS, REMOVED):
             empty = self.spark.createDataFrame([], self._stored(name).schema)
             empty.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self.sketches().limit(0).write.mode("overwrite").parquet(f"{self.path}/{SKETCHES}")
 
     def compact(self, target: str) -> History:
         """Write the visible rows to a new store and return it."""
         fresh = History(self.spark, target)
         for name in SCHEMAS:
             fresh._append(name, self.table(name))
+        kept = self.sketches().withColumn(MONTH, F.date_format("run_date", "yyyy-MM"))
+        kept.hint("rebalance", F.col(MONTH)).write.mode("append").partitionBy(MONTH).parquet(f"{fresh.path}/{SKETCHES}")
         return fresh
 
     # ---- reading -----------------------------------------------------------------------------

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline import Rule, snapshot_diff, validate
+from plumbline import History, Rule, snapshot_diff, validate
 from plumbline.operators.ordered import grouped_quantiles
+from plumbline.operators.sketches import column_sketches, merged_sketches, sketched_profile
+from plumbline.sources.storage import scratch_path
 from registry.inputs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,3 +294,34 @@ def group_outlier_results(spark, sf_dir):
 def group_outlier_violations(spark, sf_dir):
     found = validate(_from(spark, sf_dir, PRICES_SQL, "lineitem"), _OUTLIERS, key=["line_order", "line_number"]).violations
     return found.select("row_key.line_order", "row_key.line_number", F.col("value").cast("double").alias("price"))
+
+
+# ---- sketches that merge ---------------------------------------------------------------------
+
+_SKETCHED = "SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders"
+
+
+@register("sketches_of_merged_runs", f"""
+WITH o AS ({_SKETCHED}), c AS (
+  {" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, min({v}) AS low, max({v}) AS high FROM o"
+                      for c, v in (("o_custkey", "CAST(o_custkey AS DOUBLE)"), ("price", "price"), ("o_orderpriority", "CAST(NULL AS DOUBLE)")))})
+SELECT *, true AS distinct_near, true AS median_near, true AS top_near FROM c""")
+def sketches_of_merged_runs(spark, sf_dir):
+    """Three runs, sketched apart, stored and merged: exact counts and bounds, and estimates held against exact values."""
+    rows, names = _from(spark, sf_dir, _SKETCHED, "orders"), ["o_custkey", "price", "o_orderpriority"]
+    store = History(spark, scratch_path(spark, "history"))
+    for k in range(3):
+        store.save_sketches("orders", f"run{k}", column_sketches(rows.filter(F.col("o_orderkey") % 3 == k), names), f"2024-0{k + 1}-15")
+    found = sketched_profile(merged_sketches(store.sketches(), ["dataset_name"]))
+    exact = []
+    for c in names:
+        counts = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        ranks = rows.select(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.46), F.lit(0.54)))).scalar() if c != "o_orderpriority" else F.lit(None)
+        exact.append(counts.agg(F.count(F.lit(1)).alias("d"), F.max("n").alias("most")).select(F.lit(c).alias("column"), "d", "most", ranks.cast("array<double>").alias("middle")))
+    joined = found.join(F.broadcast(reduce(DataFrame.unionAll, exact)), "column")
+    median, top = F.col("quantiles")[1], F.get(F.col("top_values"), F.lit(0))["n"]
+    return joined.select(
+        F.col("column").alias("column_name"), "rows", "nulls", "low", "high", (F.abs(F.col("distinct_values") - F.col("d")) <= 0.08 * F.col("d")).alias("distinct_near"),
+        F.coalesce(median.between(F.col("middle")[0], F.col("middle")[1]), F.lit(True)).alias("median_near"),
+        F.coalesce(F.col("most") - top <= F.col("rows") / 256, F.lit(True)).alias("top_near"),
+    )

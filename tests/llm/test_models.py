@@ -219,6 +219,32 @@ def test_scores_are_better_than_the_base_of_a_text_that_repeats_itself(spark):
     assert got and np.mean([r.score > r.base_score for r in got]) > 0.9
 
 
+def test_everything_is_learned_from_long_texts_too(spark, monkeypatch):
+    """Rows of more than 128 KB are training rows like any other: classes, weights, contexts of triples and the mixture."""
+    seen, weight = [], lm_scores.mixture_weight
+    monkeypatch.setattr(lm_scores, "mixture_weight", lambda model, *rest: seen.append((model, *rest)) or weight(model, *rest))
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(rng.choice(["red", "green", "blue", "yellow"], 30_000))) for k in (1, 2, 3)]
+    lm_scores.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), BYTE_BPE, steps=20)
+    model, _, n = seen[0]
+    assert model.weights["out"].any() and (model.classes.of > 0).any() and len(model.ngrams.triples) >= 4**3
+    training = [t for k, t in rows if brute.crc_part(k, 10) != 0]
+    assert n.sum() == sum(len(t.split()) + 1 for t in training)  # the mixture weight is fitted on every word and end
+
+
+def test_training_takes_every_place_once():
+    rng = np.random.default_rng(9)
+    bounds, classes = np.array([0, 1, 1, 40, 3000]), rng.integers(0, 8, 3000)
+    x, target, y = attention.training_windows(classes, bounds)
+    assert sorted(target[target >= 0]) == list(range(3000)) and (y[target >= 0] == classes[target[target >= 0]]).all()
+    flat = np.log(np.full((8, 8), 1 / 8)).astype(np.float32)
+    trainer = attention.Trainer(flat)
+    first = trainer.learn(x, target, y)
+    assert first.shape == (3000,) and trainer.seen == len(x) and trainer.steps == -(-len(x) // attention.BATCH)
+    same = attention.Trainer(flat).learn(x, target, y, most=1)
+    assert np.array_equal(same[same != 0], first[same != 0]) and (same != 0).sum() < 3000
+
+
 def test_scoring_gives_what_training_sees():
     rng = np.random.default_rng(6)
     m, x = attention.start(5), rng.integers(0, attention.CLASSES, (9, attention.WINDOW))

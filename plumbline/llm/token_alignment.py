@@ -37,7 +37,9 @@ from plumbline.sources.storage import scratch_path
 #: Stands for a stretch that the tokens do not spell.
 UNSPELT = -1
 #: Windows of more ids are aligned where they are met; a worker keeps at most MEMO_BYTES of the others.
-MEMO_IDS, MEMO_BYTES = 64, 64 << 20
+MEMO_IDS, MEMO_BYTES = 64, 32 << 20
+#: Text that is aligned at once; what is made of it takes about a hundred times as much.
+ALIGNED_BYTES = 1 << 20
 
 
 def byte_level(token: str) -> bytes:
@@ -205,7 +207,7 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = known_windows(path_a, path_b)
         left, right = windows.a, windows.b
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", ALIGNED_BYTES):
             data, at = text_bytes(part.column("text"))
             n = len(at) - 1
             data = np.insert(data, at[:-1], 32)

@@ -190,3 +190,15 @@ def test_encoder_starts_anew_beyond_its_bytes(monkeypatch):
         flat, upto = known.flat(known.rows(data, starts, ends))
         assert flat.tolist() == [i for w in words for i in library.encode(w, add_special_tokens=False).ids]
         assert known.size < 2000 + 15 * 400
+
+
+def test_encoder_hands_over_few_stretches_at_once():
+    """What a library makes of its stretches takes far more memory than is kept."""
+    asked = []
+    known = tokenizing.Encoder(lambda s: asked.append(len(s)) or [[len(t)] for t in s])
+    words = [f"word{j}" for j in range(20_000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = tokenizing.word_stretches(data, np.array([0, len(data)]))
+    flat, _ = known.flat(known.rows(data, starts, ends))
+    assert flat.tolist() == [len(w) for w in words]
+    assert sum(asked) == 20_000 and max(asked) <= 4_000

@@ -13,7 +13,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from plumbline.llm import bloom_lines, byte_words, filter_audit, queries, reachable, token_alignment, tokenizing
+from plumbline.llm import bloom_lines, byte_words, filter_audit, line_dedup, queries, reachable, token_alignment, tokenizing
 
 SMALL = "/root/testdata/sf0.001"
 BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -202,3 +202,9 @@ def test_encoder_hands_over_few_stretches_at_once():
     flat, _ = known.flat(known.rows(data, starts, ends))
     assert flat.tolist() == [len(w) for w in words]
     assert sum(asked) == 20_000 and max(asked) <= 4_000
+
+
+def test_passage_filters_have_their_bits_at_half_a_gigabyte():
+    """Fuller filters let passages through that stand in one document only, and these are written and shuffled."""
+    size = 512 << 20
+    assert line_dedup.filter_bits(size) >= size // line_dedup.PASSAGE_BYTES * line_dedup.PASSAGE_BITS

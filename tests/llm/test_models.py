@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import tracemalloc
 from collections import Counter
 
 import awkward as rows_of
@@ -12,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import attention, lm_scores, queries, reachable, toxicity
+from plumbline.llm import attention, lm_scores, queries, reachable, tokenizing, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -245,6 +247,32 @@ def test_training_takes_every_place_once():
     assert np.array_equal(same[same != 0], first[same != 0]) and (same != 0).sum() < 3000
 
 
+def test_training_steps_keep_their_arrays():
+    """New arrays in every step (3.4 MB at once before) have to be mapped and cleared by the system each time."""
+    rng = np.random.default_rng(10)
+    classes, bounds = rng.integers(0, attention.CLASSES, 40 * attention.BATCH * attention.WINDOW), np.arange(41) * attention.BATCH * attention.WINDOW
+    trainer = attention.Trainer(np.zeros((attention.CLASSES, attention.CLASSES), np.float32))
+    found = attention.training_windows(classes, bounds)
+    trainer.learn(*found, most=1)
+    one = [part[: attention.BATCH] for part in found]
+    tracemalloc.start()
+    trainer.learn(*one, most=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+
+
+def test_many_words_are_encoded_as_one_text():
+    wide = ["\u3000word", "word\u00a0", "a\u2028b", "\u0085", "日本語", "déjà", "“quoted”"]
+    words = [*wide, "plain", "it's", "s", "'s", "x<|endoftext|>y", "<|endoftext|>", "12,5", "\x1c", "\x00a", "Ġodd", "🙂", "naïve"]
+    rng = random.Random(4)
+    stretches = [f" {rng.choice(words)}{rng.choice(['', rng.choice(words)])}".encode() for _ in range(3_000)] + [b" \xff\xc3", b" \xe2\x80"]
+    rng.shuffle(stretches)
+    one_by_one = tokenizing.encoder(BYTE_BPE).encode(stretches)
+    assert tokenizing.word_encoder(BYTE_BPE).encode(stretches) == one_by_one
+    assert tokenizing.word_encoder(BYTE_BPE).encode([]) == [] and tokenizing.word_encoder(BYTE_BPE).encode([b" <|endoftext|>"]) == tokenizing.encoder(BYTE_BPE).encode([b" <|endoftext|>"])
+
+
 def test_scoring_gives_what_training_sees():
     rng = np.random.default_rng(6)
     m, x = attention.start(5), rng.integers(0, attention.CLASSES, (9, attention.WINDOW))

@@ -197,8 +197,8 @@ class SnapshotDiff:
             F.count_if((F.col("r") > 0) & (F.col("a") == 0)).alias("removed_keys"), F.count_if((F.col("a") > 0) & (F.col("r") == 0)).alias("added_keys"),
             F.count_if((F.col("r") > 0) & (F.col("a") > 0)).alias("changed_keys"),
         )
-        one = F.lit(1).alias("__one")
-        return ranges.select("*", one).join(changes.select("*", one), "__one").drop("__one")
+        both = ranges.unionByName(changes, allowMissingColumns=True)  # two rows; a join on a constant would be a nested loop
+        return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, ranges: int = RANGES) -> SnapshotDiff:

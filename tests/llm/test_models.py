@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import attention, lm_scores, queries, reachable, tokenizing, toxicity
+from plumbline.llm import attention, byte_words, lm_scores, queries, reachable, tokenizing, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -288,3 +288,30 @@ def test_hash_rows(n):
     wanted = np.concatenate([keys, rng.integers(0, 5000, 4000), rng.integers(0, 2**51, 1000)])
     rows, hit = table.find(wanted)
     assert (hit == np.isin(wanted, keys)).all() and (keys[rows[hit]] == wanted[hit]).all() and not rows[~hit].any()
+
+
+def test_ids_travel_as_bytes(spark):
+    texts = ["", "one", "Two words,  and more\nlines", "caf\u00e9 \u2460 <|endoftext|>", None, "a" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("held_out"))
+    t = tokenizing.tokenizer(BYTE_BPE)
+    end = t.get_vocab_size()
+    stored = lm_scores.ids_of(docs, BYTE_BPE, end)
+    assert stored.schema["ids"].dataType.simpleString() == "binary"
+    got = {r.id: np.frombuffer(r.ids, np.int32) & (lm_scores.WORD - 1) for r in stored.collect()}
+    for k, text in enumerate(texts):
+        words = (text or "").lower().split()
+        assert got[k].tolist() == [i for w in words for i in t.encode(" " + w, add_special_tokens=False).ids] + [end]
+    column = stored.orderBy("id").select("ids").toArrow().column("ids").combine_chunks()
+    ids, bounds = lm_scores.id_numbers(column.slice(1, 3))
+    assert [(part & (lm_scores.WORD - 1)).tolist() for part in np.split(ids, bounds[1:-1])] == [got[k].tolist() for k in (1, 2, 3)]
+
+
+def test_hashing_takes_little_memory_at_once():
+    data = np.full(byte_words.SLICE_BYTES, 97, np.uint8)
+    starts = np.arange(0, len(data), 32)
+    byte_words.run_hashes(data[:64], starts[:2], starts[:2] + 31)
+    tracemalloc.start()
+    hashes = byte_words.run_hashes(data, starts, starts + 31)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(hashes.tolist())) == 1 and peak < 16 << 20

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.byte_words import slices, text_bytes
-from plumbline.llm.tokenizing import encoder, word_stretches
+from plumbline.llm.tokenizing import marked_encoder, word_stretches
 
 CAPACITY = 2048
 SMALLEST = 64
@@ -104,7 +104,7 @@ def pack(
             id_type = part.column("id").type
             data, at = text_bytes(part.column("text"))
             starts, ends, bounds = word_stretches(data, at)
-            known = encoder(path)
+            known = marked_encoder(path)
             flat, upto = known.flat(known.rows(data, starts, ends))
             upto = np.append(0, upto)[bounds]
             for k, doc in enumerate(part.column("id").to_pylist()):

@@ -208,3 +208,32 @@ def test_passage_filters_have_their_bits_at_half_a_gigabyte():
     """Fuller filters let passages through that stand in one document only, and these are written and shuffled."""
     size = 512 << 20
     assert line_dedup.filter_bits(size) >= size // line_dedup.PASSAGE_BYTES * line_dedup.PASSAGE_BITS
+
+
+def test_many_words_are_packed_as_one_text(monkeypatch):
+    """Words of letters, also with a mark behind them, reach the library in few texts, with the ids that they have alone."""
+    words = ["plain", "Comma,", "stop.", "\u0130stanbul", "\u03a3\u03a3\u03a3", "\u0958\u0915\u093c", "e\u0301a", "\u1e9b\u0323", "\ufb01n", "\u65e5\u672c\u8a9e", "\u01c5x;"]
+    odd = ["it's", "'s", "x<|endoftext|>y", "<|endoftext|>", "12,5", "\x00a", "a\u00a0b", "\u00a0", "\u3000,", "(a)", "a.b.", "...", ",", "\U0001f642", "\u0301", "a\u200db", "\u0149"]
+    rng = random.Random(4)
+    stretches = [f"{rng.choice(words + odd)}{rng.choice(['', '', rng.choice(words + odd)])}".encode() for _ in range(3_000)] + [b"\xff\xc3", b"a\xe2\x80"]
+    rng.shuffle(stretches)
+    one_by_one = tokenizing.encoder(WORD_BPE).encode(stretches)
+    assert tokenizing.marked_encoder(WORD_BPE).encode(stretches) == one_by_one
+    assert tokenizing.marked_encoder(WORD_BPE).encode([]) == []
+    handed = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+        def encode_batch_fast(self, texts, **how):
+            handed.extend(texts)
+            return self.library.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokenizing, "tokenizer", lambda path: Counted(Tokenizer.from_file(path)))
+    known = tokenizing.marked_encoder.__wrapped__(WORD_BPE)
+    known.encode([f"w{chr(97 + k // 26 % 26)}{chr(97 + k % 26)},".encode() for k in range(600)])
+    assert len(handed) <= 600 / tokenizing.FEW + 1

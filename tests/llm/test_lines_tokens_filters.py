@@ -212,7 +212,7 @@ def test_passage_filters_have_their_bits_at_half_a_gigabyte():
 
 def test_many_words_are_packed_as_one_text(monkeypatch):
     """Words of letters, also with a mark behind them, reach the library in few texts, with the ids that they have alone."""
-    words = ["plain", "Comma,", "stop.", "\u0130stanbul", "\u03a3\u03a3\u03a3", "\u0958\u0915\u093c", "e\u0301a", "\u1e9b\u0323", "\ufb01n", "\u65e5\u672c\u8a9e", "\u01c5x;"]
+    words = ["plain", "Comma,", "stop.", "odd$$$", "dogs'", "tag<|", "\u0130stanbul", "\u03a3\u03a3\u03a3", "\u0958\u0915\u093c", "e\u0301a", "\u1e9b\u0323", "\ufb01n", "\u65e5\u672c\u8a9e", "\u01c5x;"]
     odd = ["it's", "'s", "x<|endoftext|>y", "<|endoftext|>", "12,5", "\x00a", "a\u00a0b", "\u00a0", "\u3000,", "(a)", "a.b.", "...", ",", "\U0001f642", "\u0301", "a\u200db", "\u0149"]
     rng = random.Random(4)
     stretches = [f"{rng.choice(words + odd)}{rng.choice(['', '', rng.choice(words + odd)])}".encode() for _ in range(3_000)] + [b"\xff\xc3", b"a\xe2\x80"]

@@ -267,6 +267,22 @@ def test_bit_sliced_links(radius):
         assert got == want
 
 
+def test_a_dense_family_takes_little_memory():
+    """Millions of pairs of near copies are contracted as they are found: some 45 bytes a pair were held at once before."""
+    rng = np.random.default_rng(8)
+    fps = np.uint64(1) << rng.integers(0, 64, 6000).astype(np.uint64)
+    groups, names = np.repeat([0, 1], 3000), rng.permutation(6000).astype(np.int64)
+    tracemalloc.start()
+    found = dict(zip(*map(np.ndarray.tolist, simhash.forest(names, simhash.bit_sliced_parts(fps, groups, 3, most=1 << 14)))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lowest = [int(names[groups == g].min()) for g in (0, 1)]
+    assert found == {int(n): lowest[g] for n, g in zip(names, groups) if n not in lowest}
+    assert sum(len(i) for i, _ in simhash.bit_sliced_parts(fps, groups, 3, most=1 << 14)) == 2 * (3000 * 2999 // 2)
+    assert max(len(i) for i, _ in simhash.bit_sliced_parts(fps, groups, 3, most=1 << 14)) < (1 << 14) + 64
+    assert peak < 64 << 20
+
+
 def test_links_of_hot_keys(spark):
     """Many near copies under one key, dealt out as pairs of chunks, and long chains."""
     rng = np.random.default_rng(3)

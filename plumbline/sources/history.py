@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from plumbline.operators.reports import run_summary, sample_per_rule
 from plumbline.operators.sketches import SKETCH_SCHEMA
-from plumbline.sources.storage import cut_lineage
+from plumbline.sources.storage import cut_lineage, drop_scratch, scratch_path, shuffles_dropped
 
 # The tables, their columns, and how much of a result is kept.
 SCHEMAS = {
@@ -92,9 +92,9 @@ def latest(versions: DataFrame, key: str) -> DataFrame:
     return newest.select(*keys, *[F.col(f"row.{c}").alias(c) for c in data])
 
 
-def with_result_id(df: DataFrame) -> DataFrame:
+def result_id() -> Column:
     """A result is identified by its run and rule, so every table can name it without a lookup."""
-    return df.withColumn("result_id", F.concat_ws(":", "run_id", "rule_id"))
+    return F.concat_ws(":", "run_id", "rule_id")
 
 
 def _now() -> Column:
@@ -110,21 +110,27 @@ class History:
 
     # ---- storage -----------------------------------------------------------------------------
 
-    def _append(self, table: str, rows: DataFrame, version: Column | None = None) -> None:
+    def _append(self, table: str, rows: DataFrame, version: Column | None = None, derived: Mapping[str, Column] | None = None) -> None:
         """Append rows in the declared schema, in a partition for the month they belong to.
 
         Rows are gathered by month before they are written, large months split into several files and small ones put
         together, so the number of files follows the months touched and the size, not the tasks. Inside, rows are in
-        order of day and run, so that a filter on either skips row groups by their statistics.
+        order of day and run, so that a filter on either skips row groups by their statistics. `derived` has columns that
+        follow from the others of a row: they are made after the rows are gathered, so that they aren't shuffled.
         """
         schema = T.StructType.fromDDL(SCHEMAS[table])
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
-        shaped = rows.select(*columns, (F.lit(1) if version is None else version).cast("bigint").alias("version"))
-        happened = F.to_date(HAPPENED[table]) if table in HAPPENED else F.lit(None).cast("date")
+        happened = F.to_date(F.col(HAPPENED[table]).cast("timestamp")) if table in HAPPENED else F.lit(None).cast("date")
         day = F.coalesce(happened, F.current_date())
-        versioned = shaped.withColumns({"updated_at": _now(), "run_date": day, MONTH: F.date_format(day, "yyyy-MM")})
-        gathered = versioned.hint("rebalance", F.col(MONTH)).sortWithinPartitions(MONTH, "run_date", "run_id")
-        gathered.write.mode("append").partitionBy(MONTH).parquet(f"{self.path}/{table}")
+        dated = rows.withColumns({"run_date": day, MONTH: F.date_format(day, "yyyy-MM")})
+        gathered = dated.hint("rebalance", F.col(MONTH)).withColumns(dict(derived or {}))
+        shaped = gathered.select(*columns, (F.lit(1) if version is None else version).cast("bigint").alias("version"), _now().alias("updated_at"), "run_date", MONTH)
+        self._write(table, shaped.sortWithinPartitions(MONTH, "run_date", "run_id"))
+
+    def _write(self, table: str, rows: DataFrame) -> None:
+        """Append rows by month; ids of neighbouring rows are alike, so zstd makes them small. What was shuffled for it goes at once."""
+        with shuffles_dropped(self.spark):
+            rows.write.mode("append").option("compression", "zstd").partitionBy(MONTH).parquet(f"{self.path}/{table}")
 
     def _stored(self, table: str) -> DataFrame:
         """All versions of all rows; an empty table when nothing was written yet."""
@@ -132,8 +138,9 @@ class History:
         schema = (SCHEMAS[table] if table in SCHEMAS else "run_id STRING") + extra
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        except AnalysisException:  # nothing was written yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException:  # nothing was written yet: known while planning, so that joins with it fall away
+            nothing = self.spark.range(1).where(F.lit(False))
+            return nothing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
 
     def _removed(self) -> DataFrame:
         return self._stored(REMOVED).select("run_id").distinct()
@@ -191,7 +198,6 @@ class History:
         A result row shows its first `keys` keys and `messages` messages; the failed records are complete unless
         `sample` says how many of each rule are kept.
         """
-        results = with_result_id(results)
         if violations is None:
             shown_keys = shown_messages = F.expr("CAST(array() AS ARRAY<STRING>)")
             rows = results
@@ -215,24 +221,25 @@ class History:
         self._append(
             "validation_results",
             rows.select(
-                "result_id", "run_id", "rule_id", "column_name", F.col("rule_type").alias("validation_type"),
+                "run_id", "rule_id", "column_name", F.col("rule_type").alias("validation_type"),
                 "severity", F.lit(0).alias("confidence_score"), "passed", "total_rows", "passed_count",
                 F.col("failed_count").alias("failed_rows"), shown_keys.alias("failed_keys"),
                 shown_messages.alias("error_details"),
             ),
+            derived={"result_id": result_id()},
         )
 
     def save_failed_records(self, violations: DataFrame) -> None:
         """Append violations: (run_id, rule_id, column_name, sample_no, row_key, value, reason)."""
-        place = F.coalesce(F.col("sample_no").cast("string"), F.col("row_key").cast("string"))
+        place = F.coalesce(F.col("sample_no").cast("string"), "row_key")
         self._append(
             "failed_records",
-            with_result_id(violations).select(
-                F.concat_ws(":", "run_id", "rule_id", place).alias("record_id"), "run_id", "result_id",
-                "rule_id", "column_name", "sample_no", F.col("row_key").cast("string").alias("row_key"),
+            violations.select(
+                "run_id", "rule_id", "column_name", "sample_no", F.col("row_key").cast("string").alias("row_key"),
                 F.coalesce("value", F.lit("nan")).alias("invalid_value"),
                 F.col("reason").alias("failure_reason"),
             ),
+            derived={"record_id": F.concat_ws(":", "run_id", "rule_id", place), "result_id": result_id()},
         )
 
     def save_analyses(self, explained: DataFrame) -> None:
@@ -240,28 +247,21 @@ class History:
 
         Both are identified by their run, rule and round of the loop (0 outside of one).
         """
-        rows = cut_lineage(with_result_id(explained))  # the source must not run once per table
-        round_ = F.coalesce("iteration", F.lit(0)) if "iteration" in rows.columns else F.lit(0)
-        key = F.concat_ws(":", "result_id", round_.cast("string"))
-        common = ["run_id", "result_id", "rule_id", F.col("rule_type").alias("validation_type"), "column_name"]
-        self._append(
-            "ai_analysis",
-            rows.select(
-                key.alias("analysis_id"), *common, "root_cause", "explanation", "business_impact",
-                F.col("prevention").alias("recommendation"), "severity",
-                F.col("confidence").alias("confidence_score"), "estimated_affected_rows", "permanent_fix",
-                "provider", _now().alias("created_at"),
-            ),
-        )
+        round_ = F.coalesce("iteration", F.lit(0)) if "iteration" in explained.columns else F.lit(0)
+        common = ["run_id", "rule_id", F.col("rule_type").alias("validation_type"), "column_name"]
+        written = scratch_path(self.spark, "explained")  # the source must not run once per table
+        explained.select(
+            *common, "root_cause", "explanation", "business_impact", F.col("prevention").alias("recommendation"),
+            "severity", F.col("confidence").alias("confidence_score"), "estimated_affected_rows", "permanent_fix", "provider",
+            F.col("sql_fix").cast("string").alias("sql_fix"), F.col("code_fix").cast("string").alias("code_fix"), round_.cast("string").alias("round"),
+        ).write.option("compression", "zstd").parquet(written)
+        rows = self.spark.read.parquet(written).withColumn("created_at", _now())
+        key = F.concat_ws(":", result_id(), "round")
+        self._append("ai_analysis", rows, derived={"analysis_id": key, "result_id": result_id()})
         has_fix = (F.coalesce("sql_fix", F.lit("")) != "") | (F.coalesce("code_fix", F.lit("")) != "")
-        self._append(
-            "remediation_suggestions",
-            rows.filter(has_fix).select(
-                key.alias("remediation_id"), *common, "sql_fix", "code_fix",
-                F.col("confidence").alias("confidence_score"), F.lit(False).alias("fix_applied"),
-                _now().alias("created_at"),
-            ),
-        )
+        fixes = rows.filter(has_fix).withColumn("fix_applied", F.lit(False))
+        self._append("remediation_suggestions", fixes, derived={"remediation_id": key, "result_id": result_id()})
+        drop_scratch(self.spark, written)
 
     def save_iterations(self, iterations: DataFrame) -> None:
         """Append the rounds of a loop."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 import pytest
 from helpers import texts
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from plumbline import History, Rule, run_loop, validate
 from plumbline.functions.mailbox import verify_email
 from plumbline.operators.explain import analyse_failures
 from plumbline.sources.history import SCHEMAS
+from plumbline.sources.storage import CLEANUP, shared_dir
 
 RULES = [Rule("R1", "c", "not_null", "high"), Rule("R2", "c", "email"), Rule("R3", "c", "max_length")]
 
@@ -64,6 +68,43 @@ def test_filters_on_a_run_reach_the_files(store, outcome):
         assert f"EqualTo(run_id,{run_id})" in plan and not rows.isEmpty()
 
 
+def test_what_is_written_on_the_way_does_not_stay(store, outcome, spark):
+    """Shuffle files of an append go with it, scratch copies too, and the caller's settings are as they were."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    rows = spark.range(300).selectExpr(
+        "concat('r', id % 7) AS run_id", "concat('R', id) AS rule_id", "'c' AS column_name", "int(id) AS sample_no", "string(id) AS row_key", "'v' AS value", "'w' AS reason"
+    )
+    explained = analyse_failures(outcome.rule_results.withColumn("run_id", F.lit("r1")), RULES)
+    store.save_failed_records(rows)  # what is listed below is new
+    store.save_analyses(explained)
+    before, held = shuffled(), set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    store.save_failed_records(rows)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    store.save_analyses(explained)
+    assert not {x for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - held if x.startswith("explained")}
+    assert spark.conf.get(CLEANUP, "false") == "false"
+    found = store.table("failed_records").where("rule_id = 'R8'").collect()
+    assert [(r.record_id, r.result_id, r.row_key) for r in found] == [("r1:R8:8", "r1:R8", "8")] * 2
+
+
+def test_nothing_is_shuffled_to_read_rows_without_removed_runs(store, outcome):
+    run_id = store.save_run("customers", outcome.rule_results, outcome.violations)
+    rows = store.table("failed_records")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    store.delete_run(run_id)
+    assert rows.count() > 0 and store.table("failed_records").count() == 0
+
+
 def test_the_last_change_wins_whatever_the_clock_says(store, outcome):
     run_id = store.save_run("customers", outcome.rule_results)
     for status in "abcde":
